@@ -1,0 +1 @@
+"""Intentionally empty: every input of this library is a bounded batch table."""
