@@ -3,6 +3,9 @@
 ``rows`` is a scan of clean race rows (see ``race_rows``), normally a staged
 table. Ordered features go through ``ordered_groups``: plain windows while
 every group fits one task, ordered blocks for the groups that do not.
+
+Group sizes and season standings are taken from ``scan`` where it is given: the
+written table behind ``rows``, so that they cost narrow scans and no windows.
 """
 
 from __future__ import annotations
@@ -74,7 +77,7 @@ def driver_form(rows: DataFrame) -> DataFrame:
 
 def _driver_scores(rows: DataFrame) -> DataFrame:
     done = F.col("races_completed")
-    return rows.withColumns({
+    rows = rows.withColumns({
         "dnfs_last_5": F.col("rolling_dnfs"),
         "momentum_score": F.col("rolling_points_last_3") / (F.col("rolling_avg_finish") + 1),
         "consistency_score": 1 / (F.col("finish_position_stddev") + 1),
@@ -82,6 +85,7 @@ def _driver_scores(rows: DataFrame) -> DataFrame:
         "win_rate": F.col("cumulative_wins") / done,
         "reliability_score": 1 - F.col("cumulative_dnfs") / done,
     })
+    return rows.drop("cumulative_podiums")
 
 
 def driver_level(rows: DataFrame) -> DataFrame:
@@ -100,9 +104,10 @@ def driver_level(rows: DataFrame) -> DataFrame:
     return add_running(out, season, {"season_total_points": whole("max", "cumulative_points")})
 
 
-def team_form(rows: DataFrame) -> DataFrame:
+def team_form(rows: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """Form of the constructor within the season; team-mates ordered by driver. [W16, W18-W21, P17, N2]"""
-    groups = ordered_groups(rows, ["constructorId", "year"], _order(rows, "round", "driverId"))
+    scan = rows if scan is None else scan
+    groups = ordered_groups(scan, ["constructorId", "year"], _order(scan, "round", "driverId"))
     return add_running(rows, groups, TEAM_SEASON).withColumn(
         "constructor_momentum", F.col("constructor_rolling_points") / (F.col("round") + 1)
     )
@@ -113,20 +118,22 @@ def season_length(rows: DataFrame) -> DataFrame:
     return rows.groupBy("year").agg(F.max("round").alias("total_races"))
 
 
-def with_races_remaining(rows: DataFrame) -> DataFrame:
+def with_races_remaining(rows: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """[J7, P18]"""
-    return lookup(rows, season_length(rows), ["year"]).withColumn(
+    lengths = season_length(rows if scan is None else scan)
+    return lookup(rows, lengths, ["year"]).withColumn(
         "races_remaining", F.col("total_races") - F.col("round")
     )
 
 
-def with_gap_to_leader(rows: DataFrame) -> DataFrame:
+def with_gap_to_leader(rows: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """Points behind the best driver present in the round. [W27, P19, N7]
 
     One value per (year, round) is aggregated and joined back: a window would
     put each whole round into one task.
     """
-    leaders = rows.groupBy("year", "round").agg(F.max("cumulative_points").alias("leader_points"))
+    scan = rows if scan is None else scan
+    leaders = scan.groupBy("year", "round").agg(F.max("cumulative_points").alias("leader_points"))
     return lookup(rows, leaders, ["year", "round"]).withColumn(
         "gap_to_leader", F.col("leader_points") - F.col("cumulative_points")
     )
@@ -146,15 +153,15 @@ def season_ranks(rows: DataFrame) -> DataFrame:
     return add_running(totals, groups, {"season_rank": row_number()}).drop("_behind")
 
 
-def with_champions(rows: DataFrame) -> DataFrame:
+def with_champions(rows: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """Season rank and champion flag; equal totals share a title. [W24-W26, N6]"""
-    ranked = lookup(rows, season_ranks(rows), ["year", "season_total_points"])
+    ranked = lookup(rows, season_ranks(rows if scan is None else scan), ["year", "season_total_points"])
     return ranked.withColumn("is_champion", flag(F.col("season_rank") == 1))
 
 
-def season_level(rows: DataFrame) -> DataFrame:
+def season_level(rows: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """Champion, races remaining and gap to the leader on driver-level rows."""
-    return with_gap_to_leader(with_races_remaining(with_champions(rows)))
+    return with_gap_to_leader(with_races_remaining(with_champions(rows, scan), scan), scan)
 
 
 def with_labels(rows: DataFrame) -> DataFrame:
