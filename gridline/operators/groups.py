@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, types as T
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,6 +37,7 @@ class OrderedGroups:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     cuts: DataFrame | None = None
+    longest: int = 0
 
     def with_block(self, df: DataFrame) -> DataFrame:
         """Add the block number; rows of uncut groups are block 0 and have no cuts."""
@@ -48,14 +49,16 @@ class OrderedGroups:
             .join(F.broadcast(self.cuts), _HASH, "left")
             .withColumn(
                 BLOCK,
-                F.when(F.col(_CUTS).isNull(), F.lit(0)).otherwise(_cuts_up_to(F.col(_CUTS), position)),
+                F.when(F.col(_CUTS).isNull(), F.lit(0)).otherwise(
+                    _cuts_up_to(F.col(_CUTS), position, self.longest)
+                ),
             )
         )
 
 
-def _cuts_up_to(cuts: Column, position: Column) -> Column:
-    """Number of sorted ``cuts`` that are <= ``position`` (binary search)."""
-    steps = [1 << b for b in range((2 * MAX_BLOCKS).bit_length() - 1, -1, -1)]
+def _cuts_up_to(cuts: Column, position: Column, longest: int) -> Column:
+    """Number of sorted ``cuts``, at most ``longest``, that are <= ``position`` (binary search)."""
+    steps = [1 << b for b in reversed(range(longest.bit_length()))]
     return F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
@@ -85,7 +88,15 @@ def ordered_groups(
     big = _big_groups(hashed, limit)
     if not big:
         return plain
-    return OrderedGroups(tuple(keys), tuple(order), _cut_points(spark, hashed, big, limit))
+    cuts = _cut_points(hashed, big, limit)
+    if not cuts:
+        return plain
+    schema = T.StructType([
+        T.StructField(_HASH, T.LongType()),
+        T.StructField(_CUTS, T.ArrayType(hashed.schema["cut"].dataType)),
+    ])
+    table = spark.createDataFrame(list(cuts.items()), schema)
+    return OrderedGroups(tuple(keys), tuple(order), table, max(map(len, cuts.values())))
 
 
 def _big_groups(hashed: DataFrame, limit: int) -> dict[int, int]:
@@ -96,11 +107,11 @@ def _big_groups(hashed: DataFrame, limit: int) -> dict[int, int]:
     return {r[0]: r[1] for r in top.filter(F.col("count") > limit).take(MAX_BLOCKS)}
 
 
-def _cut_points(spark: SparkSession, hashed: DataFrame, big: dict[int, int], limit: int) -> DataFrame:
+def _cut_points(hashed: DataFrame, big: dict[int, int], limit: int) -> dict[int, list]:
     """Quantiles of the order inside each big group, from a sample that only places cuts."""
     blocks = {h: -(-n // limit) for h, n in big.items()}
     wanted = F.broadcast(
-        spark.createDataFrame(list(blocks.items()), f"{_HASH} bigint, blocks bigint")
+        hashed.sparkSession.createDataFrame(list(blocks.items()), f"{_HASH} bigint, blocks bigint")
     )
     fraction = min(1.0, SAMPLES_PER_BLOCK * sum(blocks.values()) / sum(big.values()))
     group = Window.partitionBy(_HASH)
@@ -117,8 +128,4 @@ def _cut_points(spark: SparkSession, hashed: DataFrame, big: dict[int, int], lim
     cuts: dict[int, list] = {}
     for row in sorted(edges, key=lambda r: (r[_HASH], r["bucket"])):
         cuts.setdefault(row[_HASH], []).append(row["cut"])
-    schema = T.StructType([
-        T.StructField(_HASH, T.LongType()),
-        T.StructField(_CUTS, T.ArrayType(hashed.schema["cut"].dataType)),
-    ])
-    return spark.createDataFrame(list(cuts.items()), schema)
+    return cuts

@@ -6,9 +6,20 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..session import scratch_dir
 
+# (application, name) -> path and schema of the tables kept for the session.
+_KEPT: dict[tuple[str, str], tuple[str, StructType]] = {}
+
+
+def _write(df: DataFrame, name: str) -> str:
+    safe = "".join(c if c.isalnum() else "-" for c in name)
+    path = f"{scratch_dir(df.sparkSession)}/{safe}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(path)
+    return path
+
 
 def staged(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the scratch folder and return a scan of it.
@@ -17,20 +28,15 @@ def staged(df: DataFrame, name: str = "table") -> DataFrame:
     the result are broadcast only when the file really is below
     ``spark.sql.autoBroadcastJoinThreshold``.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = _write(df, name)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def staged_once(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """``staged``, kept under ``name`` for the rest of the session."""
-    key = f"spark.gridline.staged.{name}"
-    path = spark.conf.get(key, None)
-    if path is None:
+    """``staged``, kept under ``name`` for the rest of the application."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _KEPT:
         df = build()
-        safe = "".join(c if c.isalnum() else "-" for c in name)
-        path = f"{scratch_dir(spark)}/{safe}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
-        spark.conf.set(key, path)
-    return spark.read.parquet(path)
+        _KEPT[key] = (_write(df, name), df.schema)
+    path, schema = _KEPT[key]
+    return spark.read.schema(schema).parquet(path)
