@@ -21,8 +21,8 @@ from ..session import max_group_rows
 TRACKED_ITEMS = 20_000
 MAX_BLOCKS = 4_000
 SAMPLES_PER_BLOCK = 64
-_HASH = "_group_hash"
-_CUTS = "_cuts"
+HASH = "_group_hash"
+CUTS = "_cuts"
 BLOCK = "_block"
 
 
@@ -45,12 +45,12 @@ class OrderedGroups:
             return df.withColumn(BLOCK, F.lit(0))
         position = F.struct(*self.order)
         return (
-            df.withColumn(_HASH, F.xxhash64(*self.keys))
-            .join(F.broadcast(self.cuts), _HASH, "left")
+            df.withColumn(HASH, F.xxhash64(*self.keys))
+            .join(F.broadcast(self.cuts), HASH, "left")
             .withColumn(
                 BLOCK,
-                F.when(F.col(_CUTS).isNull(), F.lit(0)).otherwise(
-                    _cuts_up_to(F.col(_CUTS), position, self.longest)
+                F.when(F.col(CUTS).isNull(), F.lit(0)).otherwise(
+                    _cuts_up_to(F.col(CUTS), position, self.longest)
                 ),
             )
         )
@@ -78,13 +78,11 @@ def ordered_groups(
     spark = df.sparkSession
     plain = OrderedGroups(tuple(keys), tuple(order))
     limit = max_group_rows(spark)
-    if rows_at_most is not None and rows_at_most <= limit:
-        return plain
-    total = df.count()
+    total = df.count() if rows_at_most is None else rows_at_most
     if total <= limit:
         return plain
     limit = max(limit, total // MAX_BLOCKS)
-    hashed = df.select(F.xxhash64(*keys).alias(_HASH), F.struct(*order).alias("cut"))
+    hashed = df.select(F.xxhash64(*keys).alias(HASH), F.struct(*order).alias("cut"))
     big = _big_groups(hashed, limit)
     if not big:
         return plain
@@ -92,8 +90,8 @@ def ordered_groups(
     if not cuts:
         return plain
     schema = T.StructType([
-        T.StructField(_HASH, T.LongType()),
-        T.StructField(_CUTS, T.ArrayType(hashed.schema["cut"].dataType)),
+        T.StructField(HASH, T.LongType()),
+        T.StructField(CUTS, T.ArrayType(hashed.schema["cut"].dataType)),
     ])
     table = spark.createDataFrame(list(cuts.items()), schema)
     return OrderedGroups(tuple(keys), tuple(order), table, max(map(len, cuts.values())))
@@ -102,7 +100,7 @@ def ordered_groups(
 def _big_groups(hashed: DataFrame, limit: int) -> dict[int, int]:
     """Estimated rows of every group above ``limit``: one pass, no shuffle of the keys."""
     top = hashed.agg(
-        F.expr(f"approx_top_k({_HASH}, {MAX_BLOCKS}, {TRACKED_ITEMS})").alias("top")
+        F.expr(f"approx_top_k({HASH}, {MAX_BLOCKS}, {TRACKED_ITEMS})").alias("top")
     ).select(F.inline("top"))
     return {r[0]: r[1] for r in top.filter(F.col("count") > limit).take(MAX_BLOCKS)}
 
@@ -111,21 +109,21 @@ def _cut_points(hashed: DataFrame, big: dict[int, int], limit: int) -> dict[int,
     """Quantiles of the order inside each big group, from a sample that only places cuts."""
     blocks = {h: -(-n // limit) for h, n in big.items()}
     wanted = F.broadcast(
-        hashed.sparkSession.createDataFrame(list(blocks.items()), f"{_HASH} bigint, blocks bigint")
+        hashed.sparkSession.createDataFrame(list(blocks.items()), f"{HASH} bigint, blocks bigint")
     )
     fraction = min(1.0, SAMPLES_PER_BLOCK * sum(blocks.values()) / sum(big.values()))
-    group = Window.partitionBy(_HASH)
+    group = Window.partitionBy(HASH)
     bucket = F.floor((F.row_number().over(group.orderBy("cut")) - 1) * F.col("blocks") / F.count("*").over(group))
     edges = (
-        hashed.join(wanted, _HASH)
+        hashed.join(wanted, HASH)
         .sample(fraction, seed=17)
-        .select(_HASH, "cut", bucket.alias("bucket"))
-        .groupBy(_HASH, "bucket")
+        .select(HASH, "cut", bucket.alias("bucket"))
+        .groupBy(HASH, "bucket")
         .agg(F.min("cut").alias("cut"))
         .filter("bucket > 0")
         .take(2 * MAX_BLOCKS)
     )
     cuts: dict[int, list] = {}
-    for row in sorted(edges, key=lambda r: (r[_HASH], r["bucket"])):
-        cuts.setdefault(row[_HASH], []).append(row["cut"])
+    for row in sorted(edges, key=lambda r: (r[HASH], r["bucket"])):
+        cuts.setdefault(row[HASH], []).append(row["cut"])
     return cuts

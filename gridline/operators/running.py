@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .groups import BLOCK, OrderedGroups
+from .groups import BLOCK, CUTS, HASH, OrderedGroups
+from .ranking import first_rows
 
-_SCRATCH = ("_group_hash", "_cuts", BLOCK)
+_SCRATCH = (HASH, CUTS, BLOCK)
 
 
 @dataclass(frozen=True)
@@ -142,15 +143,9 @@ def _split(df: DataFrame, groups: OrderedGroups, features: dict[str, Running]) -
     block = Window.partitionBy(*keys, BLOCK)
     in_order = block.orderBy(*order)
 
-    carried = _carried(rows.filter(F.col("_cuts").isNotNull()), keys, order, parts, row_part, slid, reach)
-    tables = rows.alias("r").join(
-        F.broadcast(carried.alias("c")),
-        (F.col(f"r.{BLOCK}") == F.col(f"c.{BLOCK}"))
-        & _all_equal([F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]),
-        "left",
-    )
-    extra = [c for c in carried.columns if c not in (*keys, BLOCK)]
-    rows = tables.select("r.*", *[F.col(f"c.{c}") for c in extra])
+    carried = _carried(rows.filter(F.col(CUTS).isNotNull()), keys, order, parts, row_part, slid, reach)
+    rows = _join_blocks(rows, F.broadcast(carried), [HASH, BLOCK], keys)
+    extra = [c for c in carried.columns if c not in (HASH, *keys, BLOCK)]
 
     columns: dict[str, Column] = {}
     nth = F.row_number().over(in_order)
@@ -163,64 +158,74 @@ def _split(df: DataFrame, groups: OrderedGroups, features: dict[str, Running]) -
                 local, other = agg.over(block), F.col(f"_others_{p}")
             else:
                 local = agg.over(in_order.rowsBetween(_lower(f), f.end))
-                other = (
-                    _tail_part(how, p, F.col("_tail"), -f.start - nth + 1)
-                    if f.sliding
-                    else F.col(f"_before_{p}")
-                )
+                # The n-th row of a block lacks (window - n) rows, if any; out of range reads as null.
+                other = F.get(f"_tail_{p}", -f.start - nth) if f.sliding else F.col(f"_before_{p}")
             combined[p] = _combine(how, local, other)
         columns[name] = _finish(f, combined)
     return rows.withColumns(columns).drop(*_SCRATCH, *extra, *row_part.values())
 
 
-def _all_equal(conditions: list[Column]) -> Column:
-    result = F.lit(True)
-    for c in conditions:
-        result = result & c
-    return result
-
-
-def _carried(big_rows, keys, order, parts, row_part, slid, reach) -> DataFrame:
+def _carried(
+    big_rows: DataFrame, keys: list[str], order: list[str], parts: dict[str, tuple[str, Column]],
+    row_part: dict[str, str], slid: set[str], reach: int,
+) -> DataFrame:
     """One row per block of a cut group: parts before it, parts of all other blocks, last rows before it.
 
-    The number of blocks is bounded by the cut points, so the result may be broadcast.
+    Totals combine on the map side, and at most ``reach`` rows per block and
+    task leave the map side for the last rows, so the big groups are not
+    shuffled a second time. The number of blocks is bounded by the cut points,
+    so the result may be broadcast.
     """
-    in_order = Window.partitionBy(*keys, BLOCK).orderBy(*order)
-    totals = [_AGGREGATES[how](row_part[p]).alias(f"t_{p}") for p, (how, _) in parts.items()]
-    if reach:
-        near_end = F.lead(F.lit(1), reach).over(in_order).isNull()
-        last_row = F.when(
-            F.col("_near_end"),
-            F.struct(F.struct(*order).alias("at"), *[F.col(row_part[p]).alias(p) for p in sorted(slid)]),
-        )
-        big_rows = big_rows.withColumn("_near_end", near_end)
-        totals.append(F.array_sort(F.collect_list(last_row)).alias("t_tail"))
-    per_block = big_rows.groupBy(*keys, BLOCK).agg(*totals)
-
-    group = Window.partitionBy(*keys)
-    earlier = group.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    later = group.orderBy(BLOCK).rowsBetween(1, Window.unboundedFollowing)
-    columns = []
+    by_block = [HASH, *keys, BLOCK]
+    blocks = big_rows.groupBy(*by_block).agg(
+        *[_AGGREGATES[how](row_part[p]).alias(f"t_{p}") for p, (how, _) in parts.items()]
+    )
+    group = Window.partitionBy(HASH, *keys).orderBy(BLOCK)
+    earlier = group.rowsBetween(Window.unboundedPreceding, -1)
+    later = group.rowsBetween(1, Window.unboundedFollowing)
+    columns = {}
     for p, (how, _) in parts.items():
         agg = _AGGREGATES[how]
-        columns.append(agg(f"t_{p}").over(earlier).alias(f"_before_{p}"))
-        columns.append(
-            _combine(how, agg(f"t_{p}").over(earlier), agg(f"t_{p}").over(later)).alias(f"_others_{p}")
-        )
+        columns[f"_before_{p}"] = agg(f"t_{p}").over(earlier)
+        columns[f"_others_{p}"] = _combine(how, agg(f"t_{p}").over(earlier), agg(f"t_{p}").over(later))
     if reach:
-        near = group.orderBy(BLOCK).rowsBetween(-reach, -1)
-        columns.append(F.flatten(F.collect_list("t_tail").over(near)).alias("_tail"))
-    return per_block.select(*keys, BLOCK, *columns)
-
-
-def _tail_part(how: str, part: str, tail: Column, missing: Column) -> Column:
-    """Combine ``part`` over the last ``missing`` rows of the blocks before this one."""
-    size = F.when(tail.isNull(), 0).otherwise(F.size(tail))
-    take = F.greatest(F.least(missing, size), F.lit(0))
-    values = F.transform(F.slice(tail, size - take + 1, take), lambda r: r[part])
-    if how == "sum":
-        values = F.filter(values, lambda v: v.isNotNull())
-        total = F.aggregate(values, F.get(values, F.lit(0)) - F.get(values, F.lit(0)), lambda a, v: a + v)
-    else:
-        total = F.array_min(values) if how == "min" else F.array_max(values)
-    return F.when(take > 0, total)
+        row = F.struct(F.struct(*order).alias("at"), *[F.col(row_part[p]).alias(p) for p in sorted(slid)])
+        ends = (
+            first_rows(big_rows, by_block, [F.col(o).desc_nulls_last() for o in order], reach, "_from_end")
+            .groupBy(*by_block).agg(F.array_sort(F.collect_list(row)).alias("end_rows"))
+        )
+        blocks = _join_blocks(blocks, ends, [HASH, BLOCK], keys)
+        columns["_tail"] = F.flatten(F.collect_list("end_rows").over(group.rowsBetween(-reach, -1)))
+    blocks = blocks.withColumns(columns)
+    tails = [_tail_part(parts[p][0], p, reach).alias(f"_tail_{p}") for p in sorted(slid)]
+    return blocks.select(*by_block, *[c for c in columns if c != "_tail"], *tails)
+
+
+def _join_blocks(left: DataFrame, right: DataFrame, on: list[str], keys: list[str]) -> DataFrame:
+    """Left join on non-null columns and on keys that may be null, keeping the left columns."""
+    extra = [c for c in right.columns if c not in (*on, *keys)]
+    condition = F.lit(True)
+    for c in on:
+        condition = condition & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+    for k in keys:
+        condition = condition & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    joined = left.alias("l").join(right.alias("r"), condition, "left")
+    return joined.select("l.*", *[F.col(f"r.{c}") for c in extra])
+
+
+def _tail_part(how: str, part: str, reach: int) -> Column:
+    """Array whose n-th element combines ``part`` over the last n rows of the earlier blocks."""
+    tail = F.col("_tail")
+    values = F.transform(tail, lambda r: r[part])
+
+    def over_last(n: Column) -> Column:
+        chosen = F.slice(values, F.greatest(F.size(tail) - n + 1, F.lit(1)), n)
+        if how == "min":
+            return F.array_min(chosen)
+        if how == "max":
+            return F.array_max(chosen)
+        known = F.filter(chosen, lambda v: v.isNotNull())
+        zero = F.get(known, F.lit(0)) - F.get(known, F.lit(0))
+        return F.aggregate(known, zero, lambda total, v: total + v)
+
+    return F.transform(F.sequence(F.lit(1), F.lit(reach)), over_last)

@@ -95,9 +95,10 @@ def driver_level(rows: DataFrame) -> DataFrame:
     shuffled once, by driver, for the whole chain. Groups are looked for in
     the scan, before any of the windows.
     """
-    career = ordered_groups(rows, ["driverId"], _order(rows, "date"))
-    venue = ordered_groups(rows, ["driverId", "circuitId"], _order(rows, "date"))
-    season = ordered_groups(rows, ["driverId", "year"], _order(rows, "round"))
+    n = rows.count()
+    career = ordered_groups(rows, ["driverId"], _order(rows, "date"), n)
+    venue = ordered_groups(rows, ["driverId", "circuitId"], _order(rows, "date"), n)
+    season = ordered_groups(rows, ["driverId", "year"], _order(rows, "round"), n)
     out = add_running(rows, career, CAREER)
     out = add_running(out, venue, VENUE)
     out = _driver_scores(add_running(out, season, DRIVER_SEASON))

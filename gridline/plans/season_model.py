@@ -15,7 +15,7 @@ from ..operators.sequences import Scaler, build_sequences, padded, sequence_rows
 from ..sources.scratch import staged
 from ..sources.sinks import export_csv
 
-REGULARISATION = [0.0, 0.001, 0.01, 0.1]
+REGULARISATION = [0.001, 0.01, 0.1]
 
 
 def padded_sequences(champ: DataFrame, cutoff: int, validation_years: int) -> DataFrame:
@@ -48,7 +48,7 @@ def fit_best(rows: DataFrame, candidates: list[float] = REGULARISATION) -> Logis
     for strength in candidates:
         model = LogisticRegression(
             featuresCol="features", labelCol="label", weightCol="weight",
-            regParam=strength, standardization=False, maxIter=100,
+            regParam=strength, standardization=False, maxIter=50,
         ).fit(train)
         loss = weighted_log_loss(score(model, validation), "label", "prob", "weight").first()["loss"]
         loss = float("inf") if loss is None else loss

@@ -41,20 +41,22 @@ def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _ranked(rows: DataFrame, monthly: DataFrame, by: str, name: str) -> DataFrame:
+def _ranked(rows: DataFrame, scan: DataFrame, n: int, by: str, name: str) -> DataFrame:
     """Position within the round by a descending value, then by driver."""
     descending = {"_by": -F.col(by)}
-    groups = ordered_groups(monthly.withColumns(descending), ["year", "round"], ["_by", "driverId"])
+    groups = ordered_groups(scan.withColumns(descending), ["year", "round"], ["_by", "driverId"], n)
     return add_running(rows.withColumns(descending), groups, {name: row_number()}).drop("_by")
 
 
 def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The raw tables, written once per session and read back as a source would be."""
     monthly = staged_once(spark, f"monthly:{sf_dir}", lambda: _monthly(spark, sf_dir))
+    n = monthly.count()
     race_id = (F.col("year") * 100 + F.col("round")).alias("raceId")
 
     def results() -> DataFrame:
-        ranked = _ranked(_ranked(monthly, monthly, "qty", "positionOrder"), monthly, "n", "by_count")
+        ranked = _ranked(monthly, monthly, n, "qty", "positionOrder")
+        ranked = _ranked(ranked, monthly, n, "n", "by_count")
         teams = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
             F.col("s_suppkey").alias("driverId"), F.col("s_nationkey").alias("constructorId")
         )
@@ -71,7 +73,7 @@ def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
     def qualifying() -> DataFrame:
         timed = monthly.filter("open_qty IS NOT NULL")
-        timed = _ranked(timed, timed, "open_qty", "position")
+        timed = _ranked(timed, timed, n, "open_qty", "position")
         return timed.select(race_id, "driverId", "position")
 
     def races() -> DataFrame:
