@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -20,9 +21,11 @@ from .operators.sequences import (
 )
 from .plans import features, form, race_model, race_rows, reports, season_model
 from .plans.season_star import TRAIN_CUTOFF, VALIDATION_YEARS, clean_rows, star_tables
-from .session import GROUP_ROWS_KEY
-from .sources.landing import complete_sessions, to_fetch
-from .sources.scratch import staged_once
+from .session import GROUP_ROWS_KEY, scratch_dir
+from .sources.landing import complete_sessions, landing_keys, to_fetch
+from .sources.scratch import staged, staged_once
+from .sources.sinks import load_model, reused, save_model
+from .sources.tables import missing_inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -470,10 +473,20 @@ def imputed_median_in_blocks(spark, sf_dir):
         return rounded(_medians(rows))
 
 
+_MODELS: dict[tuple[str, str], str] = {}
+
+
 def _race_model(spark: SparkSession, sf_dir: str):
+    """The forest and its test rows; trained and saved once per session, then loaded."""
     rows = race_model.model_rows(features.race_features(_season_rows(spark, sf_dir)))
     train, test = race_model.temporal_split(rows, TRAIN_CUTOFF)
-    return race_model.fit(train), test
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        path = f"{scratch_dir(spark)}/forest-{uuid.uuid4().hex[:8]}"
+        with reused(train) as kept:
+            save_model(race_model.fit(kept), path)
+        _MODELS[key] = path
+    return load_model(_MODELS[key]), test
 
 
 @query()
@@ -482,12 +495,30 @@ def race_winner_scores(spark, sf_dir):
     return reports.ordered_race_predictions(race_model.predictions(model.transform(test)))
 
 
+@query()
+def race_winner_metrics(spark, sf_dir):
+    model, test = _race_model(spark, sf_dir)
+    scored = staged(race_model.predictions(model.transform(test)), "race-scores")
+    metrics = scoring.classification_metrics(scored, "is_winner")
+    area = scoring.exact_auc(scored, "is_winner", "winner_probability").first()["auc"]
+    return metrics.withColumn("auc", F.lit(area))
+
+
 @query()
 def feature_importance(spark, sf_dir):
     model, _ = _race_model(spark, sf_dir)
     return race_model.feature_importance(spark, model)
 
 
+@query()
+def fallback_split(spark, sf_dir):
+    """The 80/20 split taken when no test season exists."""
+    rows = race_model.model_rows(features.race_features(_season_rows(spark, sf_dir)))
+    train, test = race_model.temporal_split(rows, 9999)
+    parts = train.withColumn("part", F.lit("train")).union(test.withColumn("part", F.lit("test")))
+    return parts.groupBy("part").agg(F.count("*").alias("rows"))
+
+
 @query()
 def season_outcome_scores(spark, sf_dir):
     return season_model.scored_seasons(_champ(spark, sf_dir), TRAIN_CUTOFF, VALIDATION_YEARS)
@@ -524,3 +555,21 @@ SELECT year, session_key FROM ev GROUP BY year, session_key HAVING COUNT(*) = {l
 def landing_complete(spark, sf_dir):
     found = _landed(spark, sf_dir)
     return complete_sessions(found.select("year", "session_key"), found, _EVENT_TYPES)
+
+
+@query(f"""SELECT event_id, CAST(year(ts) AS INT) AS year, user_id || '-' || strftime(ts, '%Y%m%d') AS session_key,
+  event_type AS endpoint, CAST(json_extract(props, '$.k') AS INT) AS k FROM events""")
+def landing_records(spark, sf_dir):
+    """Keys taken from a landing path, fields from the JSON record."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    day = F.date_format("ts", "yyyyMMdd")
+    folder = F.concat(F.lit("/landing/"), F.year("ts"), F.lit("/"), "user_id", F.lit("-"), day)
+    path = F.concat(folder, F.lit("/"), "event_type", F.lit(".json"))
+    return events.select("event_id", *landing_keys(path), F.from_json("props", "k INT")["k"].alias("k"))
+
+
+@query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
+def inputs_missing(spark, sf_dir):
+    """Expected inputs without a match among those found: documents that have no label."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").select("doc_id")
+    return missing_inputs(read("documents"), read("labels"))

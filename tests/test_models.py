@@ -100,6 +100,6 @@ def test_fill_medians(spark):
     assert got == [(1.0, 7.0), (2.0, 5.0), (2.0, 7.0), (4.0, 9.0), (8.0, 11.0)]
 
 
-@pytest.mark.parametrize("name", ["race_winner_scores", "feature_importance", "season_outcome_scores"])
+@pytest.mark.parametrize("name", ["race_winner_scores", "race_winner_metrics", "feature_importance", "fallback_split", "season_outcome_scores"])
 def test_model_queries_have_rows(spark, sf_dir, name):
     assert contract.queries()[name](spark, sf_dir).count() > 0
