@@ -17,9 +17,10 @@ from pyspark.sql.window import Window
 
 from ..session import max_group_rows
 
-# A sketch that tracks this many items reports every group above total/MAX_BLOCKS rows.
-TRACKED_ITEMS = 20_000
-MAX_BLOCKS = 4_000
+# A frequent-items sketch of this size is sure to report every group above total / MAX_BLOCKS rows.
+TRACKED_ITEMS = 40_000
+MAX_BLOCKS = 8_000
+SKETCH_MERGERS = 64
 SAMPLES_PER_BLOCK = 64
 HASH = "_group_hash"
 CUTS = "_cuts"
@@ -98,10 +99,18 @@ def ordered_groups(
 
 
 def _big_groups(hashed: DataFrame, limit: int) -> dict[int, int]:
-    """Estimated rows of every group above ``limit``: one pass, no shuffle of the keys."""
-    top = hashed.agg(
-        F.expr(f"approx_top_k({HASH}, {MAX_BLOCKS}, {TRACKED_ITEMS})").alias("top")
-    ).select(F.inline("top"))
+    """Estimated rows of every group above ``limit``.
+
+    One pass without a shuffle of the keys: each task sends one sketch, and the
+    sketches are merged by a fixed number of tasks before the last one.
+    """
+    merger = F.pmod(F.spark_partition_id(), F.lit(SKETCH_MERGERS))
+    top = (
+        hashed.groupBy(merger.alias("merger"))
+        .agg(F.expr(f"approx_top_k_accumulate({HASH}, {TRACKED_ITEMS})").alias("sketch"))
+        .agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED_ITEMS})").alias("sketch"))
+        .select(F.expr(f"inline(approx_top_k_estimate(sketch, {MAX_BLOCKS}))"))
+    )
     return {r[0]: r[1] for r in top.filter(F.col("count") > limit).take(MAX_BLOCKS)}
 
 
