@@ -365,7 +365,7 @@ def scored_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PICKS = """,
 picks AS (
-  SELECT p.year, p.driver_name AS predicted, COALESCE(a.driver_name, '?') AS actual, ROUND(p.prob, 3) AS prob,
+  SELECT p.year, p.driver_name AS predicted, COALESCE(a.driver_name, '?') AS actual, ROUND_EVEN(p.prob, 3) AS prob,
          CASE WHEN p.driver_name = COALESCE(a.driver_name, '?') THEN 1 ELSE 0 END AS correct
   FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY year ORDER BY prob DESC, driver_id) AS n FROM scored) p
   LEFT JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY year ORDER BY driver_id) AS n FROM scored

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .groups import BLOCK, CUTS, HASH, OrderedGroups
+from .joins import left_join_null_safe
 from .ranking import first_rows
 
-_SCRATCH = (HASH, CUTS, BLOCK)
-
 
 @dataclass(frozen=True)
 class Running:
@@ -131,6 +130,7 @@ _AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 def _split(df: DataFrame, groups: OrderedGroups, features: dict[str, Running]) -> DataFrame:
+    """Windows per (keys, block), completed by what the other blocks of the group carry over."""
     keys, order = list(groups.keys), list(groups.order)
     reach = max((-f.start for f in features.values() if f.sliding), default=0)
     parts: dict[str, tuple[str, Column]] = {}
@@ -139,30 +139,37 @@ def _split(df: DataFrame, groups: OrderedGroups, features: dict[str, Running]) -
     slid = {p for f in features.values() if f.sliding for p in _parts(f)}
 
     row_part = {p: f"_row_{p}" for p in parts}
-    rows = groups.with_block(df).withColumns({row_part[p]: c for p, (_, c) in parts.items()})
+    per_row = {row_part[p]: c for p, (_, c) in parts.items()}
+
+    cut = groups.with_block(df)
+    big = cut.filter(F.col(CUTS).isNotNull()).withColumns(per_row)
+    carried = _carried(big, keys, order, parts, row_part, slid, reach)
+
+    # Only the rows themselves are shuffled: parts and carried values are added behind the shuffle.
+    rows = cut.drop(HASH, CUTS).repartition(*keys, BLOCK).withColumns(per_row)
     block = Window.partitionBy(*keys, BLOCK)
     in_order = block.orderBy(*order)
-
-    carried = _carried(rows.filter(F.col(CUTS).isNotNull()), keys, order, parts, row_part, slid, reach)
-    rows = _join_blocks(rows, F.broadcast(carried), [HASH, BLOCK], keys)
-    extra = [c for c in carried.columns if c not in (HASH, *keys, BLOCK)]
+    local: dict[str, Column] = {"_nth": F.row_number().over(in_order)} if reach else {}
+    for name, f in features.items():
+        frame = block if f.whole else in_order.rowsBetween(_lower(f), f.end)
+        for p in _parts(f):
+            local[f"_{name}_{p}"] = _AGGREGATES[parts[p][0]](row_part[p]).over(frame)
+    rows = rows.withColumns(local)
+    rows = left_join_null_safe(rows, F.broadcast(carried), [*keys, BLOCK])
 
     columns: dict[str, Column] = {}
-    nth = F.row_number().over(in_order)
     for name, f in features.items():
         combined = {}
         for p in _parts(f):
-            how = parts[p][0]
-            agg = _AGGREGATES[how](row_part[p])
-            if f.whole:
-                local, other = agg.over(block), F.col(f"_others_{p}")
-            else:
-                local = agg.over(in_order.rowsBetween(_lower(f), f.end))
+            if f.sliding:
                 # The n-th row of a block lacks (window - n) rows, if any; out of range reads as null.
-                other = F.get(f"_tail_{p}", -f.start - nth) if f.sliding else F.col(f"_before_{p}")
-            combined[p] = _combine(how, local, other)
+                other = F.get(f"_tail_{p}", -f.start - F.col("_nth"))
+            else:
+                other = F.col(f"_others_{p}" if f.whole else f"_before_{p}")
+            combined[p] = _combine(parts[p][0], F.col(f"_{name}_{p}"), other)
         columns[name] = _finish(f, combined)
-    return rows.withColumns(columns).drop(*_SCRATCH, *extra, *row_part.values())
+    kept = [F.col(c) for c in df.columns if c not in columns]
+    return rows.select(*kept, *[c.alias(n) for n, c in columns.items()])
 
 
 def _carried(
@@ -194,23 +201,11 @@ def _carried(
             first_rows(big_rows, by_block, [F.col(o).desc_nulls_last() for o in order], reach, "_from_end")
             .groupBy(*by_block).agg(F.array_sort(F.collect_list(row)).alias("end_rows"))
         )
-        blocks = _join_blocks(blocks, ends, [HASH, BLOCK], keys)
+        blocks = left_join_null_safe(blocks, ends, by_block)
         columns["_tail"] = F.flatten(F.collect_list("end_rows").over(group.rowsBetween(-reach, -1)))
     blocks = blocks.withColumns(columns)
     tails = [_tail_part(parts[p][0], p, reach).alias(f"_tail_{p}") for p in sorted(slid)]
-    return blocks.select(*by_block, *[c for c in columns if c != "_tail"], *tails)
-
-
-def _join_blocks(left: DataFrame, right: DataFrame, on: list[str], keys: list[str]) -> DataFrame:
-    """Left join on non-null columns and on keys that may be null, keeping the left columns."""
-    extra = [c for c in right.columns if c not in (*on, *keys)]
-    condition = F.lit(True)
-    for c in on:
-        condition = condition & (F.col(f"l.{c}") == F.col(f"r.{c}"))
-    for k in keys:
-        condition = condition & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    joined = left.alias("l").join(right.alias("r"), condition, "left")
-    return joined.select("l.*", *[F.col(f"r.{c}") for c in extra])
+    return blocks.select(*keys, BLOCK, *[c for c in columns if c != "_tail"], *tails)
 
 
 def _tail_part(how: str, part: str, reach: int) -> Column:

@@ -16,7 +16,7 @@ def champion_picks(scored: DataFrame) -> DataFrame:
 
     ``scored`` has driver_id, driver_name, year, label and prob. Both picks are
     partial aggregates, so one row per season and task is shuffled. Equal
-    probabilities go to the first driver_id in text order.
+    probabilities go to the first driver_id in text order. Halves round to even.
     """
     is_champion = F.col("label") == 1
     seasons = scored.groupBy("year").agg(
@@ -26,7 +26,7 @@ def champion_picks(scored: DataFrame) -> DataFrame:
     )
     actual = F.coalesce("actual", F.lit("?"))
     return seasons.select(
-        "year", "predicted", actual.alias("actual"), F.round("prob", 3).alias("prob"),
+        "year", "predicted", actual.alias("actual"), F.bround("prob", 3).alias("prob"),
         F.coalesce(F.col("predicted") == actual, F.lit(False)).cast("int").alias("correct"),
     ).orderBy("year")
 

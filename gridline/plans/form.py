@@ -135,7 +135,7 @@ def with_gap_to_leader(rows: DataFrame, scan: DataFrame | None = None) -> DataFr
     """
     scan = rows if scan is None else scan
     leaders = scan.groupBy("year", "round").agg(F.max("cumulative_points").alias("leader_points"))
-    return lookup(rows, leaders, ["year", "round"]).withColumn(
+    return lookup(rows, leaders, ["year", "round"], nulls_match=True).withColumn(
         "gap_to_leader", F.col("leader_points") - F.col("cumulative_points")
     )
 
@@ -156,7 +156,8 @@ def season_ranks(rows: DataFrame) -> DataFrame:
 
 def with_champions(rows: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """Season rank and champion flag; equal totals share a title. [W24-W26, N6]"""
-    ranked = lookup(rows, season_ranks(rows if scan is None else scan), ["year", "season_total_points"])
+    ranks = season_ranks(rows if scan is None else scan)
+    ranked = lookup(rows, ranks, ["year", "season_total_points"], nulls_match=True)
     return ranked.withColumn("is_champion", flag(F.col("season_rank") == 1))
 
 

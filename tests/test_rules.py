@@ -109,6 +109,14 @@ def test_missing_dimension_keeps_the_result(spark):
     assert row.year is None and row.circuit_name is None and row.driver_name == "Dee 001"
 
 
+def test_results_without_a_race_form_their_own_season(spark):
+    t = tables(spark, [(1, 1, 1, 1, "1", "1", 9.0, 1), (1, 2, 1, 1, "2", "2", 6.0, 1)])
+    t["races"] = t["races"].filter("raceId = -1")
+    got = {r.driverId: (r.is_champion, r.gap_to_leader, r.races_remaining)
+           for r in features.season_rows(staged(race_rows(t))).collect()}
+    assert got == {1: (1, 0.0, None), 2: (0, 3.0, None)}
+
+
 def test_short_seasons(spark):
     lengths = {1: 2, 2: 3, 3: 4, 4: 6}
     results = [(n, d, d, 1, str(d), str(d), float(n), 1) for d, k in lengths.items() for n in range(1, k + 1)]
