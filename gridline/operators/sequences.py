@@ -80,6 +80,8 @@ class Scaler:
             F.array(*[F.avg(F.col("v")[i]) for i in range(width)]).alias("mean"),
             F.array(*[F.stddev_pop(F.col("v")[i]) for i in range(width)]).alias("std"),
         ).first()
+        if None in row["mean"]:
+            raise ValueError("no training sequences to scale with; check the cut-off year")
         return Scaler(list(row["mean"]), [s + STD_EPSILON for s in row["std"]])
 
     def apply(self, sequence: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import flag
 from ..operators.groups import ordered_groups
-from ..operators.joins import lookup
+from ..operators.joins import lookup, pinned
 from ..operators.running import add_running, before, last, row_number, so_far, whole
 from ..sources.scratch import staged
 
@@ -127,14 +127,17 @@ def with_races_remaining(rows: DataFrame, scan: DataFrame | None = None) -> Data
     )
 
 
-def with_gap_to_leader(rows: DataFrame, scan: DataFrame | None = None) -> DataFrame:
-    """Points behind the best driver present in the round. [W27, P19, N7]
+def round_leaders(rows: DataFrame) -> DataFrame:
+    """Most points held by a driver present in each round. [W27, N7]
 
-    One value per (year, round) is aggregated and joined back: a window would
-    put each whole round into one task.
+    Aggregated and joined back: a window would put each whole round into one task.
     """
-    scan = rows if scan is None else scan
-    leaders = scan.groupBy("year", "round").agg(F.max("cumulative_points").alias("leader_points"))
+    return rows.groupBy("year", "round").agg(F.max("cumulative_points").alias("leader_points"))
+
+
+def with_gap_to_leader(rows: DataFrame, leaders: DataFrame | None = None) -> DataFrame:
+    """Points behind the leader of the round. [P19]"""
+    leaders = round_leaders(rows) if leaders is None else leaders
     return lookup(rows, leaders, ["year", "round"], nulls_match=True).withColumn(
         "gap_to_leader", F.col("leader_points") - F.col("cumulative_points")
     )
@@ -163,7 +166,8 @@ def with_champions(rows: DataFrame, scan: DataFrame | None = None) -> DataFrame:
 
 def season_level(rows: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """Champion, races remaining and gap to the leader on driver-level rows."""
-    return with_gap_to_leader(with_races_remaining(with_champions(rows, scan), scan), scan)
+    leaders = pinned(round_leaders(rows if scan is None else scan))
+    return with_gap_to_leader(with_races_remaining(with_champions(rows, scan), leaders), leaders)
 
 
 def with_labels(rows: DataFrame) -> DataFrame:

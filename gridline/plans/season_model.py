@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import CHAMPION_WEIGHT, SEQUENCE_FEATURES, TRAIN_CUTOFF, VALIDATION_YEARS
+from ..functions.columns import sigmoid
 from ..operators.scoring import (
     champion_picks, exact_auc, pick_accuracy, score_summary, top_k_accuracy, weighted_log_loss,
 )
@@ -37,7 +38,7 @@ def model_input(sequences: DataFrame) -> DataFrame:
 
 def score(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
     """Probability of the title per driver-season. [P33]"""
-    probability = vector_to_array("probability").getItem(1).alias("prob")
+    probability = sigmoid(vector_to_array("rawPrediction").getItem(1)).alias("prob")
     return model.transform(rows).select("driver_id", "driver_name", "year", "label", "split", "weight", probability)
 
 
