@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +21,10 @@ from .operators.sequences import (
 )
 from .plans import features, form, race_model, race_rows, reports, season_model
 from .plans.season_star import TRAIN_CUTOFF, VALIDATION_YEARS, clean_rows, star_tables
-from .session import GROUP_ROWS_KEY, scratch_dir
+from .session import GROUP_ROWS_KEY
 from .sources.landing import complete_sessions, landing_keys, to_fetch
 from .sources.scratch import staged, staged_once
-from .sources.sinks import load_model, reused, save_model
+from .sources.sinks import reused
 from .sources.tables import missing_inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -473,20 +473,18 @@ def imputed_median_in_blocks(spark, sf_dir):
         return rounded(_medians(rows))
 
 
-_MODELS: dict[tuple[str, str], str] = {}
+_MODELS: dict[tuple[str, str], PipelineModel] = {}
 
 
-def _race_model(spark: SparkSession, sf_dir: str):
-    """The forest and its test rows; trained and saved once per session, then loaded."""
+def _race_model(spark: SparkSession, sf_dir: str) -> tuple[PipelineModel, DataFrame]:
+    """The forest and its test rows; trained once per session."""
     rows = race_model.model_rows(features.race_features(_season_rows(spark, sf_dir)))
     train, test = race_model.temporal_split(rows, TRAIN_CUTOFF)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
-        path = f"{scratch_dir(spark)}/forest-{uuid.uuid4().hex[:8]}"
         with reused(train) as kept:
-            save_model(race_model.fit(kept), path)
-        _MODELS[key] = path
-    return load_model(_MODELS[key]), test
+            _MODELS[key] = race_model.fit(kept)
+    return _MODELS[key], test
 
 
 @query()

@@ -3,11 +3,13 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from gridline.operators.sequences import build_sequences, sequence_rows
-from gridline.plans import features, form
-from gridline.plans.season_star import clean_rows, star_tables
+from gridline.plans import form
+from gridline.plans.race_rows import joined_results
+from gridline.plans.season_star import clean_rows
 from gridline.sources.scratch import staged
 
 
@@ -59,3 +61,43 @@ def test_no_python_and_no_cartesian_product(spark, sf_dir):
         text = plan(build(spark, sf_dir))
         for bad in ("Python", "Pandas", "CartesianProduct", "NestedLoopJoin"):
             assert bad not in text, (name, bad)
+
+
+def test_join_on_a_hot_driver_is_split(spark, tmp_path):
+    """Drivers too many to broadcast, a third of the results on one of them."""
+    n, drivers = 400_000, 40_000
+    hot = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % drivers).cast("bigint")
+    spark.range(n).select(
+        F.col("id").alias("resultId"), (F.col("id") % 50).cast("int").alias("raceId"), hot.alias("driverId"),
+        F.lit(1).alias("constructorId"), F.lit(1).alias("statusId"), F.lit("1").alias("positionOrder"),
+        F.sha2(F.col("id").cast("string"), 256).alias("grid"), F.lit(1.0).alias("points"),
+    ).write.parquet(str(tmp_path / "results"))
+    spark.range(drivers).select(
+        F.col("id").alias("driverId"), F.sha2(F.col("id").cast("string"), 256).alias("forename"), F.lit("x").alias("surname")
+    ).write.parquet(str(tmp_path / "drivers"))
+    tables = {
+        "results": spark.read.parquet(str(tmp_path / "results")),
+        "drivers": spark.read.parquet(str(tmp_path / "drivers")),
+        "races": spark.sql("SELECT 1 raceId, 2000 year, 1 round, 1 circuitId, 'r' name, DATE'2000-01-01' date"),
+        "circuits": spark.sql("SELECT 1 circuitId, 'c' name"),
+        "constructors": spark.sql("SELECT 1 constructorId, 't' name"),
+        "status": spark.sql("SELECT 1 statusId, 'Finished' status"),
+        "qualifying": spark.sql("SELECT 1 raceId, 1L driverId, 1 position"),
+    }
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "100k",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "100k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "500k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        joined = joined_results(tables).select("resultId", "driver_name", "grid")
+        counts = joined.agg(F.count("*"), F.count("driver_name"), F.count("grid"), F.max("grid"))
+        assert counts.collect()[0][:3] == (n, n, n)
+        assert "SortMergeJoin(skew=true)" in plan(counts)
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
