@@ -307,10 +307,12 @@ def padded_sequences(spark, sf_dir):
     return rounded(long_form(padded(_sequences(scoring_races))))
 
 
-@query(sql.full(f"""SELECT p.driver_id, p.year, p.step, p.feature, {_SPLIT.replace("year", "p.year")} AS split,
-  ROUND((p.value - s.mean) / (s.std + 1e-8), 5) AS value
+# DuckDB keeps the sign when a small negative number rounds to zero; Spark does not. Both mean 0.
+@query(sql.full(f"""SELECT driver_id, year, step, feature, {_SPLIT} AS split,
+  CASE WHEN value = 0 THEN CAST(0 AS DOUBLE) ELSE value END AS value
+  FROM (SELECT p.driver_id, p.year, p.step, p.feature, ROUND((p.value - s.mean) / (s.std + 1e-8), 5) AS value
   FROM pad p JOIN (SELECT feature, AVG(value) AS mean, STDDEV_POP(value) AS std FROM pad
-                   WHERE year <= {TRAIN_CUTOFF - VALIDATION_YEARS} GROUP BY feature) s ON s.feature = p.feature""",
+                   WHERE year <= {TRAIN_CUTOFF - VALIDATION_YEARS} GROUP BY feature) s ON s.feature = p.feature)""",
   sql.sequences("feat", SEQUENCE_FEATURES) + sql.padded_values(SEQUENCE_FEATURES)))
 def normalised_sequences(spark, sf_dir):
     rows = season_model.padded_sequences(_champ(spark, sf_dir), TRAIN_CUTOFF, VALIDATION_YEARS)
