@@ -88,15 +88,15 @@ def _ranked(docs: DataFrame, source: str, key: str, largest: int) -> DataFrame:
 
 
 def mixed(docs: DataFrame, parts: Mapping[str, int] = TARGET_PARTS, source: str = "source", key: str = "doc_id",
-          block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``docs`` with the struct column ``mix``: block, release, deadline, slot, position.
+          block_rows: int = BLOCK_ROWS, out: str = "mix") -> DataFrame:
+    """``docs`` with the struct column ``out``: block, release, deadline, slot, position.
 
     Every source is cut into blocks of ``block_rows`` rows in the order of md5(key); its last
     block may be shorter. Slots follow the target parts: after any number of slots of a phase, a
     source has got less than one block more or less than its share. When a source has ended,
     the rest go on among themselves, so every row has exactly one place. ``position`` orders
     the rows. A null source counts as the source ``''``, a null key as an empty one. Repeated
-    rows get places of their own. An empty table gives no rows. A column ``mix`` is replaced.
+    rows get places of their own. An empty table gives no rows. A column ``out`` is replaced.
     """
     spark = docs.sparkSession
     counts = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s")).count().limit(MAX_CELLS).collect()
@@ -109,12 +109,12 @@ def mixed(docs: DataFrame, parts: Mapping[str, int] = TARGET_PARTS, source: str
     schedule = spark.range(1).select(F.inline(F.from_json(F.lit(text), schema))).select(
         F.col("src").alias("__src"), F.col("phases").alias("__phases"))
     block = F.floor(F.col("__rank") / block_rows)
-    rows = _ranked(docs.drop("mix"), source, key, max(sizes.values(), default=0)).withColumn("__block", block)
+    rows = _ranked(docs.drop(out), source, key, max(sizes.values(), default=0)).withColumn("__block", block)
     rows = rows.join(F.broadcast(schedule), "__src").withColumn("__phase", F.element_at(F.filter(
         "__phases", lambda p: (p["first"] <= F.col("__block")) & (F.col("__block") < p["last"])), 1)).drop("__phases")
     p, k = F.col("__phase"), F.col("__block") - F.col("__phase")["first"]
     slot: Column = p["start"] + F.floor(k / p["parts"]) * p["length"] + F.get(p["slots"], (k % p["parts"]).cast("int"))
-    return rows.withColumn("mix", F.struct(
+    return rows.withColumn(out, F.struct(
         F.col("__block").alias("block"),
         (p["start"] + F.floor(k * p["length"] / p["parts"])).alias("release"),
         (p["start"] + F.ceil((k + 1) * p["length"] / p["parts"])).alias("deadline"),

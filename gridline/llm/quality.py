@@ -92,12 +92,12 @@ def failed_rules(measure: Callable[[str], Column]) -> Column:
     return F.array_compact(F.array(*checks))
 
 
-def quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the struct column ``quality``: all measures, ``base_failed``, ``failed`` and ``kept``.
+def quality(docs: DataFrame, text: str = "text", out: str = "quality") -> DataFrame:
+    """``docs`` with the struct column ``out``: all measures, ``base_failed``, ``failed`` and ``kept``.
 
     A null text counts as empty; empty texts and texts below `MIN_WORDS` words fail. Rows
     are judged one by one: repeated rows get the same verdict, an empty table gives none.
-    Other columns are kept; a column already named ``quality`` is replaced.
+    Other columns are kept; a column already named ``out`` is replaced.
     """
     m = F.col("__measures")
     inner = {n: m["words"][n] for n in ("n_words", "n_repeat_words", "n_stop_words")}
@@ -105,6 +105,6 @@ def quality(docs: DataFrame, text: str = "text") -> DataFrame:
     inner |= {n: m[n] for n in ("word_chars", "n_symbols", "n_capitals")}
     base = (inner["n_words"] < MIN_WORDS) | (100 * inner["n_repeat_words"] > MAX_REPEAT_PERCENT * inner["n_words"])
     failed = failed_rules(inner.__getitem__)
-    return docs.withColumn("__measures", measures(F.col(text))).withColumn("quality", F.struct(
+    return docs.withColumn("__measures", measures(F.col(text))).withColumn(out, F.struct(
         *[inner[n].alias(n) for n in BASE + EXTRA], base.alias("base_failed"), failed.alias("failed"),
         (~base & (F.size(failed) == 0)).alias("kept"))).drop("__measures")

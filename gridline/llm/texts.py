@@ -61,6 +61,14 @@ class Flat:
             h[i] = xxhash.xxh64_intdigest(fold[self.data[self.begin[i]:self.end[i]]].tobytes())
         return mixed(h + size.astype(np.uint64))
 
+    def prefixes(self, k: int, fold: np.ndarray = PLAIN) -> np.ndarray:
+        """Hash of the first ``k`` bytes of each word, of another family than the hashes of words."""
+        h, codes = np.full(len(self.begin), _GRAM), _CODES[fold]
+        for j in range(k):
+            live = np.flatnonzero(self.end - self.begin > j)
+            h[live] = (h[live] + codes[self.data[self.begin[live] + j]]) * _STEP
+        return mixed(h)
+
     def grams(self, k: int) -> np.ndarray:
         """Hash of the ``k`` words from each word on; those that run over the end of a text mean nothing."""
         n = len(self.hash) - k + 1
