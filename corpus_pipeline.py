@@ -14,7 +14,7 @@ from gridline.session import scratch_dir
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules; the others go."""
-    return quality.quality(docs).where("quality.kept").select(*docs.columns)
+    return quality.quality(docs, out="__quality").where("__quality.kept").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture: files by name, and rows within a file."""
-    rows = mixing.mixed(docs)
-    return rows.repartitionByRange("mix.position").sortWithinPartitions("mix.position").select(*docs.columns)
+    rows = mixing.mixed(docs, out="__mix")
+    return rows.repartitionByRange("__mix.position").sortWithinPartitions("__mix.position").select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
