@@ -15,70 +15,70 @@ from ..sources.scratch import staged
 from .fmindex import FMIndex
 from .texts import Flat, slices
 
-WINDOW, GRAM = 13, 6
+WINDOW, GRAM = 13, 4
 #: Words that a shard's index holds on average, and the least number of shards.
 SHARD_WORDS, LEAST_SHARDS = 400_000, 96
 #: Runs of one anchor above which each window of them is routed by its own words.
 HOT_RUNS = 3000
 
 
-def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, v, anchor, start, windows): maximal runs of windows with the same least gram hash.
+def _runs(flat: Flat, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word in it, windows, anchor) of the maximal runs of windows with the same least gram hash.
 
-    Equal windows have equal anchors wherever they stand, so they can only meet under it.
+    Equal windows have equal anchors wherever they stand, so they can only meet under one.
     """
+    least = flat.grams(gram)
+    width, most = 1, window - gram + 1
+    if len(least) < most:
+        return (np.zeros(0, np.int64),) * 4
+    while width < most:
+        add = min(width, most - width)
+        least = np.minimum(least[:-add], least[add:])
+        width += add
+    # Windows that run over the end of their text are left out.
+    own = np.repeat(np.arange(len(flat.first) - 1), np.diff(flat.first))[:len(least)]
+    place = np.flatnonzero(np.arange(len(least)) + window <= flat.first[own + 1])
+    own, least = own[place], least[place]
+    first = np.flatnonzero(np.concatenate([[len(place) > 0], (least[1:] != least[:-1]) | (own[1:] != own[:-1])])[:len(place)])
+    return own[first], place[first] - flat.first[own[first]], np.diff(np.append(first, len(place))), least[first].view(np.int64)
+
+
+def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(id, v, anchor) of all runs of ``docs`` (id, v, t)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, vs = (batch.column(i).to_numpy() for i in (0, 1))
-            for at, n, data, offsets in slices(batch.column(2)):
-                flat = Flat(data, offsets)
-                least = flat.grams(gram)
-                if len(least) < window - gram + 1:
-                    continue
-                width = 1
-                while width < window - gram + 1:
-                    add = min(width, window - gram + 1 - width)
-                    least = np.minimum(least[:-add], least[add:])
-                    width += add
-                # Windows that run over the end of their text are left out.
-                own = np.repeat(np.arange(n), np.diff(flat.first))[:len(least)]
-                inside = np.arange(len(least)) + window <= flat.first[own + 1]
-                place, own, least = np.flatnonzero(inside), own[inside], least[inside]
-                if not len(place):
-                    continue
-                new = np.concatenate([[True], (least[1:] != least[:-1]) | (own[1:] != own[:-1])])
-                first = np.flatnonzero(new)
-                size = np.diff(np.append(first, len(place)))
-                doc = own[first]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at + doc]), pa.array(vs[at + doc]), pa.array(least[first].view(np.int64)),
-                     pa.array((place[first] - flat.first[doc]).astype(np.int32)), pa.array(size.astype(np.int32))],
-                    ["id", "v", "anchor", "start", "windows"])
-
-    return docs.select("id", "v", "t").where("id is not null").mapInArrow(
-        run, "id long, v long, anchor long, start int, windows int")
-
-
-def _extract(rows: DataFrame, window: int) -> DataFrame:
-    """(id, start, words, hot) of the runs listed with each text; hot runs become single windows."""
+            for at, _, data, offsets in slices(batch.column(2)):
+                text, _, _, anchor = _runs(Flat(data, offsets), window, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + text]), pa.array(vs[at + text]), pa.array(anchor)], ["id", "v", "anchor"])
+
+    return docs.select("id", "v", "t").where("id is not null").mapInArrow(run, "id long, v long, anchor long")
+
+
+def _extract(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    """(id, v, start, anchor, words) of the runs with the anchors listed for each text; a hot anchor's runs become single windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
         for batch in batches:
-            out: list[tuple] = []
-            for r in range(batch.num_rows):
-                i, v, text, runs = (c[r].as_py() for c in batch.columns)
-                words = text.encode().split()
-                for x in runs:
-                    a, n = x["start"], x["windows"]
-                    for b, m in zip(range(a, a + n), [1] * n) if x["hot"] else [(a, n)]:
-                        out.append((i, v, b, m, None if x["hot"] else x["anchor"], b" ".join(words[b:b + m + window - 1]).decode()))
-            if out:
-                columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()),
-                     pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.string())],
-                    ["id", "v", "start", "windows", "anchor", "words"])
-
-    return rows.mapInArrow(run, "id long, v long, start int, windows int, anchor long, words string")
+            for at, n, data, offsets in slices(batch.column(2)):
+                text, start, size, anchor = _runs(Flat(data, offsets), window, gram)
+                edge, out = np.searchsorted(text, np.arange(n + 1)), []
+                for r in range(n):
+                    i, v, wanted, hot = (batch.column(c)[at + r] for c in (0, 1, 3, 4))
+                    i, v, hot = i.as_py(), v.as_py(), set(hot.as_py())
+                    mine = slice(edge[r], edge[r + 1])
+                    keep = np.isin(anchor[mine], wanted.values.to_numpy())
+                    words = data[offsets[r]:offsets[r + 1]].tobytes().split()
+                    for a, m, x in zip(start[mine][keep].tolist(), size[mine][keep].tolist(), anchor[mine][keep].tolist()):
+                        if x in hot:
+                            out += [(i, v, b, None, b" ".join(words[b:b + window]).decode()) for b in range(a, a + m)]
+                        else:
+                            out.append((i, v, a, x, b" ".join(words[a:a + m + window - 1]).decode()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["id", "v", "start", "anchor", "words"])
+
+    return rows.mapInArrow(run, "id long, v long, start int, anchor long, words string").withColumn(
+        "key", F.unhex(F.md5(F.col("words").cast("binary"))))
 
 
 def shard_matches(words: list[str], owners: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
@@ -105,31 +105,37 @@ def shard_matches(words: list[str], owners: np.ndarray, window: int = WINDOW) ->
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, v, starts): of each text the windows that also start in a text with a smaller id.
+    """(id, v, starts, copy): of each text the windows that also start in a text with a smaller id.
 
-    ``docs`` has id, v (hash of the text) and t (text). Anchors that only one text has cannot
-    hold a repeated window; the runs of the others are cut out of the texts, equal runs are
-    collapsed to their smallest id, and dealt to shards by anchor. Where an anchor is common,
-    its windows are dealt by their own words instead, so that no shard follows a hot anchor.
+    ``docs`` has id, v (hash of the text) and t (text). A copy of a text with a smaller id loses
+    every window and goes no further. Anchors that only one text has cannot hold a window that
+    others share; the runs of the others are cut out of the texts, equal runs are collapsed to
+    their smallest id, and dealt to shards by anchor. Where an anchor is common, its windows are
+    dealt by their own words instead, so that no shard follows a hot anchor.
     """
+    marked = docs.where("id is not null").select("id", "v", F.unhex(F.md5(F.col("t").cast("binary"))).alias("same"))
+    copies = marked.join(marked.groupBy("same").agg(F.min("id").alias("owner")), "same").where("owner < id").select("id", "v").distinct()
+    copies = staged(copies, "copied-texts")
     runs = anchors(docs, window, gram)
-    shared = runs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("a < b")
-    listed = runs.join(shared.select("anchor", (F.col("n") > HOT_RUNS).alias("hot")), "anchor").groupBy("id", "v").agg(
-        F.collect_set(F.struct("start", "windows", "anchor", "hot")).alias("runs"))
-    found = staged(_extract(docs.join(listed, ["id", "v"]).select("id", "v", "t", "runs"), window).withColumn(
-        "key", F.md5(F.col("words").cast("binary"))), "shared-runs")
-    total = found.agg(F.sum(F.col("windows") + (window - 1))).first()[0] or 0
+    shared = staged(runs.groupBy("anchor").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n")).where(
+        "a <> b").select("anchor", "n"), "shared-anchors")
+    meeting = runs.join(shared.select("anchor", F.when(F.col("n") > HOT_RUNS, F.col("anchor")).alias("hot")), "anchor")
+    listed = meeting.groupBy("id", "v").agg(F.collect_set("anchor").alias("anchors"), F.collect_set("hot").alias("hot"))
+    listed = staged(listed.join(copies, ["id", "v"], "left_anti"), "anchors-of-texts")
+    total = (shared.agg(F.sum("n")).first()[0] or 0) * 3 * window // 2
     shards = max(LEAST_SHARDS, -(-total // SHARD_WORDS))
+    found = _extract(docs.join(listed, ["id", "v"]).select("id", "v", "t", "anchors", "hot"), window, gram)
     shard = F.pmod(F.when(F.col("anchor").isNull(), F.xxhash64("words")).otherwise(F.xxhash64("anchor")), F.lit(shards)).cast("int")
     distinct = found.groupBy("key", "words", shard.alias("shard")).agg(F.min("id").alias("owner"))
 
     def match(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"key": group["key"], "least": shard_matches(group["words"].tolist(), group["owner"].to_numpy(np.int64), window)})
 
-    least = distinct.groupBy("shard").applyInPandas(match, "key string, least array<long>")
+    least = distinct.groupBy("shard").applyInPandas(match, "key binary, least array<long>")
     hits = found.select("id", "v", "start", "key").join(least, "key").select(
         "id", "v", F.array_compact(F.transform("least", lambda m, i: F.when(m < F.col("id"), F.col("start") + i))).alias("starts"))
-    return hits.where(F.size("starts") > 0).groupBy("id", "v").agg(F.flatten(F.collect_set("starts")).alias("starts"))
+    hits = hits.where(F.size("starts") > 0).groupBy("id", "v").agg(F.flatten(F.collect_set("starts")).alias("starts"))
+    return hits.withColumn("copy", F.lit(False)).union(copies.select("id", "v", F.lit(None).cast("array<bigint>"), F.lit(True)))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, keep_text: bool = True) -> DataFrame:
@@ -149,10 +155,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, t, starts in zip(*(c.to_pylist() for c in batch.columns)):
+            for i, t, starts, copy in zip(*(c.to_pylist() for c in batch.columns)):
                 words = t.encode().split()
                 n = len(words)
-                if starts:
+                if copy and n >= window:
+                    words = []
+                elif starts:
                     gone = np.zeros(n + 1, np.int64)
                     at = np.unique(np.array(starts))
                     np.add.at(gone, at, 1)
@@ -166,5 +174,5 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names[:len(columns)])
 
-    joined = rows.join(repeated_windows(rows, window), ["id", "v"], "left").select("id", "t", "starts")
+    joined = rows.join(repeated_windows(rows, window), ["id", "v"], "left").select("id", "t", "starts", "copy")
     return joined.mapInArrow(finish, fields).withColumnRenamed("id", key)
