@@ -219,12 +219,11 @@ class SetIndex:
 def _compare(groups: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that span the sets that link, from the whole sets of each tile."""
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
-        rep, block = tile["rep"].to_numpy(np.int64), tile["block"].to_numpy()
+        rep = tile["rep"].to_numpy(np.int64)
         sets = [np.frombuffer(b, "<i8") for b in tile["grams"]]
         ends = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for x, linked in SetIndex(sets, percent).links():
             ends.append((np.full(len(linked), x, np.int64), linked))
-        del block
         i, j = (np.concatenate(e) for e in zip(*ends))
         return _stars(rep, i, j).to_pandas()
 
@@ -257,10 +256,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, key: str
     lists = entries(reps).groupBy("gram").count()
     found = lists.where(F.col("count") > FREQUENT).orderBy(F.desc("count"), "gram").limit(MOST_FREQUENT).collect()
     if found:
-        own = rows.join(reps.select(F.col("rep").alias("id"), "f", "g"), "id")
-        again = _sets(own.select("id", "t"), k, percent, [r["gram"] for r in found])
-        reps = staged(again.join(reps.select(F.col("rep").alias("id"), "f", "g"), ["id", "f", "g"]).dropDuplicates(["id", "f", "g"]).select(
-            "n", "f", "g", F.col("id").alias("rep"), "prefix", "bitmap"), "distinct-sets")
+        again = _sets(rows, k, percent, [r["gram"] for r in found])
+        reps = staged(_distinct(again), "distinct-sets")
         lists = entries(reps).groupBy("gram").count()
     shared = lists.where("count > 1").withColumnRenamed("count", "size")
     meeting = entries(reps).join(shared, "gram").join(reps.select("rep", "n", "bitmap"), ["rep", "n"])
