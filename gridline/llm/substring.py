@@ -15,7 +15,7 @@ from ..sources.scratch import staged
 from .fmindex import FMIndex
 from .texts import Flat, slices
 
-WINDOW, GRAM = 13, 4
+WINDOW, GRAM = 13, 3
 #: Words that a shard's index holds on average, and the least number of shards.
 SHARD_WORDS, LEAST_SHARDS = 400_000, 96
 #: Runs of one anchor above which each window of them is routed by its own words.
@@ -44,7 +44,7 @@ def _runs(flat: Flat, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, v, anchor) of all runs of ``docs`` (id, v, t)."""
+    """(id, v, anchor) of all runs of ``docs`` (id, t); v is a hash of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, vs = (batch.column(i).to_numpy() for i in (0, 1))
@@ -52,7 +52,7 @@ def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
                 text, _, _, anchor = _runs(Flat(data, offsets), window, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at + text]), pa.array(vs[at + text]), pa.array(anchor)], ["id", "v", "anchor"])
 
-    return docs.select("id", "v", "t").where("id is not null").mapInArrow(run, "id long, v long, anchor long")
+    return docs.where("id is not null").select("id", F.xxhash64("t").alias("v"), "t").mapInArrow(run, "id long, v long, anchor long")
 
 
 def _extract(rows: DataFrame, window: int, gram: int) -> DataFrame:
@@ -77,8 +77,7 @@ def _extract(rows: DataFrame, window: int, gram: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["id", "v", "start", "anchor", "words"])
 
-    return rows.mapInArrow(run, "id long, v long, start int, anchor long, words string").withColumn(
-        "key", F.unhex(F.md5(F.col("words").cast("binary"))))
+    return rows.mapInArrow(run, "id long, v long, start int, anchor long, words string")
 
 
 def shard_matches(words: list[str], owners: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
@@ -105,37 +104,41 @@ def shard_matches(words: list[str], owners: np.ndarray, window: int = WINDOW) ->
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, v, starts, copy): of each text the windows that also start in a text with a smaller id.
+    """(id, found): for each id the (v, starts, copy) of its texts: windows that also start in a text with a smaller id.
 
-    ``docs`` has id, v (hash of the text) and t (text). A copy of a text with a smaller id loses
+    ``docs`` has id and t (text); v is a hash of the text. A copy of a text with a smaller id loses
     every window and goes no further. Anchors that only one text has cannot hold a window that
     others share; the runs of the others are cut out of the texts, equal runs are collapsed to
     their smallest id, and dealt to shards by anchor. Where an anchor is common, its windows are
     dealt by their own words instead, so that no shard follows a hot anchor.
     """
-    marked = docs.where("id is not null").select("id", "v", F.unhex(F.md5(F.col("t").cast("binary"))).alias("same"))
-    copies = marked.join(marked.groupBy("same").agg(F.min("id").alias("owner")), "same").where("owner < id").select("id", "v").distinct()
-    copies = staged(copies, "copied-texts")
+    marked = docs.where("id is not null").select("id", F.xxhash64("t").alias("v"), F.unhex(F.md5(F.col("t").cast("binary"))).alias("same"))
+    judged = staged(marked.join(marked.groupBy("same").agg(F.min("id").alias("owner")), "same").select(
+        "id", "v", (F.col("owner") < F.col("id")).alias("copy")).distinct(), "copied-texts")
+    done = judged.groupBy("id").agg(F.every("copy").alias("copy")).where("copy").select("id")
     runs = anchors(docs, window, gram)
     shared = staged(runs.groupBy("anchor").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n")).where(
         "a <> b").select("anchor", "n"), "shared-anchors")
-    meeting = runs.join(shared.select("anchor", F.when(F.col("n") > HOT_RUNS, F.col("anchor")).alias("hot")), "anchor")
-    listed = meeting.groupBy("id", "v").agg(F.collect_set("anchor").alias("anchors"), F.collect_set("hot").alias("hot"))
-    listed = staged(listed.join(copies, ["id", "v"], "left_anti"), "anchors-of-texts")
+    meeting = runs.select("id", "anchor").join(shared.select("anchor", F.when(F.col("n") > HOT_RUNS, F.col("anchor")).alias("hot")), "anchor")
+    listed = meeting.groupBy("id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set("hot").alias("hot"))
+    listed = staged(listed.join(done, "id", "left_anti"), "anchors-of-texts")
     total = (shared.agg(F.sum("n")).first()[0] or 0) * 3 * window // 2
     shards = max(LEAST_SHARDS, -(-total // SHARD_WORDS))
-    found = _extract(docs.join(listed, ["id", "v"]).select("id", "v", "t", "anchors", "hot"), window, gram)
+    found = _extract(docs.join(listed, "id").select("id", F.xxhash64("t").alias("v"), "t", "anchors", "hot"), window, gram)
     shard = F.pmod(F.when(F.col("anchor").isNull(), F.xxhash64("words")).otherwise(F.xxhash64("anchor")), F.lit(shards)).cast("int")
-    distinct = found.groupBy("key", "words", shard.alias("shard")).agg(F.min("id").alias("owner"))
+    distinct = found.groupBy("words", shard.alias("shard")).agg(F.min("id").alias("owner"))
 
     def match(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"key": group["key"], "least": shard_matches(group["words"].tolist(), group["owner"].to_numpy(np.int64), window)})
+        words = group["words"].tolist()
+        return pd.DataFrame({"key": [hashlib.md5(w.encode()).digest() for w in words],
+                             "least": shard_matches(words, group["owner"].to_numpy(np.int64), window)})
 
     least = distinct.groupBy("shard").applyInPandas(match, "key binary, least array<long>")
-    hits = found.select("id", "v", "start", "key").join(least, "key").select(
+    hits = found.select("id", "v", "start", F.unhex(F.md5(F.col("words").cast("binary"))).alias("key")).join(least, "key").select(
         "id", "v", F.array_compact(F.transform("least", lambda m, i: F.when(m < F.col("id"), F.col("start") + i))).alias("starts"))
-    hits = hits.where(F.size("starts") > 0).groupBy("id", "v").agg(F.flatten(F.collect_set("starts")).alias("starts"))
-    return hits.withColumn("copy", F.lit(False)).union(copies.select("id", "v", F.lit(None).cast("array<bigint>"), F.lit(True)))
+    hits = hits.where(F.size("starts") > 0).withColumn("copy", F.lit(False)).union(
+        judged.where("copy").select("id", "v", F.array().cast("array<long>"), "copy"))
+    return hits.groupBy("id").agg(F.collect_list(F.struct("v", "starts", "copy")).alias("found"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, keep_text: bool = True) -> DataFrame:
@@ -148,8 +151,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     empty table gives no rows; other columns are not read. Runs meet by 64-bit anchor hashes,
     which only brings them together: windows match by their words.
     """
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn(
-        "v", F.xxhash64("t"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     fields = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,5 +176,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names[:len(columns)])
 
-    joined = rows.join(repeated_windows(rows, window), ["id", "v"], "left").select("id", "t", "starts", "copy")
+    joined = rows.join(repeated_windows(rows, window), "id", "left")
+    own = F.filter("found", lambda f: f["v"] == F.xxhash64("t"))
+    joined = joined.select("id", "t", F.flatten(F.transform(own, lambda f: f["starts"])).alias("starts"),
+                           F.exists(own, lambda f: f["copy"]).alias("copy"))
     return joined.mapInArrow(finish, fields).withColumnRenamed("id", key)
