@@ -1,9 +1,9 @@
-"""Tokenizing by space-separated chunks with a bounded memory of chunks seen before."""
+"""Tokenizing by parts of texts with a bounded memory of parts seen before."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 
@@ -26,36 +26,30 @@ def cut(text: str) -> list[str]:
     return out
 
 
-class ChunkCoder:
-    """Ids of texts, put together from the ids of their chunks.
+class PartCoder:
+    """Ids of texts, put together from the ids of their parts.
 
-    ``encode(chunks, first)`` gives the little-endian 32-bit ids of each chunk; ``first`` tells
-    whether they start a text or follow a space. Right for tokenizers whose tokens never reach
-    over a space between visible characters. The memory is emptied at ``most`` chunks.
+    ``cut`` takes a text apart, ``encode`` gives the little-endian 32-bit ids of each part. Right
+    where the tokenizer's own tokens never reach over the cuts. The memory of parts seen before
+    is emptied at ``most`` parts.
     """
 
-    def __init__(self, encode: Callable[[list[str], bool], list[bytes]], most: int = 300_000):
-        self.encode, self.most = encode, most
-        self.seen: dict[bool, dict[str, bytes]] = {True: {}, False: {}}
-
-    def _learn(self, chunks: Iterable[str], first: bool) -> None:
-        seen = self.seen[first]
-        new = list(set(chunks) - seen.keys())
-        if len(seen) + len(new) > self.most:
-            seen.clear()
-            new = list(set(chunks))
-        if new:
-            seen.update(zip(new, self.encode(new, first)))
+    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]], most: int = 700_000):
+        self.cut, self.encode, self.most = cut, encode, most
+        self.seen: dict[str, bytes] = {}
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [cut(t) for t in texts]
-        self._learn([p[0] for p in parts], True)
-        rest: set[str] = set()
-        for p in parts:
-            rest.update(p[1:])
-        self._learn(rest, False)
-        first, later = self.seen[True], self.seen[False].__getitem__
-        return [np.frombuffer(first[p[0]] + b"".join(map(later, p[1:])), "<u4") for p in parts]
+        cuts, parts = [self.cut(t) for t in texts], set()
+        for c in cuts:
+            parts.update(c)
+        new = list(parts - self.seen.keys())
+        if len(self.seen) + len(new) > self.most:
+            self.seen.clear()
+            new = list(parts)
+        if new:
+            self.seen.update(zip(new, self.encode(new)))
+        ids = self.seen.__getitem__
+        return [np.frombuffer(b"".join(map(ids, c)), "<u4") for c in cuts]
 
 
 def packed(ids: list[int]) -> bytes:

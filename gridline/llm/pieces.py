@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import ChunkCoder, packed
+from .chunks import PartCoder, cut, packed
 from .texts import slices
 
 _MARK = "▁"
@@ -114,7 +114,7 @@ class Pieces:
         apart = all(_MARK not in p.lstrip(_MARK) for p in pieces)
         plain = self.dummy and not self.squeeze and not self.map.units and spec.escape_whitespaces
         bytewise = any(self.library.is_byte(i) for i in range(size))
-        self.coder = ChunkCoder(lambda chunks, _: [packed(i) for i in self.library.encode(chunks, num_threads=1)]) \
+        self.coder = PartCoder(cut, lambda parts: [packed(i) for i in self.library.encode(parts, num_threads=1)], 300_000) \
             if apart and plain and bytewise else None
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:

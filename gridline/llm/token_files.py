@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCoder
+from .chunks import PartCoder
 from .texts import slices
 
 MAGIC = b"GLTOK1\0\0"
@@ -62,15 +62,15 @@ def unpack(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndarra
     return np.concatenate(out)[start - start // block_ids * block_ids:][:max(0, stop - start)]
 
 
-_CODERS: dict[str, ChunkCoder] = {}
+_CODERS: dict[str, PartCoder] = {}
 
 
-def coder(path: str) -> ChunkCoder:
+def coder(path: str) -> PartCoder:
     """Coder of a byte-level BPE file, one for each Python worker.
 
-    Such a tokenizer first cuts a text by its pattern, and no piece of it holds a space after a
-    visible character. A missed chunk is cut by the same pattern, and only pieces not met before
-    are encoded, all in one call of the library.
+    Such a tokenizer first cuts a text by its pattern and merges within the pieces. The same
+    pattern cuts the texts here, and only pieces not met before are encoded, all in one call of
+    the library. A text with a special token is one piece.
     """
     if path not in _CODERS:
         import regex
@@ -78,31 +78,23 @@ def coder(path: str) -> ChunkCoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         library = Tokenizer.from_file(path)
-        pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         vocabulary = library.get_vocab(with_added_tokens=True)
         width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a token stands for a byte
         width[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         special = [t.content for t in library.get_added_tokens_decoder().values()]
-        known: dict[str, bytes] = {}
-
-        def encode(chunks: list[str], first: bool) -> list[bytes]:
-            texts = chunks if first else [" " + c for c in chunks]
-            cuts = [[t] if any(s in t for s in special) else pieces(t) for t in texts]
-            new = list({p for c in cuts for p in c} - known.keys())
-            if len(known) + len(new) > 700_000:
-                known.clear()
-                new = list({p for c in cuts for p in c})
-            if new:
-                done = library.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)[0]
-                ids = np.array(done.ids, "<u4")
-                # Ids hold no borders between pieces, but both spell out the same bytes.
-                ends = np.searchsorted(np.cumsum(width[ids]), np.cumsum([len(p.encode()) for p in new]), "left") + 1
-                begin = 0
-                for p, end in zip(new, ends.tolist()):
-                    known[p], begin = ids[begin:end].tobytes(), end
-            return [b"".join(map(known.__getitem__, c)) for c in cuts]
-
-        _CODERS[path] = ChunkCoder(encode)
+
+        def cut(text: str) -> list[str]:
+            return [text] if any(s in text for s in special) else pieces(text)
+
+        def encode(parts: list[str]) -> list[bytes]:
+            ids = np.array(library.encode_batch_fast([parts], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            # Ids hold no borders between parts, but both spell out the same bytes.
+            ends = np.searchsorted(np.cumsum(width[ids]), np.cumsum([len(p.encode()) for p in parts]), "left") + 1
+            data, ends = ids.tobytes(), (4 * ends).tolist()
+            return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+        _CODERS[path] = PartCoder(cut, encode)
     return _CODERS[path]
 
 
