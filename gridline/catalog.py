@@ -297,14 +297,14 @@ def season_sequences(spark, sf_dir):
     return rounded(long_form(_sequences(_champ(spark, sf_dir))))
 
 
-_POINT_SCORING = sql.sequences("(SELECT * FROM feat WHERE points > 0)", SEQUENCE_FEATURES)
+_SHORT_SEASONS = sql.sequences("(SELECT * REPLACE (year * 10 + (round - 1) // 4 AS year) FROM feat)", SEQUENCE_FEATURES)
 
 
-@query(sql.full(f"SELECT {_LONG} FROM pad", _POINT_SCORING + sql.padded_values(SEQUENCE_FEATURES)))
+@query(sql.full(f"SELECT {_LONG} FROM pad", _SHORT_SEASONS + sql.padded_values(SEQUENCE_FEATURES)))
 def padded_sequences(spark, sf_dir):
-    """Sequences over scoring races only, whose lengths vary from three to five entries."""
-    scoring_races = _champ(spark, sf_dir).filter("points > 0")
-    return rounded(long_form(padded(_sequences(scoring_races))))
+    """Sequences of seasons of four rounds each, made of all rows; they have one to four entries."""
+    short = _champ(spark, sf_dir).withColumn("year", F.expr("year * 10 + (round - 1) div 4").cast("int"))
+    return rounded(long_form(padded(_sequences(short))))
 
 
 # DuckDB keeps the sign when a small negative number rounds to zero; Spark does not. Both mean 0.
@@ -355,9 +355,11 @@ def split_counts(spark, sf_dir):
 # Evaluation on deterministic scores.
 
 def scored_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of each driver-season: share of the best total after the fifth entry."""
+    """Score of each driver-season of three entries or more: share of the best total after the last of its first five."""
     champ = _champ(spark, sf_dir).withColumnRenamed("won_championship", "label")
-    fifth = first_rows(champ, ["driver_id", "year"], ["round"], 5, "entry").filter("entry = 5")
+    entries = first_rows(champ, ["driver_id", "year"], ["round"], 5, "entry")
+    last = F.max_by(F.struct("driver_name", "label", "cumulative_points"), "entry").alias("last")
+    fifth = entries.groupBy("driver_id", "year").agg(last, F.max("entry").alias("n")).filter("n >= 3").select("driver_id", "year", "last.*")
     best = fifth.groupBy("year").agg(F.max("cumulative_points").alias("best"))
     return lookup(fifth, best, ["year"]).select(
         "driver_id", "driver_name", "year", "label",

@@ -97,10 +97,15 @@ def _parts(f: Running) -> dict[str, tuple[str, Column]]:
         return {f"n_{f.column}": present}
     if f.fn in ("min", "max"):
         return {f"{f.fn}_{f.column}": (f.fn, c)}
-    parts = {f"n_{f.column}": present, f"sum_{f.column}": ("sum", c)}
     if f.fn == "stddev":
-        parts[f"sq_{f.column}"] = ("sum", c.cast("double") * c)
-    return parts
+        # Measured from the mean of the whole group, so that large values don't drown their spread.
+        away = c.cast("double") - F.coalesce(F.col(_center(f.column)), F.lit(0.0))
+        return {f"n_{f.column}": present, f"away_{f.column}": ("sum", away), f"sq_{f.column}": ("sum", away * away)}
+    return {f"n_{f.column}": present, f"sum_{f.column}": ("sum", c)}
+
+
+def _center(column: str) -> str:
+    return f"_center_{column}"
 
 
 def _finish(f: Running, part: dict[str, Column]) -> Column:
@@ -110,14 +115,14 @@ def _finish(f: Running, part: dict[str, Column]) -> Column:
         return next(iter(part.values()))
     if f.fn in ("min", "max"):
         return part[f"{f.fn}_{f.column}"]
-    n, total = part[f"n_{f.column}"], part[f"sum_{f.column}"]
+    n = part[f"n_{f.column}"]
+    if f.fn == "stddev":
+        variance = (part[f"sq_{f.column}"] - part[f"away_{f.column}"] * part[f"away_{f.column}"] / n) / (n - 1)
+        return F.when(n > 1, F.sqrt(F.greatest(variance, F.lit(0.0))))
+    total = part[f"sum_{f.column}"]
     if f.fn == "sum":
         return F.when(n > 0, total)
-    if f.fn == "avg":
-        return F.when(n > 0, total / n)
-    square = part[f"sq_{f.column}"]
-    variance = (square - total.cast("double") * total / n) / (n - 1)
-    return F.when(n > 1, F.sqrt(F.greatest(variance, F.lit(0.0))))
+    return F.when(n > 0, total / n)
 
 
 def _combine(how: str, a: Column, b: Column) -> Column:
@@ -142,16 +147,22 @@ def _split(df: DataFrame, groups: OrderedGroups, features: dict[str, Running]) -
     per_row = {row_part[p]: c for p, (_, c) in parts.items()}
 
     cut = groups.with_block(df)
+    spread = sorted({f.column for f in features.values() if f.fn == "stddev"})
+    if spread:
+        centers = cut.filter(F.col(CUTS).isNotNull()).groupBy(*keys).agg(*[F.avg(c).alias(_center(c)) for c in spread])
+        cut = left_join_null_safe(cut, F.broadcast(centers), keys)  # a row for each cut group
     big = cut.filter(F.col(CUTS).isNotNull()).withColumns(per_row)
     carried = _carried(big, keys, order, parts, row_part, slid, reach)
 
     # Only the rows themselves are shuffled: parts and carried values are added behind the shuffle.
-    rows = cut.drop(HASH, CUTS).repartition(*keys, BLOCK).withColumns(per_row)
+    rows = cut.withColumn("_cut", F.col(CUTS).isNotNull()).drop(HASH, CUTS).repartition(*keys, BLOCK).withColumns(per_row)
     block = Window.partitionBy(*keys, BLOCK)
     in_order = block.orderBy(*order)
     local: dict[str, Column] = {"_nth": F.row_number().over(in_order)} if reach else {}
     for name, f in features.items():
         frame = block if f.whole else in_order.rowsBetween(_lower(f), f.end)
+        if f.fn == "stddev":
+            local[f"_{name}_here"] = _native(f).over(frame)
         for p in _parts(f):
             local[f"_{name}_{p}"] = _AGGREGATES[parts[p][0]](row_part[p]).over(frame)
     rows = rows.withColumns(local)
@@ -168,6 +179,10 @@ def _split(df: DataFrame, groups: OrderedGroups, features: dict[str, Running]) -
                 other = F.col(f"_others_{p}" if f.whole else f"_before_{p}")
             combined[p] = _combine(parts[p][0], F.col(f"_{name}_{p}"), other)
         columns[name] = _finish(f, combined)
+        if f.fn == "stddev":
+            # Frames that lie within their block need nothing from others.
+            inside = ~F.col("_cut") | (F.col("_nth") >= 1 - f.start if f.sliding else F.lit(False))
+            columns[name] = F.when(inside, F.col(f"_{name}_here")).otherwise(columns[name])
     kept = [F.col(c) for c in df.columns if c not in columns]
     return rows.select(*kept, *[c.alias(n) for n, c in columns.items()])
 

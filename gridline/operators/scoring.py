@@ -16,11 +16,11 @@ def champion_picks(scored: DataFrame) -> DataFrame:
 
     ``scored`` has driver_id, driver_name, year, label and prob. Both picks are
     partial aggregates, so one row per season and task is shuffled. Equal
-    probabilities go to the first driver_id in text order. Halves round to even.
+    probabilities go to the first driver_id in text order; a driver without one is no pick. Halves round to even.
     """
     is_champion = F.col("label") == 1
     seasons = scored.groupBy("year").agg(
-        F.min_by("driver_name", F.struct(-F.col("prob"), "driver_id")).alias("predicted"),
+        F.min_by("driver_name", F.when(F.col("prob").isNotNull(), F.struct(-F.col("prob"), "driver_id"))).alias("predicted"),
         F.min_by(F.when(is_champion, F.col("driver_name")), F.when(is_champion, F.col("driver_id"))).alias("actual"),
         F.max("prob").alias("prob"),
     )

@@ -197,10 +197,11 @@ pad AS (
 SCORED = """,
 fifth AS (
   SELECT driver_id, driver_name, year, won_championship AS label, cumulative_points,
-         ROW_NUMBER() OVER (PARTITION BY driver_id, year ORDER BY round) AS entry
+         ROW_NUMBER() OVER (PARTITION BY driver_id, year ORDER BY round) AS entry,
+         LEAST(5, COUNT(*) OVER (PARTITION BY driver_id, year)) AS last
   FROM feat),
 scored AS (
   SELECT driver_id, driver_name, year, label,
          ROUND(cumulative_points / (CASE WHEN MAX(cumulative_points) OVER (PARTITION BY year) = 0 THEN 1
                ELSE MAX(cumulative_points) OVER (PARTITION BY year) END), 6) AS prob
-  FROM fifth WHERE entry = 5)"""
+  FROM fifth WHERE entry = last AND last >= 3)"""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import FOREST, RACE_MODEL_FEATURES, RACE_TARGET, RANDOM_SEED, TRAIN_CUTOFF
 from ..functions.columns import keep_existing, require_columns
+from ..sources.scratch import staged
 from ..sources.sinks import reused, save_model, write_parquet
 
 _IDS = ["year", "round", "driver_name", "constructor_name"]
@@ -66,9 +67,9 @@ def fit(train: DataFrame, **params) -> PipelineModel:
 def predictions(scored: DataFrame) -> DataFrame:
     """[M10, P29, T3]"""
     probability = vector_to_array("probability").getItem(1).alias("winner_probability")
-    return scored.select(*_IDS, RACE_TARGET, "prediction", probability).orderBy(
-        F.desc("winner_probability"), *_IDS
-    )
+    # A sort samples its input first; written rows keep the trees from being run twice.
+    rows = staged(scored.select(*_IDS, RACE_TARGET, "prediction", probability), "scored-rows")
+    return rows.orderBy(F.desc("winner_probability"), *_IDS)
 
 
 def evaluate(scored: DataFrame) -> dict[str, float]:

@@ -52,7 +52,10 @@ def distinct_inputs(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "status": ["statusId", "status"],
         "qualifying": ["raceId", "driverId", "position"],
     }
-    return {name: tables[name].select(cols).dropDuplicates() for name, cols in used.items()}
+    distinct = {name: tables[name].select(cols).dropDuplicates() for name, cols in used.items()}
+    # Rows carry the joined name only, so drivers who agree in it are one row.
+    names = distinct["drivers"].withColumn("_name", full_name("forename", "surname"))
+    return distinct | {"drivers": names.dropDuplicates(["driverId", "_name"]).drop("_name")}
 
 
 def clean(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.columns import keep_existing
-from ..session import max_pinned_rows
 
 
 def write_features(
@@ -38,16 +37,10 @@ def write_parquet(df: DataFrame, path: str) -> None:
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """Ordered CSV with header. [K4]
 
-    A sorted frame is written as ordered part files by parallel tasks. A report
-    asked for as a single file becomes one only while it has no more rows than
-    may be pinned; beyond that it stays in parts.
+    A sorted frame is written as ordered part files by parallel tasks. A report asked for as a
+    single file is one, whatever its size, written by one task.
     """
-    out = df
-    if single_file:
-        limit = max_pinned_rows(df.sparkSession)
-        rows = df.take(limit + 1)
-        if len(rows) <= limit:
-            out = df.sparkSession.createDataFrame(rows, df.schema).coalesce(1)
+    out = df.coalesce(1) if single_file else df
     out.write.mode("overwrite").option("header", True).csv(path)
 
 

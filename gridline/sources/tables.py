@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import logging
+import os
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
 from ..fixed import NULL_SENTINEL, RAW_SUBDIRS, REQUIRED_RAW_FILES
 from ..functions.columns import keep_existing, require_columns
@@ -26,20 +29,16 @@ def listing(spark: SparkSession, root: str, glob: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, root: str) -> set[str]:
-    """Relative paths of the known raw files that exist directly in ``root`` or a known sub-folder."""
-    known = [f"{t}.csv" for t in TABLES] + REQUIRED_RAW_FILES
-    tail = F.regexp_extract("path", r"([^/]+/)?[^/]+$", 0)
-    rows = (
-        listing(spark, root, "*.csv")
-        .select(tail.alias("tail"), F.regexp_extract("path", r"[^/]+$", 0).alias("file"))
-        .filter(F.col("file").isin(known))
-        .distinct()
-        .take(10 * len(known))
-    )
-    subdirs = {f"{d}/{r['file']}" for d in RAW_SUBDIRS for r in rows if r["tail"] == f"{d}/{r['file']}"}
-    base = root.rstrip("/").rsplit("/", 1)[-1]
-    direct = {r["file"] for r in rows if r["tail"] == f"{base}/{r['file']}"}
-    return direct | subdirs
+    """Relative paths of the known raw files that exist directly in ``root`` or a known sub-folder.
+
+    Whole paths are compared, without scheme and host, so the result is bounded by what is looked for.
+    """
+    known = sorted({f"{t}.csv" for t in TABLES} | set(REQUIRED_RAW_FILES))
+    base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root if ":" in root else os.path.abspath(root)).rstrip("/")
+    wanted = {f"{base}/{rel}": rel for f in known for rel in [f, *[f"{d}/{f}" for d in RAW_SUBDIRS]]}
+    bare = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    rows = listing(spark, root, "*.csv").select(bare.alias("path")).filter(F.col("path").isin(list(wanted))).collect()
+    return {wanted[r["path"]] for r in rows}
 
 
 def resolve(found: set[str], file: str) -> str | None:
@@ -47,12 +46,24 @@ def resolve(found: set[str], file: str) -> str | None:
     return next((p for p in [file, *[f"{d}/{file}" for d in RAW_SUBDIRS]] if p in found), None)
 
 
+def _typed(name: str, kind: DataType) -> Column:
+    """Text as ``kind``, null where it is no number; whole numbers may be written ``7.0``. An unreadable key raises."""
+    text = F.col(name)
+    value = text.try_cast(kind)
+    if isinstance(kind, IntegralType):
+        number = text.try_cast("decimal(38,9)")
+        value = F.coalesce(value, F.when(number == F.floor(number), number.try_cast(kind)))
+        if name.endswith("Id"):
+            value = F.when(text.isNotNull() & value.isNull(), F.raise_error(F.concat(F.lit(f"{name} is not a whole number: "), text))).otherwise(value)
+    return value.alias(name)
+
+
 def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     """CSV with header; columns matched by name, the sentinel read as null. [S1, P4]"""
     schema = TABLES[table]
     text = spark.read.option("header", True).option("nullValue", NULL_SENTINEL).csv(path)
     wanted = [
-        F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in text.columns
+        _typed(f.name, f.dataType) if f.name in text.columns
         else F.lit(None).cast(f.dataType).alias(f.name)
         for f in schema
     ]

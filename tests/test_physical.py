@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from gridline import catalog
 from gridline.operators.sequences import build_sequences, sequence_rows
 from gridline.plans import form
 from gridline.plans.race_rows import joined_results
@@ -55,7 +56,7 @@ def test_year_filter_reaches_the_scan(rows):
 
 def test_no_python_and_no_cartesian_product(spark, sf_dir):
     models = {"race_winner_scores", "race_winner_metrics", "feature_importance", "season_outcome_scores"}
-    for name, build in contract.queries().items():
+    for name, build in catalog.QUERIES.items():
         if name in models or name.endswith("_in_blocks"):
             continue
         text = plan(build(spark, sf_dir))

@@ -187,3 +187,11 @@ def test_classification_metrics_match_library(spark):
 def test_zero_point_round(spark):
     champ = features.champ_features(season_of(spark, [(1, 1, 1, 1, "1", "1", 0.0, 1), (1, 2, 1, 1, "2", "2", 0.0, 1)]))
     assert [r.championship_probability for r in title_probability_curves(champ).collect()] == [0.0, 0.0]
+
+
+def test_a_driver_without_a_score_is_no_pick(spark):
+    from gridline.operators.scoring import champion_picks
+
+    rows = [("a", "A", 2000, 0, None), ("b", "B", 2000, 1, 0.9), ("c", "C", 2001, 1, None)]
+    picks = champion_picks(spark.createDataFrame(rows, "driver_id string, driver_name string, year int, label int, prob double")).collect()
+    assert [(p.predicted, p.actual, p.prob, p.correct) for p in picks] == [("B", "B", 0.9, 1), (None, "C", None, 0)]

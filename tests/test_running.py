@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridline.operators.groups import OrderedGroups, ordered_groups
-from gridline.operators.running import add_running, before, last, row_number, so_far, whole
+from gridline.operators.running import Running, add_running, before, last, row_number, so_far, whole
 from gridline.session import GROUP_ROWS_KEY
 from gridline.sources.scratch import staged
 
@@ -95,3 +95,20 @@ def test_cut_points_do_not_travel_through_the_shuffle(spark, small_groups):
     assert windows and "_cuts" not in "".join(windows)
     exchanges = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(k" in exchanges and "_block" in exchanges
+
+
+def test_spread_of_large_values_in_blocks(spark):
+    """Values near 1e9: deviations of cut groups equal those of whole ones."""
+    from gridline.catalog import small_groups
+    from gridline.operators.groups import ordered_groups
+
+    df = spark.createDataFrame([(g, i, 1e9 * (g + 1) + i % 7) for g in range(2) for i in range(200)], "g int, i int, x double")
+    wanted = {"s": Running("stddev", "x", end=0), "t": Running("stddev", "x", start=-4, end=0)}
+    plain = add_running(df, ordered_groups(df, ["g"], ["i"]), wanted)
+    with small_groups(spark, 20):
+        groups = ordered_groups(df, ["g"], ["i"])
+        assert groups.cuts is not None
+        cut = add_running(df, groups, wanted)
+    for a, b in zip(plain.orderBy("g", "i").collect(), cut.orderBy("g", "i").collect()):
+        for c in ("s", "t"):
+            assert (a[c] is None) == (b[c] is None) and (a[c] is None or abs(a[c] - b[c]) < 1e-6)

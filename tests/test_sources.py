@@ -150,3 +150,23 @@ def test_reused_releases(spark):
     with sinks.reused(df) as kept:
         assert kept.count() == 3 and kept.storageLevel.useMemory
     assert not df.storageLevel.useMemory
+
+
+def test_exact_paths_among_many_folders(spark, tmp_path):
+    for d in [*(f"other{i}" for i in range(30)), "old/" + tables.RAW_SUBDIRS[0], tmp_path.name]:
+        (tmp_path / d).mkdir(parents=True)
+        (tmp_path / d / "races.csv").write_text("raceId\n1\n")
+    assert tables._found(spark, str(tmp_path)) == set()
+    (tmp_path / tables.RAW_SUBDIRS[0]).mkdir(exist_ok=True)
+    (tmp_path / tables.RAW_SUBDIRS[0] / "races.csv").write_text("raceId\n1\n")
+    (tmp_path / "results.csv").write_text("raceId\n1\n")
+    assert tables._found(spark, str(tmp_path)) == {f"{tables.RAW_SUBDIRS[0]}/races.csv", "results.csv"}
+
+
+def test_whole_numbers_written_with_a_point(spark, tmp_path):
+    (tmp_path / "results.csv").write_text("raceId,driverId,positionOrder,grid,points\n1.0,7.0,1.0,3.5,2.5\n")
+    row = tables.read_csv(spark, str(tmp_path / "results.csv"), "results").first()
+    assert (row.raceId, row.driverId, row.positionOrder, row.grid, row.points) == (1, 7, 1, None, 2.5)
+    (tmp_path / "bad.csv").write_text("raceId,driverId\nx,7\n")
+    with pytest.raises(Exception, match="raceId is not a whole number"):
+        tables.read_csv(spark, str(tmp_path / "bad.csv"), "results").collect()
