@@ -15,7 +15,7 @@ from ..sources.scratch import staged
 from .fmindex import FMIndex
 from .texts import Flat, slices
 
-WINDOW, GRAM = 13, 3
+WINDOW, GRAM = 13, 4
 #: Words that a shard's index holds on average, and the least number of shards.
 SHARD_WORDS, LEAST_SHARDS = 400_000, 96
 #: Runs of one anchor above which each window of them is routed by its own words.
@@ -124,14 +124,21 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     listed = staged(listed.join(done, "id", "left_anti"), "anchors-of-texts")
     total = (shared.agg(F.sum("n")).first()[0] or 0) * 3 * window // 2
     shards = max(LEAST_SHARDS, -(-total // SHARD_WORDS))
-    found = _extract(docs.join(listed, "id").select("id", F.xxhash64("t").alias("v"), "t", "anchors", "hot"), window, gram)
+    texts = docs.join(listed, "id").select("id", F.xxhash64("t").alias("v"), "t", "anchors", "hot")
     shard = F.pmod(F.when(F.col("anchor").isNull(), F.xxhash64("words")).otherwise(F.xxhash64("anchor")), F.lit(shards)).cast("int")
-    distinct = found.groupBy("words", shard.alias("shard")).agg(F.min("id").alias("owner"))
+    # Runs of other anchors are few for each anchor and go straight to their shard; hot windows are collapsed before.
+    cool = _extract(texts.select("id", "v", "t", F.array_except("anchors", "hot").alias("anchors"), F.array().cast("array<long>").alias("hot")), window, gram)
+    warm = _extract(texts.where(F.size("hot") > 0).select("id", "v", "t", F.col("hot").alias("anchors"), "hot"), window, gram)
+    warm = warm.groupBy("words").agg(F.min("id").alias("owner"), F.lit(None).cast("long").alias("anchor"))
+    distinct = cool.select("words", F.col("id").alias("owner"), "anchor").union(warm.select("words", "owner", "anchor")).select(
+        "words", "owner", shard.alias("shard"))
+    found = _extract(texts, window, gram)
 
     def match(group: pd.DataFrame) -> pd.DataFrame:
-        words = group["words"].tolist()
+        group = group.groupby("words", sort=False)["owner"].min()
+        words = group.index.tolist()
         return pd.DataFrame({"key": [hashlib.md5(w.encode()).digest() for w in words],
-                             "least": shard_matches(words, group["owner"].to_numpy(np.int64), window)})
+                             "least": shard_matches(words, group.to_numpy(np.int64), window)})
 
     least = distinct.groupBy("shard").applyInPandas(match, "key binary, least array<long>")
     hits = found.select("id", "v", "start", F.unhex(F.md5(F.col("words").cast("binary"))).alias("key")).join(least, "key").select(
