@@ -55,7 +55,10 @@ def _bitmap(grams: np.ndarray) -> bytes:
 
 
 def _sets(docs: DataFrame, k: int, percent: int, frequent: list[int]) -> DataFrame:
-    """(id, n, f, g, prefix, bitmap) of each row of ``docs`` (id, t); f and g tell sets apart."""
+    """(id, n, f, g, prefix, bitmap) of each row of ``docs`` (id, t); f and g tell sets apart.
+
+    Columns that the caller drops are made but go no further than the task.
+    """
     late = np.array(sorted(frequent), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,10 +82,10 @@ def _sets(docs: DataFrame, k: int, percent: int, frequent: list[int]) -> DataFra
     return docs.mapInArrow(run, "id long, n long, f long, g long, prefix array<bigint>, bitmap binary")
 
 
-def _distinct(sets: DataFrame) -> DataFrame:
+def _distinct(sets: DataFrame, *carried: str) -> DataFrame:
     """One row for each distinct set that is not empty: its smallest id stands for all of its rows."""
     return sets.where("n > 0 and id is not null").groupBy("n", "f", "g").agg(
-        F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
+        F.min("id").alias("rep"), *[F.first(c).alias(c) for c in carried])
 
 
 def _tiled(rows: DataFrame, size: str, list_rows: int) -> DataFrame:
@@ -251,12 +254,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, key: str
     def entries(of: DataFrame) -> DataFrame:
         return of.select("rep", "n", F.posexplode("prefix").alias("pos", "gram"))
 
-    sets = staged(_sets(rows, k, percent, []), "gram-sets")
-    reps = staged(_distinct(sets), "distinct-sets")
-    lists = entries(reps).groupBy("gram").count()
+    # The first prefixes only tell which grams are frequent: they are counted and not kept.
+    sets = staged(_sets(rows, k, percent, []).drop("bitmap"), "gram-sets")
+    lists = entries(_distinct(sets, "prefix")).groupBy("gram").count()
     found = lists.where(F.col("count") > FREQUENT).orderBy(F.desc("count"), "gram").limit(MOST_FREQUENT).collect()
     again = _sets(rows, k, percent, [r["gram"] for r in found])
-    reps = staged(_distinct(again), "distinct-sets")
+    reps = staged(_distinct(again, "prefix", "bitmap"), "distinct-sets")
     lists = entries(reps).groupBy("gram").count()
     shared = lists.where("count > 1").withColumnRenamed("count", "size")
     meeting = entries(reps).join(shared, "gram").join(reps.select("rep", "n", "bitmap"), ["rep", "n"])
