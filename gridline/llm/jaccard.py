@@ -46,40 +46,44 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def _bitmap(grams: np.ndarray) -> bytes:
-    """Parity of the grams in each of 2^k >= n places: two bitmaps differ in no more places than the sets do."""
-    width = 256
-    while width < len(grams):
+def _bitmap(grams: np.ndarray, percent: int) -> bytes:
+    """Parity of the grams in each of 2^k places: two bitmaps differ in no more places than the sets do.
+
+    Foreign sets differ in about half of the places, so four times the places in which linked
+    sets may differ tell them apart.
+    """
+    width = 128
+    while width < 4 * _may_link(len(grams), len(grams), percent):
         width *= 2
     return np.packbits(np.bincount(grams.view(np.uint64) & np.uint64(width - 1), minlength=width).astype(np.uint8) & 1).tobytes()
 
 
-def _sets(docs: DataFrame, k: int, percent: int, frequent: list[int]) -> DataFrame:
-    """(id, n, f, g, prefix, bitmap) of each row of ``docs`` (id, t); f and g tell sets apart.
+_FIELDS = {"id": pa.int64(), "n": pa.int64(), "f": pa.int64(), "g": pa.int64(), "prefix": pa.list_(pa.int64()), "bitmap": pa.binary()}
 
-    Columns that the caller drops are made but go no further than the task.
-    """
+
+def _sets(docs: DataFrame, k: int, percent: int, frequent: list[int], *columns: str) -> DataFrame:
+    """The named ones of (id, n, f, g, prefix, bitmap) of each row of ``docs`` (id, t); f and g tell sets apart."""
     late = np.array(sorted(frequent), np.int64)
 
+    def prefix(s: np.ndarray) -> np.ndarray:
+        if len(late) and len(s):
+            last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
+            s = np.concatenate([s[~last], s[last]])
+        return s[:prefix_length(len(s), percent)] if len(s) else s
+
+    made = {"n": len, "prefix": prefix, "bitmap": lambda s: _bitmap(s, percent),
+            "f": lambda s: int(mixed(s.view(np.uint64)).sum().view(np.int64)) if len(s) else 0,
+            "g": lambda s: int(np.bitwise_xor.reduce(mixed(~s.view(np.uint64))).view(np.int64)) if len(s) else 0}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, n, data, offsets in slices(batch.column(1)):
                 sets = gram_sets(data, offsets, k)
-                size = [len(s) for s in sets]
-                marks = [(int(mixed(s.view(np.uint64)).sum().view(np.int64)), int(np.bitwise_xor.reduce(mixed(~s.view(np.uint64))).view(np.int64)))
-                         if len(s) else (0, 0) for s in sets]
-                prefixes = []
-                for s in sets:
-                    if len(late) and len(s):
-                        last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
-                        s = np.concatenate([s[~last], s[last]])
-                    prefixes.append(s[:prefix_length(len(s), percent)] if len(s) else s)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(at, n), pa.array(size, pa.int64()), pa.array([m[0] for m in marks], pa.int64()),
-                    pa.array([m[1] for m in marks], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
-                    pa.array([_bitmap(s) for s in sets], pa.binary())], ["id", "n", "f", "g", "prefix", "bitmap"])
+                    batch.column(0).slice(at, n) if c == "id" else pa.array([made[c](s) for s in sets], _FIELDS[c]) for c in columns], list(columns))
 
-    return docs.mapInArrow(run, "id long, n long, f long, g long, prefix array<bigint>, bitmap binary")
+    kinds = {"prefix": "array<bigint>", "bitmap": "binary"}
+    return docs.mapInArrow(run, ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in columns))
 
 
 def _distinct(sets: DataFrame, *carried: str) -> DataFrame:
@@ -242,26 +246,30 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, key: str
     are first collapsed. Sets that share a gram of their prefixes, fit in size and do not differ
     in more places of a bitmap than linked sets may, are candidates; a task returns edges that
     span its candidates, not the pairs. Every group of candidates is then compared exactly on
-    whole sets. Long lists and large groups are dealt into tiles. Grams in many prefixes are
+    whole sets. Long lists and large groups are dealt into tiles. Of gram lists with the same
+    members one is kept, so near copies meet once or a few times, however long they are. Grams in many prefixes are
     ordered last, so that common lines and passages don't make long lists.
 
     Null and empty texts have no grams and link with nothing; a row with a null key has a null
     component. Repeated rows are in one component. An empty table gives no rows, other columns
-    are not read. Grams are compared by 64-bit hashes, equal sets by 128 bits and their size.
+    are not read. Grams are compared by 64-bit hashes, lists of grams by their size and 64 bits,
+    equal sets by 128 bits and their size.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def entries(of: DataFrame) -> DataFrame:
         return of.select("rep", "n", F.posexplode("prefix").alias("pos", "gram"))
 
+    sets = staged(_sets(rows, k, percent, [], "id", "n", "f", "g"), "gram-sets")
     # The first prefixes only tell which grams are frequent: they are counted and not kept.
-    sets = staged(_sets(rows, k, percent, []).drop("bitmap"), "gram-sets")
-    lists = entries(_distinct(sets, "prefix")).groupBy("gram").count()
+    lists = _sets(rows, k, percent, [], "prefix").select(F.explode("prefix").alias("gram")).groupBy("gram").count()
     found = lists.where(F.col("count") > FREQUENT).orderBy(F.desc("count"), "gram").limit(MOST_FREQUENT).collect()
-    again = _sets(rows, k, percent, [r["gram"] for r in found])
+    again = _sets(rows, k, percent, [r["gram"] for r in found], "id", "n", "f", "g", "prefix", "bitmap")
     reps = staged(_distinct(again, "prefix", "bitmap"), "distinct-sets")
-    lists = entries(reps).groupBy("gram").count()
-    shared = lists.where("count > 1").withColumnRenamed("count", "size")
+    # Of lists with the same members, the first in the order of grams does the work of all.
+    lists = entries(reps).groupBy("gram").agg(
+        F.count("*").alias("size"), F.min("pos").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("members"))
+    shared = lists.where("size > 1").groupBy("size", "members").agg(F.min_by("gram", "first").alias("gram")).select("gram", "size")
     meeting = entries(reps).join(shared, "gram").join(reps.select("rep", "n", "bitmap"), ["rep", "n"])
     maybe = components(_candidates(_tiled(meeting, "size", list_rows), percent))
 
