@@ -99,12 +99,14 @@ def quality(docs: DataFrame, text: str = "text", out: str = "quality") -> DataFr
     are judged one by one: repeated rows get the same verdict, an empty table gives none.
     Other columns are kept; a column already named ``out`` is replaced.
     """
-    m = F.col("__measures")
-    inner = {n: m["words"][n] for n in ("n_words", "n_repeat_words", "n_stop_words")}
-    inner |= {n: m["lines"][n] for n in ("n_lines", "n_dup_lines", "n_bullets", "n_ellipses")}
-    inner |= {n: m[n] for n in ("word_chars", "n_symbols", "n_capitals")}
-    base = (inner["n_words"] < MIN_WORDS) | (100 * inner["n_repeat_words"] > MAX_REPEAT_PERCENT * inner["n_words"])
-    failed = failed_rules(inner.__getitem__)
-    return docs.withColumn("__measures", measures(F.col(text))).withColumn(out, F.struct(
-        *[inner[n].alias(n) for n in BASE + EXTRA], base.alias("base_failed"), failed.alias("failed"),
-        (~base & (F.size(failed) == 0)).alias("kept"))).drop("__measures")
+    def verdict(m: Column) -> Column:
+        inner = {n: m["words"][n] for n in ("n_words", "n_repeat_words", "n_stop_words")}
+        inner |= {n: m["lines"][n] for n in ("n_lines", "n_dup_lines", "n_bullets", "n_ellipses")}
+        inner |= {n: m[n] for n in ("word_chars", "n_symbols", "n_capitals")}
+        base = (inner["n_words"] < MIN_WORDS) | (100 * inner["n_repeat_words"] > MAX_REPEAT_PERCENT * inner["n_words"])
+        failed = failed_rules(inner.__getitem__)
+        return F.struct(*[inner[n].alias(n) for n in BASE + EXTRA], base.alias("base_failed"), failed.alias("failed"),
+                        (~base & (F.size(failed) == 0)).alias("kept"))
+
+    # One expression: a filter on the verdict that is pushed down then measures each text once, not once for each rule.
+    return docs.withColumn(out, _let(measures(F.col(text)), verdict))
