@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, url_filter
+from . import contamination, mixing, quality, url_filter
 
 _SPACE = r"[\x20\x09-\x0D]"
 
@@ -94,4 +94,56 @@ def _mix() -> str:
     FROM ranked JOIN plan ON ranked.s = plan.s AND ranked.k // {b} = plan.block"""
 
 
-ORACLE = {"op1_url_filter": _url_filter(), "op3_quality_rules": _quality(), "op4_mix_sources": _mix()}
+def _decontamination() -> str:
+    words = lambda t: rf"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {words("coalesce(text, '')")} AS w FROM documents),
+    items AS (SELECT item_id, {words("text")} AS w FROM benchmark WHERE text IS NOT NULL),
+    windows AS (SELECT DISTINCT item_id, least(len(w), {contamination.WINDOW_WORDS}) AS k,
+        unnest(list_transform(range(1, len(w) - least(len(w), {contamination.WINDOW_WORDS}) + 2), lambda i: array_to_string(w[i:i + least(len(w), {contamination.WINDOW_WORDS}) - 1], ' '))) AS win
+      FROM items WHERE len(w) > 0),
+    sizes AS (SELECT DISTINCT k FROM windows),
+    places AS (SELECT r, k, unnest(range(1, len(w) - k + 2)) AS i, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS win
+      FROM docs, sizes WHERE len(w) >= k),
+    found AS (SELECT r, i, p.k, item_id FROM places p JOIN windows USING (k, win)),
+    hit AS (SELECT r, count(DISTINCT i + d) AS n FROM (SELECT r, i, unnest(range(0, k)) AS d FROM found) GROUP BY r),
+    names AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM found GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+      sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+    FROM docs LEFT JOIN hit USING (r) LEFT JOIN names USING (r)"""
+
+
+def _merkle() -> str:
+    field = lambda c: f"coalesce(strlen(({c})::VARCHAR)::VARCHAR || ':' || ({c})::VARCHAR, '-')"
+    leaf = lambda n: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
+    bits = "list_reduce([xor(c, b)] || range(8), lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(4294967295, list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: {bits}))"
+    # Levels of both kinds of trees, and each leaf folded up through them.
+    return f"""
+    WITH RECURSIVE digests AS (SELECT row_number() OVER () AS r, doc_id, lang, {leaf("n_chars")} AS leaf,
+        CASE WHEN {crc} % 7 = 0 THEN {leaf("n_chars + 1")} END AS tampered FROM documents),
+    leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM digests),
+    nodes AS (SELECT 0 AS level, lang, i, n, leaf AS d FROM leaves UNION ALL
+      SELECT level + 1, lang, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY level, lang, i // 2, n),
+    tops AS (SELECT lang, d, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+    upper AS (SELECT 0 AS level, i, n, d FROM tops UNION ALL
+      SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM upper WHERE n > 1 GROUP BY level, i // 2, n),
+    steps AS (
+      SELECT r, v.level, (l.i >> v.level) & 1 AS slot, coalesce(s.d, '') AS s FROM leaves l JOIN (SELECT DISTINCT level, lang FROM nodes WHERE n > 1) v ON v.lang IS NOT DISTINCT FROM l.lang
+        LEFT JOIN nodes s ON s.level = v.level AND s.lang IS NOT DISTINCT FROM l.lang AND s.i = xor(l.i >> v.level, 1)
+      UNION ALL
+      SELECT r, 1000 + v.level, (t.i >> v.level) & 1, coalesce(s.d, '') FROM leaves l JOIN tops t ON t.lang IS NOT DISTINCT FROM l.lang
+        CROSS JOIN (SELECT DISTINCT level FROM upper WHERE n > 1) v LEFT JOIN upper s ON s.level = v.level AND s.i = xor(t.i >> v.level, 1)),
+    numbered AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY level) AS k, slot, s FROM steps),
+    folds AS (SELECT r, 0::BIGINT AS k, coalesce(tampered, leaf) AS d FROM leaves UNION ALL
+      SELECT f.r, f.k + 1, sha256(CASE WHEN slot = 0 THEN d || s ELSE s || d END) FROM folds f JOIN numbered n ON n.r = f.r AND n.k = f.k + 1),
+    proofs AS (SELECT r, string_agg(s, '' ORDER BY k) AS proof FROM numbered GROUP BY r)
+    SELECT l.doc_id, l.leaf, t.d AS subroot, u.d AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.d AS folded_root, f.d = u.d AS verified
+    FROM leaves l JOIN tops t ON t.lang IS NOT DISTINCT FROM l.lang CROSS JOIN (SELECT d FROM upper WHERE n = 1) u
+      LEFT JOIN proofs p USING (r) JOIN (SELECT r, arg_max(d, k) AS d FROM folds GROUP BY r) f USING (r)"""
+
+
+ORACLE = {
+    "op1_url_filter": _url_filter(), "op3_quality_rules": _quality(), "op4_mix_sources": _mix(),
+    "op11_decontamination": _decontamination(), "op13_merkle_manifest": _merkle(),
+}

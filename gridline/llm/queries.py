@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
-from . import embed_dedup, jaccard, mixing, pieces, quality, secret_scan, substring, token_files, toxicity, url_filter
+from . import (
+    contamination, embed_dedup, jaccard, merkle, mixing, pieces, quality, runs, secret_scan, substring, token_files, toxicity, url_filter,
+)
 
 PIECE_MODEL, BYTE_BPE = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
@@ -79,6 +81,37 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_documents(spark, sf_dir))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = contamination.find(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+    items = F.col("benchmark.items")
+    return rows.select("doc_id", "benchmark.n_words", "benchmark.n_hit", F.size(items).cast("long").alias("n_items"),
+                       F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("benchmark.n_hit") > 0).alias("contaminated"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = runs.periodic_runs(_documents(spark, sf_dir), digest=True, change=runs.planted)
+    every = F.col("runs.runs")
+    key = lambda r: F.struct(-r["length"], r["start"], r["period"])
+    first = F.array_min(F.transform(every, key))
+    length, period = -first["col1"], first["period"]
+    lines = F.transform(every, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return rows.select("doc_id", F.size(every).cast("long").alias("n_runs"), first["start"].alias("start"), length.alias("length"), period.alias("period"),
+                       F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+                       F.col("runs.collapsed").alias("collapsed_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = _table(spark, sf_dir, "documents").select(fields)
+    more = [F.col(c).cast("decimal(38,0)") + 1 if c == "n_chars" else F.col(c) for c in fields]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.unhex(merkle.leaf_digest(more)))
+    rows = merkle.manifest(docs, fields, carry={"tampered": tampered})
+    rows = rows.withColumn("folded_root", merkle.folded(F.coalesce(F.lower(F.hex("carry.tampered")), "leaf")))
+    return rows.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.proof(), 256).alias("proof_sha256"),
+                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_secret_scan, op3_quality_rules, op4_mix_sources, op5_embedding_dedup, op6_substring_dedup,
-    op7_toxicity, op8_sentencepiece, op9_token_files, op10_jaccard_join)}
+    op7_toxicity, op8_sentencepiece, op9_token_files, op10_jaccard_join,
+    op11_decontamination, op12_periodic_runs, op13_merkle_manifest)}
