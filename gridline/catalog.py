@@ -175,14 +175,13 @@ _CHAMPIONS = ["season_total_points", "season_rank", "is_champion"]
 
 @query(sql.season(f"SELECT {_sql_columns(_CHAMPIONS)} FROM sea"))
 def season_champions(spark, sf_dir):
-    return rounded(form.with_champions(_driver_rows(spark, sf_dir)).select(*KEYS, *_CHAMPIONS))
+    rows = form.with_season_ranks(form.with_champions(_driver_rows(spark, sf_dir)))
+    return rounded(rows.select(*KEYS, *_CHAMPIONS))
 
 
-@query(sql.season("SELECT DISTINCT year, season_total_points, season_rank FROM sea"))
-def season_ranks_in_blocks(spark, sf_dir):
-    rows = _driver_rows(spark, sf_dir)
-    with small_groups(spark, 10):
-        return form.season_ranks(rows)
+@query(sql.season('SELECT DISTINCT "driverId", year, season_rank FROM sea'))
+def season_ranks(spark, sf_dir):
+    return form.season_ranks(_driver_rows(spark, sf_dir))
 
 
 @query(sql.star(f'''SELECT {sql.columns(KEYS)}, MAX(round) OVER (PARTITION BY year) AS total_races,
@@ -211,6 +210,14 @@ def champ_features(spark, sf_dir):
     return rounded(_champ(spark, sf_dir))
 
 
+@query(sql.full(f"SELECT {sql.columns(CHAMP_FEATURE_SET, _DOUBLES)} FROM feat"))
+def champ_features_in_blocks(spark, sf_dir):
+    """Career, venue, season and team groups all cut."""
+    rows = clean_rows(spark, sf_dir)
+    with small_groups(spark, 5):
+        return rounded(features.champ_features(features.season_rows(rows)))
+
+
 @query(sql.full(f"SELECT {sql.columns(RACE_FEATURE_SET, _DOUBLES)} FROM feat"))
 def race_features(spark, sf_dir):
     return rounded(features.race_features(_season_rows(spark, sf_dir)))

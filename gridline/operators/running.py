@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .groups import BLOCK, CUTS, HASH, OrderedGroups
+from ..sources.scratch import staged
+from .groups import OrderedGroups
 from .joins import left_join_null_safe
-from .ranking import first_rows
 
 
 @dataclass(frozen=True)
@@ -55,187 +58,243 @@ def row_number() -> Running:
     return Running("row_number")
 
 
+def peak(column: str) -> Running:
+    """The greatest running sum of ``column`` in the whole group, the same on each of its rows."""
+    return Running("peak", column, None, None)
+
+
+Split = tuple[OrderedGroups, dict[str, Running]]
+
+
 def add_running(df: DataFrame, groups: OrderedGroups, features: dict[str, Running]) -> DataFrame:
     """Add one column per feature to every row of ``df``."""
-    if groups.cuts is None:
-        return _plain(df, groups, features)
-    return _split(df, groups, features)
+    return add_all(df, [(groups, features)])
+
+
+def add_all(df: DataFrame, splits: Sequence[Split]) -> DataFrame:
+    """Add the features of several splits of ``df`` into groups, all of them from columns of ``df``.
+
+    Splits without cut groups are plain windows. For the others the rows go through one shuffle
+    each, by (keys, block), and get windows that stay within their block. The result is
+    written once, whatever the number of splits: the last rows of all blocks, which hold the
+    blocks' totals, come out of one scan of it, and a second scan puts every row together
+    with what the other blocks of its group carry over.
+    """
+    rows, blocks = df, []
+    for j, (groups, features) in enumerate(splits):
+        if groups.cut:
+            blocks.append(_Blocks(f"_r{j}_", groups, features))
+            rows = blocks[-1].local(rows)
+        else:
+            rows = _plain(rows, groups, features)
+    if not blocks:
+        return rows
+    local = staged(rows, "block-windows")
+    needed = list(dict.fromkeys(c for b in blocks for c in b.needed))
+    ends = staged(local.filter(reduce(or_, [b.near_end for b in blocks])).select(needed), "block-ends")
+    out = local
+    for b in blocks:
+        out = left_join_null_safe(out, b.carried(ends), b.keys)
+    finished = {n: c for b in blocks for n, c in b.finished().items()}
+    names = list(dict.fromkeys([*df.columns, *[n for _, features in splits for n in features]]))
+    return out.select(*[finished[n].alias(n) if n in finished else F.col(n) for n in names])
+
+
+def _lower(f: Running) -> int:
+    return Window.unboundedPreceding if f.start is None else f.start
+
+
+_NATIVE = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "stddev": F.stddev}
 
 
 def _plain(df: DataFrame, groups: OrderedGroups, features: dict[str, Running]) -> DataFrame:
     group = Window.partitionBy(*groups.keys)
     ordered = group.orderBy(*groups.order)
-    columns = {}
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    columns, sums = {}, {f"_peak_{f.column}": F.sum(f.column).over(upto) for f in features.values() if f.fn == "peak"}
     for name, f in features.items():
         if f.fn == "row_number":
             columns[name] = F.row_number().over(ordered)
-            continue
-        frame = group if f.whole else ordered.rowsBetween(_lower(f), f.end)
-        columns[name] = _native(f).over(frame)
-    return df.withColumns(columns)
+        elif f.fn == "peak":
+            columns[name] = F.max(f"_peak_{f.column}").over(group)
+        else:
+            frame = group if f.whole else ordered.rowsBetween(_lower(f), f.end)
+            columns[name] = (F.count(f.column or F.lit(1)) if f.fn == "count" else _NATIVE[f.fn](f.column)).over(frame)
+    return (df.withColumns(sums) if sums else df).withColumns(columns).drop(*sums)
 
 
-def _lower(f: Running) -> int:
-    return Window.unboundedPreceding if f.start is None else f.start
+# Cut groups: every aggregate is put together from parts that add up across blocks.
 
+@dataclass(frozen=True)
+class _Part:
+    """A mergeable part of an aggregate: how two of them combine, and what one row contributes."""
 
-def _native(f: Running) -> Column:
-    if f.fn == "count":
-        return F.count(f.column or F.lit(1))
-    return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "stddev": F.stddev}[f.fn](f.column)
-
+    how: str
+    column: str | None
 
-# Split groups: every aggregate is put together from parts that add up across blocks.
+    @property
+    def name(self) -> str:
+        return f"{self.how}_{self.column}" if self.column else "rows"
 
-def _parts(f: Running) -> dict[str, tuple[str, Column]]:
-    """Part name -> (how parts combine, what one row contributes)."""
+    @property
+    def row(self) -> Column:
+        if self.column is None:
+            return F.lit(1).cast("bigint")
+        c = F.col(self.column)
+        if self.how == "count":
+            return F.when(c.isNotNull(), 1).otherwise(0).cast("bigint")
+        return c.cast("double") if self.how == "moments" else c
+
+    def over(self, frame, row: str) -> Column:
+        if self.how == "moments":
+            n = F.count(row).over(frame)
+            return _moments(n, F.avg(row).over(frame), F.var_pop(row).over(frame) * n)
+        return {"min": F.min, "max": F.max}.get(self.how, F.sum)(row).over(frame)
+
+    def combine(self, a: Column, b: Column) -> Column:
+        if self.how in ("min", "max"):
+            return F.least(a, b) if self.how == "min" else F.greatest(a, b)
+        if self.how != "moments":
+            return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+        n, away = a["n"] + b["n"], b["mean"] - a["mean"]
+        both = _moments(n, a["mean"] + away * b["n"] / n, a["m2"] + b["m2"] + away * away * a["n"] * b["n"] / n)
+        return F.when(b.isNull() | (b["n"] == 0), a).when(a.isNull() | (a["n"] == 0), b).otherwise(both)
+
+    def of_values(self, values: Column) -> Column:
+        """The part of an array of what single rows contribute."""
+        if self.how in ("min", "max"):
+            return F.array_min(values) if self.how == "min" else F.array_max(values)
+        known = F.filter(values, lambda v: v.isNotNull())
+        total = lambda of: F.aggregate(of, F.get(of, F.lit(0)) - F.get(of, F.lit(0)), lambda t, v: t + v)
+        if self.how != "moments":
+            return total(known)
+        n = F.size(known).cast("bigint")
+        mean = total(known) / F.nullif(n, F.lit(0))
+        return _moments(n, mean, total(F.transform(known, lambda v: (v - mean) * (v - mean))))
+
+    def over_blocks(self, total: str, group, frame) -> Column:
+        """The part of all blocks in ``frame`` of ``group`` (ordered blocks), out of the blocks' own."""
+        if self.how != "moments":
+            return {"min": F.min, "max": F.max}.get(self.how, F.sum)(total).over(frame)
+        # Away from the mean of the first block, so that large values don't drown their spread.
+        center = F.first(F.col(total)["mean"], ignorenulls=True).over(group)
+        n, away = F.col(total)["n"], F.coalesce(F.col(total)["mean"] - center, F.lit(0.0))
+        rows, first = F.sum(n).over(frame), F.sum(n * away).over(frame)
+        second = F.sum(F.coalesce(F.col(total)["m2"], F.lit(0.0)) + n * away * away).over(frame)
+        some = F.nullif(rows, F.lit(0))
+        return _moments(F.coalesce(rows, F.lit(0)), center + first / some, F.greatest(second - first * first / some, F.lit(0.0)))
+
+
+def _moments(n: Column, mean: Column, m2: Column) -> Column:
+    return F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2"))
+
+
+def _parts(f: Running) -> list[_Part]:
     if f.fn == "row_number" or f.column is None:
-        return {"rows": ("sum", F.lit(1).cast("bigint"))}
-    c = F.col(f.column)
-    present = ("sum", F.when(c.isNotNull(), 1).otherwise(0).cast("bigint"))
-    if f.fn == "count":
-        return {f"n_{f.column}": present}
-    if f.fn in ("min", "max"):
-        return {f"{f.fn}_{f.column}": (f.fn, c)}
-    if f.fn == "stddev":
-        # Measured from the mean of the whole group, so that large values don't drown their spread.
-        away = c.cast("double") - F.coalesce(F.col(_center(f.column)), F.lit(0.0))
-        return {f"n_{f.column}": present, f"away_{f.column}": ("sum", away), f"sq_{f.column}": ("sum", away * away)}
-    return {f"n_{f.column}": present, f"sum_{f.column}": ("sum", c)}
+        return [_Part("count", None)]
+    if f.fn in ("sum", "avg", "peak"):
+        return [_Part("count", f.column), _Part("sum", f.column)]
+    return [_Part("moments" if f.fn == "stddev" else f.fn, f.column)]
 
 
-def _center(column: str) -> str:
-    return f"_center_{column}"
+def _finish(f: Running, parts: list[Column]) -> Column:
+    if f.fn == "stddev":
+        n, m2 = parts[0]["n"], parts[0]["m2"]
+        return F.when(n > 1, F.sqrt(m2 / (n - 1)))
+    if f.fn in ("sum", "avg"):
+        return F.when(parts[0] > 0, parts[1] if f.fn == "sum" else parts[1] / parts[0])
+    return parts[0].cast("int") if f.fn == "row_number" else parts[0]
+
+
+class _Blocks:
+    """Windows per (keys, block) of one split, completed by what the other blocks of the group carry over."""
+
+    def __init__(self, prefix: str, groups: OrderedGroups, features: dict[str, Running]):
+        self.prefix, self.groups, self.features = prefix, groups, features
+        self.block, self.cut, self.nth, self.rest = (prefix + n for n in ("block", "cut", "nth", "rest"))
+        self.keys = [*groups.keys, self.block]
+        self.reach = max((-f.start for f in features.values() if f.sliding), default=0)
+        self.totals = list(dict.fromkeys(p for f in features.values() if not f.sliding for p in _parts(f)))
+        self.slid = list(dict.fromkeys(p for f in features.values() if f.sliding for p in _parts(f)))
+        self.peaks = {f.column for f in features.values() if f.fn == "peak"}
+        rows = list(dict.fromkeys([*self.totals, *self.slid]))
+        self.rows = {p: f"{prefix}row_{p.name}" for p in rows}
+
+    def _of(self, kind: str, what: str) -> str:
+        return f"{self.prefix}{kind}_{what}"
 
+    @property
+    def near_end(self) -> Column:
+        return F.col(self.cut) & (F.col(self.rest) < max(self.reach, 1))
 
-def _finish(f: Running, part: dict[str, Column]) -> Column:
-    if f.fn == "row_number":
-        return part["rows"].cast("int")
-    if f.fn == "count":
-        return next(iter(part.values()))
-    if f.fn in ("min", "max"):
-        return part[f"{f.fn}_{f.column}"]
-    n = part[f"n_{f.column}"]
-    if f.fn == "stddev":
-        variance = (part[f"sq_{f.column}"] - part[f"away_{f.column}"] * part[f"away_{f.column}"] / n) / (n - 1)
-        return F.when(n > 1, F.sqrt(F.greatest(variance, F.lit(0.0))))
-    total = part[f"sum_{f.column}"]
-    if f.fn == "sum":
-        return F.when(n > 0, total)
-    return F.when(n > 0, total / n)
-
-
-def _combine(how: str, a: Column, b: Column) -> Column:
-    if how == "sum":
-        return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
-    return F.least(a, b) if how == "min" else F.greatest(a, b)
-
-
-_AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max}
-
-
-def _split(df: DataFrame, groups: OrderedGroups, features: dict[str, Running]) -> DataFrame:
-    """Windows per (keys, block), completed by what the other blocks of the group carry over."""
-    keys, order = list(groups.keys), list(groups.order)
-    reach = max((-f.start for f in features.values() if f.sliding), default=0)
-    parts: dict[str, tuple[str, Column]] = {}
-    for f in features.values():
-        parts.update(_parts(f))
-    slid = {p for f in features.values() if f.sliding for p in _parts(f)}
-
-    row_part = {p: f"_row_{p}" for p in parts}
-    per_row = {row_part[p]: c for p, (_, c) in parts.items()}
-
-    cut = groups.with_block(df)
-    spread = sorted({f.column for f in features.values() if f.fn == "stddev"})
-    if spread:
-        centers = cut.filter(F.col(CUTS).isNotNull()).groupBy(*keys).agg(*[F.avg(c).alias(_center(c)) for c in spread])
-        cut = left_join_null_safe(cut, F.broadcast(centers), keys)  # a row for each cut group
-    big = cut.filter(F.col(CUTS).isNotNull()).withColumns(per_row)
-    carried = _carried(big, keys, order, parts, row_part, slid, reach)
-
-    # Only the rows themselves are shuffled: parts and carried values are added behind the shuffle.
-    rows = cut.withColumn("_cut", F.col(CUTS).isNotNull()).drop(HASH, CUTS).repartition(*keys, BLOCK).withColumns(per_row)
-    block = Window.partitionBy(*keys, BLOCK)
-    in_order = block.orderBy(*order)
-    local: dict[str, Column] = {"_nth": F.row_number().over(in_order)} if reach else {}
-    for name, f in features.items():
-        frame = block if f.whole else in_order.rowsBetween(_lower(f), f.end)
-        if f.fn == "stddev":
-            local[f"_{name}_here"] = _native(f).over(frame)
-        for p in _parts(f):
-            local[f"_{name}_{p}"] = _AGGREGATES[parts[p][0]](row_part[p]).over(frame)
-    rows = rows.withColumns(local)
-    rows = left_join_null_safe(rows, F.broadcast(carried), [*keys, BLOCK])
-
-    columns: dict[str, Column] = {}
-    for name, f in features.items():
-        combined = {}
-        for p in _parts(f):
-            if f.sliding:
-                # The n-th row of a block lacks (window - n) rows, if any; out of range reads as null.
-                other = F.get(f"_tail_{p}", -f.start - F.col("_nth"))
-            else:
-                other = F.col(f"_others_{p}" if f.whole else f"_before_{p}")
-            combined[p] = _combine(parts[p][0], F.col(f"_{name}_{p}"), other)
-        columns[name] = _finish(f, combined)
-        if f.fn == "stddev":
-            # Frames that lie within their block need nothing from others.
-            inside = ~F.col("_cut") | (F.col("_nth") >= 1 - f.start if f.sliding else F.lit(False))
-            columns[name] = F.when(inside, F.col(f"_{name}_here")).otherwise(columns[name])
-    kept = [F.col(c) for c in df.columns if c not in columns]
-    return rows.select(*kept, *[c.alias(n) for n, c in columns.items()])
-
-
-def _carried(
-    big_rows: DataFrame, keys: list[str], order: list[str], parts: dict[str, tuple[str, Column]],
-    row_part: dict[str, str], slid: set[str], reach: int,
-) -> DataFrame:
-    """One row per block of a cut group: parts before it, parts of all other blocks, last rows before it.
-
-    Totals combine on the map side, and at most ``reach`` rows per block and
-    task leave the map side for the last rows, so the big groups are not
-    shuffled a second time. The number of blocks is bounded by the cut points,
-    so the result may be broadcast.
-    """
-    by_block = [HASH, *keys, BLOCK]
-    blocks = big_rows.groupBy(*by_block).agg(
-        *[_AGGREGATES[how](row_part[p]).alias(f"t_{p}") for p, (how, _) in parts.items()]
-    )
-    group = Window.partitionBy(HASH, *keys).orderBy(BLOCK)
-    earlier = group.rowsBetween(Window.unboundedPreceding, -1)
-    later = group.rowsBetween(1, Window.unboundedFollowing)
-    columns = {}
-    for p, (how, _) in parts.items():
-        agg = _AGGREGATES[how]
-        columns[f"_before_{p}"] = agg(f"t_{p}").over(earlier)
-        columns[f"_others_{p}"] = _combine(how, agg(f"t_{p}").over(earlier), agg(f"t_{p}").over(later))
-    if reach:
-        row = F.struct(F.struct(*order).alias("at"), *[F.col(row_part[p]).alias(p) for p in sorted(slid)])
-        ends = (
-            first_rows(big_rows, by_block, [F.col(o).desc_nulls_last() for o in order], reach, "_from_end")
-            .groupBy(*by_block).agg(F.array_sort(F.collect_list(row)).alias("end_rows"))
-        )
-        blocks = left_join_null_safe(blocks, ends, by_block)
-        columns["_tail"] = F.flatten(F.collect_list("end_rows").over(group.rowsBetween(-reach, -1)))
-    blocks = blocks.withColumns(columns)
-    tails = [_tail_part(parts[p][0], p, reach).alias(f"_tail_{p}") for p in sorted(slid)]
-    return blocks.select(*keys, BLOCK, *[c for c in columns if c != "_tail"], *tails)
-
-
-def _tail_part(how: str, part: str, reach: int) -> Column:
-    """Array whose n-th element combines ``part`` over the last n rows of the earlier blocks."""
-    tail = F.col("_tail")
-    values = F.transform(tail, lambda r: r[part])
-
-    def over_last(n: Column) -> Column:
-        chosen = F.slice(values, F.greatest(F.size(tail) - n + 1, F.lit(1)), n)
-        if how == "min":
-            return F.array_min(chosen)
-        if how == "max":
-            return F.array_max(chosen)
-        known = F.filter(chosen, lambda v: v.isNotNull())
-        zero = F.get(known, F.lit(0)) - F.get(known, F.lit(0))
-        return F.aggregate(known, zero, lambda total, v: total + v)
-
-    return F.transform(F.sequence(F.lit(1), F.lit(reach)), over_last)
+    @property
+    def needed(self) -> list[str]:
+        totals = [self._of("total", p.name) for p in self.totals] + [self._of("peak", c) for c in sorted(self.peaks)]
+        return [*self.keys, self.cut, self.rest, *totals, *[self.rows[p] for p in self.slid]]
+
+    def local(self, df: DataFrame) -> DataFrame:
+        """Only the rows themselves are shuffled: parts are added behind the shuffle."""
+        rows = self.groups.with_block(df, self.block, self.cut).repartition(*self.keys)
+        rows = rows.withColumns({name: p.row for p, name in self.rows.items()})
+        block = Window.partitionBy(*self.keys)
+        in_order = block.orderBy(*self.groups.order)
+        upto = in_order.rowsBetween(Window.unboundedPreceding, 0)
+        columns = {self.nth: F.row_number().over(in_order), self.rest: F.count("*").over(block) - F.row_number().over(in_order)}
+        columns |= {self._of("total", p.name): p.over(upto, self.rows[p]) for p in self.totals}
+        for name, f in self.features.items():
+            frame = block if f.whole else in_order.rowsBetween(_lower(f), f.end)
+            columns |= {self._of(name, p.name): p.over(frame, self.rows[p]) for p in _parts(f) if f.fn != "peak"}
+        rows = rows.withColumns(columns)
+        return rows.withColumns({self._of("peak", c): F.max(self._of("total", f"sum_{c}")).over(block) for c in sorted(self.peaks)}) if self.peaks else rows
+
+    def carried(self, ends: DataFrame) -> DataFrame:
+        """One row per block of a cut group: parts before it, parts of all other blocks, last rows before it.
+
+        ``ends`` are the last rows of blocks: one of them, or as many as a sliding frame reaches back.
+        """
+        first = lambda c: F.min_by(c, self.rest).alias(c)
+        totals = [self._of("total", p.name) for p in self.totals] + [self._of("peak", c) for c in sorted(self.peaks)]
+        last_rows = F.struct((-F.col(self.rest)).alias("at"), *[F.col(self.rows[p]).alias(p.name) for p in self.slid])
+        end_rows = F.array_sort(F.collect_list(last_rows)).alias("end_rows")
+        blocks = ends.filter(self.near_end).groupBy(*self.keys).agg(F.count("*").alias("ends"), *[first(c) for c in totals], *([end_rows] if self.reach else []))
+        group = Window.partitionBy(*self.groups.keys).orderBy(self.block)
+        earlier = group.rowsBetween(Window.unboundedPreceding, -1)
+        later = group.rowsBetween(1, Window.unboundedFollowing)
+        columns = {}
+        for p in self.totals:
+            total = self._of("total", p.name)
+            columns[self._of("before", p.name)] = p.over_blocks(total, group, earlier)
+            columns[self._of("others", p.name)] = p.combine(p.over_blocks(total, group, earlier), p.over_blocks(total, group, later))
+        if self.reach:
+            columns["_tail"] = F.flatten(F.collect_list("end_rows").over(group.rowsBetween(-self.reach, -1)))
+        blocks = blocks.withColumns(columns) if columns else blocks
+        for c in sorted(self.peaks):
+            top = F.coalesce(F.col(self._of("before", f"sum_{c}")), F.lit(0)) + F.col(self._of("peak", c))
+            columns[self._of("top", c)] = top
+            blocks = blocks.withColumn(self._of("top", c), F.max(top).over(Window.partitionBy(*self.groups.keys)))
+        tails = [self._tail(p).alias(self._of("tail", p.name)) for p in self.slid]
+        return blocks.select(*self.keys, *[c for c in columns if c != "_tail"], *tails)
+
+    def _tail(self, part: _Part) -> Column:
+        """Array whose n-th element combines ``part`` over the last n rows of the earlier blocks."""
+        tail = F.col("_tail")
+        values = F.transform(tail, lambda r: r[part.name])
+        return F.transform(F.sequence(F.lit(1), F.lit(self.reach)),
+                           lambda n: part.of_values(F.slice(values, F.greatest(F.size(tail) - n + 1, F.lit(1)), n)))
+
+    def finished(self) -> dict[str, Column]:
+        out = {}
+        for name, f in self.features.items():
+            if f.fn == "peak":
+                out[name] = F.coalesce(self._of("top", f.column), self._of("peak", f.column))
+                continue
+            whole = []
+            for p in _parts(f):
+                if f.sliding:
+                    # The n-th row of a block lacks (window - n) rows, if any; out of range reads as null.
+                    other = F.get(self._of("tail", p.name), -f.start - F.col(self.nth))
+                else:
+                    other = F.col(self._of("others" if f.whole else "before", p.name))
+                whole.append(p.combine(F.col(self._of(name, p.name)), other))
+            out[name] = _finish(f, whole)
+        return out

@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import flag
-from ..operators.groups import ordered_groups
-from ..operators.joins import lookup, pinned
-from ..operators.running import add_running, before, last, row_number, so_far, whole
+from ..operators.groups import all_ordered_groups, ordered_groups
+from ..operators.joins import left_join_null_safe, lookup, pinned
+from ..operators.places import dense_ranks
+from ..operators.running import add_all, add_running, before, last, peak, row_number, so_far, whole
 from ..sources.scratch import staged
 
 # Last sort keys, so that rows tied on race order keep one defined order.
@@ -48,6 +49,7 @@ DRIVER_SEASON = {
     "best_finish_so_far": so_far("min", "final_position"),
     "races_completed": row_number(),
 }
+SEASON_TOTAL = {"season_total_points": peak("points")}
 TEAM_SEASON = {
     "constructor_cumulative_points": so_far("sum", "points"),
     "constructor_rolling_points": last(5, "avg", "points"),
@@ -91,18 +93,14 @@ def _driver_scores(rows: DataFrame) -> DataFrame:
 def driver_level(rows: DataFrame) -> DataFrame:
     """Career, venue and season form of drivers.
 
-    All three partition by the driver, career first, so ungrouped data is
-    shuffled once, by driver, for the whole chain. Groups are looked for in
-    the scan, before any of the windows.
+    All three partition by the driver, career first, so data without big groups is shuffled
+    once, by driver, for all windows. Big groups of the three are looked for in one pass, and cut
+    together: one shuffle for each split, one written table, two scans of it. [W24]
     """
-    n = rows.count()
-    career = ordered_groups(rows, ["driverId"], _order(rows, "date"), n)
-    venue = ordered_groups(rows, ["driverId", "circuitId"], _order(rows, "date"), n)
-    season = ordered_groups(rows, ["driverId", "year"], _order(rows, "round"), n)
-    out = add_running(rows, career, CAREER)
-    out = add_running(out, venue, VENUE)
-    out = _driver_scores(add_running(out, season, DRIVER_SEASON))
-    return add_running(out, season, {"season_total_points": whole("max", "cumulative_points")})
+    splits = [(["driverId"], _order(rows, "date")), (["driverId", "circuitId"], _order(rows, "date")),
+              (["driverId", "year"], _order(rows, "round"))]
+    groups = all_ordered_groups(rows, splits)
+    return _driver_scores(add_all(rows, list(zip(groups, [CAREER, VENUE, DRIVER_SEASON | SEASON_TOTAL]))))
 
 
 def team_form(rows: DataFrame, scan: DataFrame | None = None) -> DataFrame:
@@ -144,30 +142,36 @@ def with_gap_to_leader(rows: DataFrame, leaders: DataFrame | None = None) -> Dat
 
 
 def season_ranks(rows: DataFrame) -> DataFrame:
-    """Dense rank of every points total reached in a season. [W25]
+    """Dense rank of every driver's points total within the season. [W25]
 
-    Ranking the distinct totals equals a dense rank over all result rows.
+    Totals are aggregates of narrow rows, one for each driver-season, and their ranks come from
+    places in one order of the distinct totals: no window holds a season.
     """
-    totals = staged(
-        rows.select("year", "season_total_points").distinct()
-        .withColumn("_behind", -F.col("season_total_points")),
-        "totals",
-    )
-    groups = ordered_groups(totals, ["year"], ["_behind"])
-    return add_running(totals, groups, {"season_rank": row_number()}).drop("_behind")
+    totals = rows.groupBy("driverId", "year").agg(F.max("season_total_points").alias("_by")).withColumn("_by", -F.col("_by"))
+    totals = staged(totals, "season-totals")
+    ranks = dense_ranks(totals, ["year"], F.col("_by"), "season_rank")
+    return left_join_null_safe(totals, ranks, ["year", "_by"]).select("driverId", "year", "season_rank")
+
+
+def with_season_ranks(rows: DataFrame, scan: DataFrame | None = None) -> DataFrame:
+    """Season rank of the row's driver. [W25]"""
+    return lookup(rows, season_ranks(rows if scan is None else scan), ["driverId", "year"], nulls_match=True)
 
 
 def with_champions(rows: DataFrame, scan: DataFrame | None = None) -> DataFrame:
-    """Season rank and champion flag; equal totals share a title. [W24-W26, N6]"""
-    ranks = season_ranks(rows if scan is None else scan)
-    ranked = lookup(rows, ranks, ["year", "season_total_points"], nulls_match=True)
-    return ranked.withColumn("is_champion", flag(F.col("season_rank") == 1))
+    """Champion flag: the driver's total is the season's greatest; equal totals share a title. [W24, W26, N6]
+
+    The greatest total is one row for each season, so the rows are not shuffled for it.
+    """
+    best = (rows if scan is None else scan).groupBy("year").agg(F.max("season_total_points").alias("_best"))
+    ranked = lookup(rows, best, ["year"], nulls_match=True)
+    return ranked.withColumn("is_champion", flag(F.col("season_total_points") == F.col("_best"))).drop("_best")
 
 
 def season_level(rows: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """Champion, races remaining and gap to the leader on driver-level rows."""
     leaders = pinned(round_leaders(rows if scan is None else scan))
-    return with_gap_to_leader(with_races_remaining(with_champions(rows, scan), leaders), leaders)
+    return with_gap_to_leader(with_races_remaining(with_champions(rows, scan), scan), leaders)
 
 
 def with_labels(rows: DataFrame) -> DataFrame:

@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from ..fixed import FINISHED_STATUS, NULL_DEFAULTS, NUMERIC_COLUMNS
 from ..functions.columns import flag, full_name, number_or_null
+from ..operators.heavy import hot_keys, spread_join
 
 
-def joined_results(tables: dict[str, DataFrame]) -> DataFrame:
+_JOINS = [["raceId"], ["constructorId"], ["statusId"], ["raceId", "driverId"], ["driverId"]]
+
+
+def joined_results(tables: dict[str, DataFrame], scan: DataFrame | None = None) -> DataFrame:
     """Results widened by six left joins. [P1-P3, J1-J6]
 
     No hints: a table below ``spark.sql.autoBroadcastJoinThreshold`` is broadcast
-    on its real file size, a larger one is joined by shuffle, where adaptive
-    execution splits skewed partitions. Venues hang off races, which are
-    narrow, so that pair is joined first and reaches the results in one join.
+    on its real file size, a larger one is joined by shuffle. Keys with more results than
+    one task may hold are looked for in ``scan`` (the results as read, by default), in one
+    pass for all joins, and spread. Venues hang off races, which are narrow, so that pair
+    is joined first and reaches the results in one join.
     """
     races = (
         tables["races"]
@@ -26,14 +31,10 @@ def joined_results(tables: dict[str, DataFrame]) -> DataFrame:
     status = tables["status"].select("statusId", "status")
     drivers = tables["drivers"].select("driverId", full_name("forename", "surname").alias("driver_name"))
     qualifying = tables["qualifying"].select("raceId", "driverId", F.col("position").alias("quali_position"))
-    return (
-        tables["results"]
-        .join(races, "raceId", "left")
-        .join(constructors, "constructorId", "left")
-        .join(status, "statusId", "left")
-        .join(qualifying, ["raceId", "driverId"], "left")
-        .join(drivers, "driverId", "left")
-    )
+    rows = tables["results"]
+    for right, hot in zip([races, constructors, status, qualifying, drivers], hot_keys(rows if scan is None else scan, _JOINS)):
+        rows = spread_join(rows, right, hot)
+    return rows
 
 
 def distinct_inputs(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -52,10 +53,10 @@ def distinct_inputs(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "status": ["statusId", "status"],
         "qualifying": ["raceId", "driverId", "position"],
     }
-    distinct = {name: tables[name].select(cols).dropDuplicates() for name, cols in used.items()}
+    narrow = {name: tables[name].select(cols) for name, cols in used.items()}
     # Rows carry the joined name only, so drivers who agree in it are one row.
-    names = distinct["drivers"].withColumn("_name", full_name("forename", "surname"))
-    return distinct | {"drivers": names.dropDuplicates(["driverId", "_name"]).drop("_name")}
+    names = narrow["drivers"].select("driverId", full_name("forename", "surname").alias("forename"), F.lit(None).cast("string").alias("surname"))
+    return {name: df.dropDuplicates() for name, df in (narrow | {"drivers": names}).items()}
 
 
 def clean(rows: DataFrame) -> DataFrame:
@@ -84,4 +85,4 @@ def with_flags(rows: DataFrame) -> DataFrame:
 
 def race_rows(tables: dict[str, DataFrame]) -> DataFrame:
     """Joined, duplicate-free, clean rows with flags."""
-    return with_flags(clean(joined_results(distinct_inputs(tables))))
+    return with_flags(clean(joined_results(distinct_inputs(tables), tables["results"])))

@@ -1,13 +1,18 @@
 """Groups cut into blocks give what plain windows give, for any cut."""
 
+import fractions
 import math
 import random
+import re
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from gridline.operators.groups import OrderedGroups, ordered_groups
-from gridline.operators.running import Running, add_running, before, last, row_number, so_far, whole
+import gridline.operators.groups as groups_module
+import gridline.operators.running as running_module
+from gridline.operators.groups import OrderedGroups, all_ordered_groups, ordered_groups
+from gridline.operators.running import Running, add_all, add_running, before, last, peak, row_number, so_far, whole
 from gridline.session import GROUP_ROWS_KEY
 from gridline.sources.scratch import staged
 
@@ -16,6 +21,7 @@ FEATURES = {
     "sum3": last(3, "sum", "x"), "avg5": last(5, "avg", "y"), "min4": last(4, "min", "x"), "max2": last(2, "max", "y"),
     "sd5": last(5, "stddev", "x"), "cum": so_far("sum", "y"), "cum_min": so_far("min", "x"),
     "avg_before": before("avg", "x"), "sum_before": before("sum", "x"),
+    "sd_far": so_far("stddev", "y"), "sd_before": before("stddev", "x"), "top": peak("y"), "top_x": peak("x"),
     "all_avg": whole("avg", "x"), "all_sum": whole("sum", "y"), "all_max": whole("max", "x"), "all_sd": whole("stddev", "x"),
 }
 
@@ -51,7 +57,7 @@ def test_blocks_equal_plain_windows(spark, small_groups, seed, limit):
     df = staged(spark.createDataFrame(_rows(seed), "k int, o int, id int, x int, y double"))
     small_groups(limit)
     groups = ordered_groups(df, ["k"], ["o", "id"])
-    assert groups.cuts is not None
+    assert groups.cut
     plain = OrderedGroups(groups.keys, groups.order)
     got = {r["id"]: r for r in add_running(df, groups, FEATURES).collect()}
     want = {r["id"]: r for r in add_running(df, plain, FEATURES).collect()}
@@ -86,15 +92,59 @@ def test_no_statistics_below_the_limit(spark):
     assert ordered_groups(df, ["k"], ["id"]).cuts is None
 
 
-def test_cut_points_do_not_travel_through_the_shuffle(spark, small_groups):
-    df = staged(spark.createDataFrame(_rows(6), "k int, o int, id int, x int, y double"))
+def test_more_blocks_than_may_be_broadcast(spark, small_groups, monkeypatch):
+    """Beyond the bound on cut points rows are cut by their exact places."""
+    df = staged(spark.createDataFrame(_rows(8), "k int, o int, id int, x int, y double"))
+    small_groups(25)
+    monkeypatch.setattr(groups_module, "MAX_BLOCKS", 10)
+    groups = ordered_groups(df, ["k"], ["o", "id"])
+    assert groups.block_rows == 25 and groups.cuts is None
+    sizes = groups.with_block(df).groupBy("k", "_block").count().collect()
+    assert max(r["count"] for r in sizes) == 25
+    plain = OrderedGroups(groups.keys, groups.order)
+    got = {r["id"]: r for r in add_running(df, groups, FEATURES).collect()}
+    for i, row in {r["id"]: r for r in add_running(df, plain, FEATURES).collect()}.items():
+        for c in FEATURES:
+            assert _same(got[i][c], row[c]), (i, c, got[i][c], row[c])
+
+
+def test_splits_share_one_written_table(spark, small_groups, monkeypatch):
+    """Three splits cut at once: one shuffle of the rows each, one table, two scans of it."""
+    written = []
+    monkeypatch.setattr(running_module, "staged", lambda df, name: (written.append((name, df)), staged(df, name))[1])
+    df = staged(spark.createDataFrame(_rows(9), "k int, o int, id int, x int, y double").withColumn("g", F.col("id") % 3))
+    small_groups(20)
+    keys = [(["k"], ["o", "id"]), (["k", "g"], ["id"]), (["g"], ["id"])]
+    groups = all_ordered_groups(df, keys)
+    assert all(g.cut for g in groups)
+    wanted = [{f"{n}_{j}": f for n, f in FEATURES.items()} for j in range(3)]
+    out = add_all(df, list(zip(groups, wanted)))
+    assert [n for n, _ in written] == ["block-windows", "block-ends"]
+    shuffles = re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", re.sub(r"#\d+L?", "", written[0][1]._jdf.queryExecution().executedPlan().toString()))
+    assert shuffles == ["g, _r2_block", "k, g, _r1_block", "k, _r0_block"]
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet [^\n]*block-windows", text)) == 1
+    plain = add_all(df, [(OrderedGroups(g.keys, g.order), w) for g, w in zip(groups, wanted)])
+    assert out.columns == plain.columns
+    got = {r["id"]: r for r in out.collect()}
+    for row in plain.collect():
+        for c in plain.columns:
+            assert _same(got[row["id"]][c], row[c]), c
+
+
+def test_spread_of_drifting_values(spark, small_groups):
+    """One group whose values drift from 0 to 1e12: block moments lose nothing."""
+    rnd = random.Random(3)
+    values = [1e12 * (i / 399) ** 8 + rnd.random() for i in range(400)]
+    df = staged(spark.createDataFrame(list(enumerate(values)), "i int, x double").withColumn("g", F.lit(1)))
+    wanted = {"far": so_far("stddev", "x"), "near": last(5, "stddev", "x"), "all": whole("stddev", "x")}
     small_groups(20)
-    out = add_running(df, ordered_groups(df, ["k"], ["o", "id"]), {"cum": so_far("sum", "y")})
-    plan = out._jdf.queryExecution().optimizedPlan().toString()
-    windows = [line for line in plan.splitlines() if "Window [" in line]
-    assert windows and "_cuts" not in "".join(windows)
-    exchanges = out._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(k" in exchanges and "_block" in exchanges
+    groups = ordered_groups(df, ["g"], ["i"])
+    assert groups.cut
+    for r in add_running(df, groups, wanted).collect():
+        for name, part in (("far", values[:r.i + 1]), ("near", values[max(0, r.i - 4):r.i + 1]), ("all", values)):
+            exact = statistics.stdev([fractions.Fraction(v) for v in part]) if len(part) > 1 else None
+            assert exact is None and r[name] is None or math.isclose(r[name], exact, rel_tol=1e-12), (r.i, name)
 
 
 def test_spread_of_large_values_in_blocks(spark):
