@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +23,10 @@ from .operators.sequences import (
 )
 from .plans import features, form, race_model, race_rows, reports, season_model
 from .plans.season_star import TRAIN_CUTOFF, VALIDATION_YEARS, clean_rows, star_tables
-from .session import GROUP_ROWS_KEY
-from .sources.landing import complete_sessions, landing_keys, to_fetch
+from .session import GROUP_ROWS_KEY, scratch_dir
+from .sources.landing import (
+    QUALIFYING, RACE, complete_sessions, landing_keys, manifest, read_landing, refresh, taken_records, to_fetch, write_landing,
+)
 from .sources.scratch import staged, staged_once
 from .sources.sinks import reused
 from .sources.tables import missing_inputs
@@ -566,15 +570,72 @@ def landing_complete(spark, sf_dir):
     return complete_sessions(found.select("year", "session_key"), found, _EVENT_TYPES)
 
 
+_LANDED = """SELECT event_id, CAST(year(ts) AS INT) AS year, CASE WHEN event_id % 10 = 0 THEN 'quali_' ELSE '' END || strftime(ts, '%Y%m') AS session_key,
+  event_type AS endpoint, CAST(json_extract(props, '$.k') AS INT) AS k, value FROM events"""
+
+
+def _landing(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """A landing zone of all events (months as sessions, event types as endpoints, a tenth as qualifying) and its store.
+
+    A second refresh must find nothing new.
+    """
+    root, store = (f"{scratch_dir(spark)}/{n}-{uuid.uuid4().hex[:8]}" for n in ("landing", "landed"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    prefix = F.when(F.col("event_id") % 10 == 0, "quali_").otherwise("")
+    records = events.select(
+        F.year("ts").alias("year"), F.concat(prefix, F.date_format("ts", "yyyyMM")).alias("session_key"), F.col("event_type").alias("endpoint"),
+        "event_id", F.from_json("props", "k INT")["k"].alias("k"), "value")
+    write_landing(records, root, ["year", "session_key", "endpoint"], ["event_id"])
+    for endpoint in _EVENT_TYPES:
+        for kind in (RACE, QUALIFYING):
+            refresh(spark, root, store, endpoint, "event_id LONG, k INT, value DOUBLE", kind)
+    if again := refresh(spark, root, store, _EVENT_TYPES[-1], "event_id LONG, k INT, value DOUBLE"):
+        raise RuntimeError(f"{again} files were read twice")
+    return root, store
+
+
+@query(_LANDED)
+def landing_records(spark, sf_dir):
+    """All events written as landing files, taken by refreshes, read back by kind of session."""
+    _, store = staged_landing(spark, sf_dir)
+    parts = [taken_records(spark, store, e, kind) for e in _EVENT_TYPES for kind in (RACE, QUALIFYING)]
+    return reduce(DataFrame.unionByName, parts).select("event_id", "year", "session_key", "endpoint", "k", "value")
+
+
+@query(f"""SELECT * FROM ({_LANDED}) WHERE endpoint = 'view' AND session_key LIKE 'quali%'""")
+def landing_qualifying(spark, sf_dir):
+    """One endpoint of qualifying sessions, read straight from the landing files."""
+    root, _ = staged_landing(spark, sf_dir)
+    return read_landing(spark, root, "view", "event_id LONG, k INT, value DOUBLE", QUALIFYING)
+
+
+@query(f"""SELECT year, session_key, endpoint, CASE WHEN session_key LIKE 'quali%' THEN 'qualifying' ELSE 'race' END AS kind,
+  count(*) AS files FROM (SELECT DISTINCT year, session_key, endpoint FROM ({_LANDED})) GROUP BY ALL""")
+def landing_manifest(spark, sf_dir):
+    """The manifest has each landed file once."""
+    _, store = staged_landing(spark, sf_dir)
+    return manifest(spark, store).groupBy("year", "session_key", "endpoint", "kind").agg(F.count("*").alias("files"))
+
+
+_STAGED_LANDINGS: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def staged_landing(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STAGED_LANDINGS:
+        _STAGED_LANDINGS[key] = _landing(spark, sf_dir)
+    return _STAGED_LANDINGS[key]
+
+
 @query(f"""SELECT event_id, CAST(year(ts) AS INT) AS year, user_id || '-' || strftime(ts, '%Y%m%d') AS session_key,
   event_type AS endpoint, CAST(json_extract(props, '$.k') AS INT) AS k FROM events""")
-def landing_records(spark, sf_dir):
+def landing_path_keys(spark, sf_dir):
     """Keys taken from a landing path, fields from the JSON record."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     day = F.date_format("ts", "yyyyMMdd")
     folder = F.concat(F.lit("/landing/"), F.year("ts"), F.lit("/"), "user_id", F.lit("-"), day)
     path = F.concat(folder, F.lit("/"), "event_type", F.lit(".json"))
-    return events.select("event_id", *landing_keys(path), F.from_json("props", "k INT")["k"].alias("k"))
+    return events.select("event_id", *landing_keys(path)[:3], F.from_json("props", "k INT")["k"].alias("k"))
 
 
 @query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")

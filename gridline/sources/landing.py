@@ -1,35 +1,121 @@
-"""JSON landing zone: ``{year}/{session_key}/{endpoint}.json``, one array of records per file."""
+"""JSON landing zone: one array of records per file, keys in the path, and a table of the files taken so far.
+
+Files are ``{year}/{session_key}/{endpoint}.json``, or ``year={}/session_key={}/endpoint={}/part-*`` as
+Spark's writers lay them out. Qualifying sessions have keys that begin with ``quali_``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+from collections.abc import Iterator
+from itertools import islice
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from ..fixed import LANDING_ENDPOINTS
 from .tables import listing
 
-_PATH = r"/(\d{4})/([^/]+)/([^/]+)\.json$"
+_PATH = r"/(?:year=)?(\d{4})/(?:session_key=)?([^/]+)/(?:endpoint=)?([^/]+?)(?:\.json|/part-[^/]+)$"
+_FILES = "{*.json,part-*}"
+RACE, QUALIFYING = "race", "qualifying"
+_QUALIFYING_KEY = "quali_"
+#: Files read by one job of a refresh.
+BATCH_FILES = 10_000
+_MANIFEST = "path string, length long, modified timestamp, year int, session_key string, endpoint string, kind string, batch string"
 
 
 def landing_keys(path: Column) -> list[Column]:
-    """year, session_key and endpoint, which only the path holds. [S8]"""
+    """year, session_key, endpoint and kind of session, which only the path holds. [S8]"""
+    session = F.regexp_extract(path, _PATH, 2)
     return [
         F.regexp_extract(path, _PATH, 1).try_cast("int").alias("year"),
-        F.regexp_extract(path, _PATH, 2).alias("session_key"),
+        session.alias("session_key"),
         F.regexp_extract(path, _PATH, 3).alias("endpoint"),
+        F.when(F.startswith(session, F.lit(_QUALIFYING_KEY)), QUALIFYING).otherwise(RACE).alias("kind"),
     ]
 
 
-def read_landing(spark: SparkSession, root: str, endpoint: str, schema: StructType | str) -> DataFrame:
-    """Records of one endpoint over all sessions, with the keys taken from the path. [S8]"""
-    records = spark.read.schema(schema).option("multiLine", True).json(f"{root.rstrip('/')}/*/*/{endpoint}.json")
-    return records.select(*landing_keys(F.col("_metadata.file_path")), "*")
+def _records(spark: SparkSession, paths: str | list[str], schema: StructType | str) -> DataFrame:
+    reader = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", _FILES)
+    path = F.col("_metadata.file_path")
+    return reader.json(paths).select(path.alias("path"), *landing_keys(path), "*")
+
+
+def read_landing(spark: SparkSession, root: str, endpoint: str, schema: StructType | str, kind: str = RACE) -> DataFrame:
+    """Records of one endpoint over all sessions of a kind, with the keys taken from the path. [S8]
+
+    Files of other endpoints and sessions are left out by their paths.
+    """
+    wanted = (F.col("endpoint") == endpoint) & (F.col("kind") == kind)
+    return _records(spark, root, schema).filter(wanted).drop("path", "kind")
 
 
 def landed_files(spark: SparkSession, root: str) -> DataFrame:
     """One row per landed file; an empty array counts as landed. [S9]"""
-    return listing(spark, root, "*.json").select(*landing_keys(F.col("path")), "length")
+    return listing(spark, root, _FILES).select(*landing_keys(F.col("path")), "length", "path", "modified").filter("year is not null")
+
+
+def manifest(spark: SparkSession, store: str) -> DataFrame:
+    """The files taken into ``store``, as last taken. [S9]"""
+    try:
+        rows = spark.read.schema(_MANIFEST).parquet(f"{store}/manifest")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], _MANIFEST)
+    columns = rows.columns
+    return rows.groupBy("path").agg(F.max_by(F.struct(*columns), F.struct("modified", "batch")).alias("last")).select("last.*")
+
+
+def _batches(rows: Iterator[Row], size: int) -> Iterator[list[Row]]:
+    while batch := list(islice(rows, size)):
+        yield batch
+
+
+def refresh(spark: SparkSession, root: str, store: str, endpoint: str, schema: StructType | str, kind: str = RACE,
+            batch_files: int = BATCH_FILES) -> int:
+    """Take the files of one endpoint that are new or were written again into ``store``; returns how many were read.
+
+    Listed files are compared with the manifest by path, length and time of change, on the
+    executors; only new ones reach the driver, a batch at a time. The records of a batch go into
+    a folder named after its files, then its files are added to the manifest, and only that
+    makes them count. A refresh that was cut off is made good by the next one. [S8, S9]
+    """
+    same = ["path", "length", "modified"]
+    wanted = landed_files(spark, root).filter((F.col("endpoint") == endpoint) & (F.col("kind") == kind))
+    new = wanted.join(manifest(spark, store), same, "left_anti").orderBy("path")
+    taken = 0
+    for rows in _batches(new.toLocalIterator(), batch_files):
+        batch = hashlib.sha256(repr([tuple(r[c] for c in same) for r in rows]).encode()).hexdigest()[:16]
+        records = _records(spark, [r["path"] for r in rows], schema)
+        records.write.mode("overwrite").parquet(f"{store}/{kind}/{endpoint}/batch={batch}")
+        files = [tuple(r[c] for c in (*same, "year", "session_key", "endpoint", "kind")) + (batch,) for r in rows]
+        spark.createDataFrame(files, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{store}/manifest")
+        taken += len(rows)
+    return taken
+
+
+def taken_records(spark: SparkSession, store: str, endpoint: str, kind: str = RACE) -> DataFrame:
+    """Records of an endpoint out of the files in the manifest, each file as last taken. [S8]"""
+    files = manifest(spark, store).filter((F.col("endpoint") == endpoint) & (F.col("kind") == kind))
+    rows = spark.read.parquet(f"{store}/{kind}/{endpoint}")
+    return rows.join(files.select("path", "batch"), ["path", "batch"], "left_semi").drop("path", "batch", "kind")
+
+
+def write_landing(records: DataFrame, root: str, keys: list[str], order: list[str]) -> None:
+    """Records as landing files, one JSON array for each (year, session_key, endpoint) in ``keys``.
+
+    The lines of a file are put in order and streamed into it by one task; nothing is collected.
+    """
+    fields = F.to_json(F.struct(*[c for c in records.columns if c not in keys]))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    lines = records.select(*keys, F.lit(0).alias("_end"), nth.alias("_nth"), F.concat(F.when(nth == 1, "[").otherwise(","), fields).alias("value"))
+    ends = records.select(*keys).distinct().select(*keys, F.lit(1).alias("_end"), F.lit(0).alias("_nth"), F.lit("]").alias("value"))
+    ordered = lines.union(ends).repartition(*keys).sortWithinPartitions(*keys, "_end", "_nth")
+    ordered.select(*keys, "value").write.partitionBy(*keys).mode("append").text(root)
 
 
 def to_fetch(

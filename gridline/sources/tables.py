@@ -18,22 +18,22 @@ log = logging.getLogger(__name__)
 
 
 def listing(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """Files below ``root`` whose name matches ``glob``: path and length, no content read. [S7, S9]"""
+    """Files below ``root`` whose name matches ``glob``: path, length and time of change, no content read. [S7, S9]"""
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .load(root)
-        .select("path", "length")
+        .select("path", "length", F.col("modificationTime").alias("modified"))
     )
 
 
-def _found(spark: SparkSession, root: str) -> set[str]:
+def _found(spark: SparkSession, root: str, files: list[str] = REQUIRED_RAW_FILES) -> set[str]:
     """Relative paths of the known raw files that exist directly in ``root`` or a known sub-folder.
 
     Whole paths are compared, without scheme and host, so the result is bounded by what is looked for.
     """
-    known = sorted({f"{t}.csv" for t in TABLES} | set(REQUIRED_RAW_FILES))
+    known = sorted({f"{t}.csv" for t in TABLES} | set(files))
     base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root if ":" in root else os.path.abspath(root)).rstrip("/")
     wanted = {f"{base}/{rel}": rel for f in known for rel in [f, *[f"{d}/{f}" for d in RAW_SUBDIRS]]}
     bare = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
@@ -93,10 +93,9 @@ def missing_inputs(expected: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def require_inputs(spark: SparkSession, root: str, files: list[str] = REQUIRED_RAW_FILES) -> None:
-    """Raise, naming every required file that is absent from ``root``. [S7]"""
-    expected = spark.createDataFrame([(f,) for f in files], "file string")
-    found = listing(spark, root, "*.csv").select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"))
-    missing = sorted(r["file"] for r in missing_inputs(expected, found).take(len(files)))
+    """Raise, naming every required file that is neither directly in ``root`` nor in a known sub-folder. [S7]"""
+    found = _found(spark, root, files)
+    missing = sorted(f for f in files if resolve(found, f) is None)
     if missing:
         raise FileNotFoundError(f"missing input files below {root}: {missing}")
 

@@ -128,6 +128,26 @@ def test_landing(spark, tmp_path):
     assert [r.session_key for r in landing.to_fetch(quali, found, ["laps"]).collect()] == ["quali_5"]
 
 
+def test_landing_refresh(spark, tmp_path):
+    root, store = str(tmp_path / "landing"), str(tmp_path / "store")
+    for session, n in (("77", 2), ("78", 0), ("quali_79", 1)):
+        _land(tmp_path / "landing", 2023, session, "laps", [{"n": i} for i in range(n)])
+    _land(tmp_path / "landing", 2023, "77", "pit", [{"n": 9}])
+    take = lambda kind=landing.RACE: landing.refresh(spark, root, store, "laps", "n int", kind, batch_files=1)
+    got = lambda kind=landing.RACE: sorted(tuple(r) for r in landing.taken_records(spark, store, "laps", kind).collect())
+    assert (take(), take()) == (2, 0)
+    assert got() == [(2023, "77", "laps", 0), (2023, "77", "laps", 1)]
+    assert (take(landing.QUALIFYING), take(landing.QUALIFYING)) == (1, 0) and got(landing.QUALIFYING) == [(2023, "quali_79", "laps", 0)]
+    # A file written again replaces its records, another one is added, and records without manifest rows do not count.
+    _land(tmp_path / "landing", 2023, "77", "laps", [{"n": 5}, {"n": 6}, {"n": 7}])
+    _land(tmp_path / "landing", 2024, "80", "laps", [{"n": 8}])
+    spark.createDataFrame([("x", 2023, "77", "laps", "race", 99)], "path string, year int, session_key string, endpoint string, kind string, n int").write.parquet(
+        f"{store}/race/laps/batch=cutoff")
+    assert (take(), take()) == (2, 0)
+    assert got() == [(2023, "77", "laps", 5), (2023, "77", "laps", 6), (2023, "77", "laps", 7), (2024, "80", "laps", 8)]
+    assert landing.manifest(spark, store).count() == 4
+
+
 def test_csv_export_and_reexport(spark, tmp_path):
     df = spark.createDataFrame([(2, "b"), (1, "a"), (3, "c")], "year int, name string")
     sinks.export_csv(df, str(tmp_path / "x"), single_file=True)
