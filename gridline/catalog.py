@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import oracle as sql
 from .fixed import CHAMP_FEATURE_SET, RACE_FEATURE_SET, RACE_MODEL_FEATURES, SEQUENCE_FEATURES
@@ -504,17 +505,59 @@ def _race_model(spark: SparkSession, sf_dir: str) -> tuple[PipelineModel, DataFr
 
 @query()
 def race_winner_scores(spark, sf_dir):
-    model, test = _race_model(spark, sf_dir)
-    return reports.ordered_race_predictions(race_model.predictions(model.transform(test)))
+    return reports.ordered_race_predictions(_race_scores(spark, sf_dir))
 
 
 @query()
 def race_winner_metrics(spark, sf_dir):
+    return race_model.evaluate(_race_scores(spark, sf_dir))
+
+
+def _race_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of the test seasons, scored once per session."""
+    def build() -> DataFrame:
+        model, test = _race_model(spark, sf_dir)
+        return race_model.predictions(model.transform(test))
+    return race_model.in_order(staged_once(spark, f"race-scores:{sf_dir}", build))
+
+
+@query(sql.full(f"""SELECT year, round, driver_name, constructor_name, CAST(is_winner AS DOUBLE) AS is_winner,
+  true AS agrees, true AS likelier_class, true AS in_order FROM feat WHERE year > {TRAIN_CUTOFF}"""))
+def race_winner_agreement(spark, sf_dir):
+    """Every prediction against the forest's nodes walked as expressions: probability, class and order of the rows."""
     model, test = _race_model(spark, sf_dir)
-    scored = staged(race_model.predictions(model.transform(test)), "race-scores")
-    metrics = scoring.classification_metrics(scored, "is_winner")
-    area = scoring.exact_auc(scored, "is_winner", "winner_probability").first()["auc"]
-    return metrics.withColumn("auc", F.lit(area))
+    scored = _race_scores(spark, sf_dir).select("*", F.monotonically_increasing_id().alias("at"))
+    scored = staged(scored, "race-scores-in-order")
+    ids = ["year", "round", "driver_name", "constructor_name", "is_winner"]
+    nth = Window.partitionBy(*ids).orderBy("winner_probability")
+    own = race_model.compiled_scores(model, test).withColumn("nth", F.row_number().over(nth)).withColumnRenamed("winner_probability", "own")
+    both = scored.withColumn("nth", F.row_number().over(nth)).join(own, [*ids, "nth"], "full")
+    later = Window.partitionBy("year").orderBy("at")
+    return both.select(
+        *ids, F.coalesce(F.abs(F.col("own") - F.col("winner_probability")) < 1e-9, F.lit(False)).alias("agrees"),
+        ((F.col("own") > 0.5 + 1e-9) == (F.col("prediction") == 1)).alias("likelier_class"),
+        (F.lag("winner_probability", 1, 2.0).over(later) >= F.col("winner_probability")).alias("in_order"))
+
+
+@query(sql.full(" UNION ALL ".join(f"""
+  SELECT '{c}' AS feature, ROUND((SELECT MIN(v) FROM (
+           SELECT {c} AS v, ROW_NUMBER() OVER (ORDER BY {c}) AS n, COUNT(*) OVER () AS c
+           FROM feat WHERE {c} IS NOT NULL AND year <= {TRAIN_CUTOFF}) WHERE 2 * n >= c), 6) AS median""" for c in RACE_MODEL_FEATURES)))
+def forest_medians(spark, sf_dir):
+    """What the forest fills in for missing values: the exact medians of the training rows."""
+    fitted = _race_model(spark, sf_dir)[0].stages[0].surrogateDF
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("median")) for c in RACE_MODEL_FEATURES]))
+    return rounded(fitted.select(pairs.alias("p")).select("p.*"))
+
+
+@query(sql.full(f"""SELECT COUNT(*) AS rows, true AS optimal FROM seq
+  WHERE step = 1 AND year <= {TRAIN_CUTOFF} - {VALIDATION_YEARS}""", sql.sequences("feat", SEQUENCE_FEATURES)))
+def season_model_optimality(spark, sf_dir):
+    """The chosen season model is the optimum of its loss over all training rows."""
+    rows = staged(season_model.model_input(season_model.padded_sequences(_champ(spark, sf_dir), TRAIN_CUTOFF, VALIDATION_YEARS)), "model-input")
+    model, strength = season_model.fit_best(rows)
+    gradient = season_model.loss_gradient(model, rows.filter("split = 'train'"), strength)
+    return gradient.select("rows", (F.col("norm") < 1e-5).alias("optimal"))
 
 
 @query()

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import Imputer, ImputerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed import FOREST, RACE_MODEL_FEATURES, RACE_TARGET, RANDOM_SEED, TRAIN_CUTOFF
 from ..functions.columns import keep_existing, require_columns
+from ..operators.forest import forest_score
+from ..operators.medians import narrowed_medians
+from ..operators.scoring import classification_metrics, exact_auc
 from ..sources.scratch import staged
 from ..sources.sinks import reused, save_model, write_parquet
 
@@ -50,39 +52,49 @@ def temporal_split(rows: DataFrame, cutoff: int = TRAIN_CUTOFF) -> tuple[DataFra
     return rows.filter(part < 80), rows.filter(part >= 80)
 
 
-def forest(**params) -> Pipeline:
-    """Median imputer, assembler, random forest. [M4-M7]"""
-    imputed = [f"{c}_imputed" for c in RACE_MODEL_FEATURES]
-    return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=RACE_MODEL_FEATURES, outputCols=imputed),
-        VectorAssembler(inputCols=imputed, outputCol="features"),
-        RandomForestClassifier(labelCol=RACE_TARGET, featuresCol="features", **(FOREST | params)),
-    ])
+def imputer(train: DataFrame) -> ImputerModel:
+    """Fills missing features with their exact medians in the training rows. [M4]
+
+    The medians are found by `narrowed_medians`; the imputer is fitted on one row that has them.
+    """
+    medians = narrowed_medians(train, RACE_MODEL_FEATURES)
+    if unknown := [c for c, m in medians.items() if m is None]:
+        raise ValueError(f"no training row has a value of {unknown}")
+    row = train.sparkSession.createDataFrame([tuple(medians.values())], ", ".join(f"{c} double" for c in medians))
+    return Imputer(strategy="median", inputCols=RACE_MODEL_FEATURES, outputCols=[f"{c}_imputed" for c in RACE_MODEL_FEATURES]).fit(row)
 
 
 def fit(train: DataFrame, **params) -> PipelineModel:
-    return forest(**params).fit(train)
+    """Median imputer, assembler, random forest. [M4-M7]"""
+    return Pipeline(stages=[
+        imputer(train),
+        VectorAssembler(inputCols=[f"{c}_imputed" for c in RACE_MODEL_FEATURES], outputCol="features"),
+        RandomForestClassifier(labelCol=RACE_TARGET, featuresCol="features", **(FOREST | params)),
+    ]).fit(train)
 
 
 def predictions(scored: DataFrame) -> DataFrame:
     """[M10, P29, T3]"""
     probability = vector_to_array("probability").getItem(1).alias("winner_probability")
     # A sort samples its input first; written rows keep the trees from being run twice.
-    rows = staged(scored.select(*_IDS, RACE_TARGET, "prediction", probability), "scored-rows")
+    return in_order(staged(scored.select(*_IDS, RACE_TARGET, "prediction", probability), "scored-rows"))
+
+
+def in_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("winner_probability"), *_IDS)
 
 
-def evaluate(scored: DataFrame) -> dict[str, float]:
-    """[M8, M9]"""
-    auc = BinaryClassificationEvaluator(
-        labelCol=RACE_TARGET, rawPredictionCol="rawPrediction", metricName="areaUnderROC"
-    )
-    by_class = MulticlassClassificationEvaluator(labelCol=RACE_TARGET, predictionCol="prediction")
-    return {
-        "auc": auc.evaluate(scored),
-        "accuracy": by_class.setMetricName("accuracy").evaluate(scored),
-        "f1": by_class.setMetricName("f1").evaluate(scored),
-    }
+def compiled_scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Ids, target and ``winner_probability`` by the forest's nodes as expressions, without ML vectors. [M10, P29]"""
+    filled = model.stages[0].transform(rows)
+    scored = forest_score(filled, model.stages[-1], [f"{c}_imputed" for c in RACE_MODEL_FEATURES], "winner_probability")
+    return scored.select(*_IDS, RACE_TARGET, "winner_probability")
+
+
+def evaluate(scored: DataFrame) -> DataFrame:
+    """Confusion counts, accuracy, weighted F-measure and exact area, one row, of `predictions`. [M8, M9]"""
+    area = exact_auc(scored, RACE_TARGET, "winner_probability")
+    return classification_metrics(scored, RACE_TARGET).join(F.broadcast(area), F.lit(True))  # one row each
 
 
 def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
@@ -96,12 +108,13 @@ def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
 
 
 def run(race: DataFrame, out: str, cutoff: int = TRAIN_CUTOFF, **params) -> dict[str, float]:
-    """Fit, evaluate, write predictions and the model below ``out``. [K3, K6, K7]"""
-    train, test = temporal_split(model_rows(race), cutoff)
+    """Fit, evaluate, write predictions and the model below ``out``; returns row counts and metrics. [K3, K6, K7, A8]"""
+    rows = model_rows(race)
+    counts = row_counts(rows, cutoff).first().asDict()
+    train, test = temporal_split(rows, cutoff)
     with reused(train) as kept:
         model = fit(kept, **params)
-    with reused(model.transform(test)) as scored:
-        metrics = evaluate(scored)
-        write_parquet(predictions(scored), f"{out}/race_winner_predictions.parquet")
+    scored = predictions(model.transform(test))
+    write_parquet(scored, f"{out}/race_winner_predictions.parquet")
     save_model(model, f"{out}/race_winner_forest")
-    return metrics
+    return counts | evaluate(scored).first().asDict()

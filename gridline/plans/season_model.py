@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -10,9 +13,9 @@ from pyspark.sql import functions as F
 from ..fixed import CHAMPION_WEIGHT, SEQUENCE_FEATURES, TRAIN_CUTOFF, VALIDATION_YEARS
 from ..functions.columns import sigmoid
 from ..operators.scoring import (
-    champion_picks, exact_auc, pick_accuracy, score_summary, top_k_accuracy, weighted_log_loss,
+    champion_picks, exact_auc, highest_scores, pick_accuracy, score_summary, top_k_accuracy, weighted_log_loss,
 )
-from ..operators.sequences import Scaler, build_sequences, padded, sequence_rows, split_name
+from ..operators.sequences import Scaler, build_sequences, padded, season_counts, sequence_counts, sequence_rows, split_name
 from ..sources.scratch import staged
 from ..sources.sinks import export_csv
 
@@ -42,20 +45,40 @@ def score(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).select("driver_id", "driver_name", "year", "label", "split", "weight", probability)
 
 
-def fit_best(rows: DataFrame, candidates: list[float] = REGULARISATION) -> LogisticRegressionModel:
-    """The candidate with the lowest weighted log-loss on the validation years. [M15, M16]"""
+def loss_gradient(model: LogisticRegressionModel, train: DataFrame, strength: float) -> DataFrame:
+    """``norm`` of the gradient of the penalised weighted log-loss, over all training rows, and their number. [M15]
+
+    One aggregate of native expressions over the feature arrays: near zero exactly where the
+    model is the optimum of what it was fitted for.
+    """
+    betas, x = [float(b) for b in model.coefficients], vector_to_array("features")
+    rows = train.select(x.alias("x"), F.col("weight").alias("w"), F.col("label").alias("y"))
+    margin = F.aggregate(F.zip_with("x", F.array(*[F.lit(b) for b in betas]), lambda v, b: v * b), F.lit(float(model.intercept)), lambda s, v: s + v)
+    rows = rows.withColumn("error", F.col("w") * (sigmoid(margin) - F.col("y")))
+    sums = rows.agg(F.count("*").alias("rows"), F.sum("w").alias("w"), F.sum("error").alias("e"),
+                    *[F.sum(F.col("error") * F.get("x", F.lit(j))).alias(f"g{j}") for j in range(len(betas))])
+    parts = [F.col("e") / F.col("w"), *[F.col(f"g{j}") / F.col("w") + strength * b for j, b in enumerate(betas)]]
+    return sums.select("rows", F.sqrt(reduce(add, [p * p for p in parts])).alias("norm"))
+
+
+def fit_one(train: DataFrame, strength: float) -> LogisticRegressionModel:
+    return LogisticRegression(
+        featuresCol="features", labelCol="label", weightCol="weight", regParam=strength, standardization=False, maxIter=500, tol=1e-10,
+    ).fit(train)
+
+
+def fit_best(rows: DataFrame, candidates: list[float] = REGULARISATION) -> tuple[LogisticRegressionModel, float]:
+    """The candidate with the lowest weighted log-loss on the validation years, and its strength. [M15, M16]"""
     train, validation = rows.filter("split = 'train'"), rows.filter("split = 'validation'")
+    if validation.isEmpty():
+        raise ValueError("no rows in the validation years: nothing to choose the regularisation by")
     best = None
     for strength in candidates:
-        model = LogisticRegression(
-            featuresCol="features", labelCol="label", weightCol="weight",
-            regParam=strength, standardization=False, maxIter=50,
-        ).fit(train)
+        model = fit_one(train, strength)
         loss = weighted_log_loss(score(model, validation), "label", "prob", "weight").first()["loss"]
-        loss = float("inf") if loss is None else loss
         if best is None or loss < best[0]:
-            best = (loss, model)
-    return best[1]
+            best = (loss, model, strength)
+    return best[1:]
 
 
 def scored_seasons(
@@ -63,21 +86,28 @@ def scored_seasons(
 ) -> DataFrame:
     """Title probabilities of the test seasons."""
     rows = staged(model_input(padded_sequences(champ, cutoff, validation_years)), "model-input")
-    return score(fit_best(rows), rows.filter("split = 'test'"))
+    return score(fit_best(rows)[0], rows.filter("split = 'test'"))
 
 
 def run(
     champ: DataFrame, out: str, cutoff: int = TRAIN_CUTOFF, validation_years: int = VALIDATION_YEARS
 ) -> dict[str, float]:
-    """Fit, evaluate per season and write the picks. [M17-M19, A12, A13, K4, K6]"""
-    rows = staged(model_input(padded_sequences(champ, cutoff, validation_years)), "model-input")
-    model = fit_best(rows)
+    """Fit, evaluate per season and write the picks. 
+
+    Returns counts of seasons and sequences, metrics and the highest scores. [M17-M19, A9, A11-A13, K4, K6, T11]
+    """
+    sequences = padded_sequences(champ, cutoff, validation_years)
+    rows = staged(model_input(sequences), "model-input")
+    model, strength = fit_best(rows)
     scored = staged(score(model, rows.filter("split = 'test'")), "scored")
     picks = champion_picks(scored)
     export_csv(picks, f"{out}/championship_predictions.csv", single_file=True)
     model.write().overwrite().save(f"{out}/season_outcome_model")
     summary = score_summary(scored).first()
-    return {
+    top = [[r["driver_name"], r["year"], r["prob"]] for r in highest_scores(scored).collect()]
+    return season_counts(sequence_rows(champ)).first().asDict() | sequence_counts(sequences).first().asDict() | {
+        "regularisation": strength,
+        "highest_scores": top,
         "auc": exact_auc(scored).first()["auc"],
         "accuracy": pick_accuracy(picks).first()["accuracy"],
         "top3": top_k_accuracy(scored, 3).first()["accuracy"],
