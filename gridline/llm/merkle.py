@@ -12,6 +12,8 @@ from ..operators.places import numbered
 from ..sources.scratch import staged
 
 ARITY = 2
+#: Levels of at most so many nodes are one task's.
+ONE_TASK = 20_000
 
 
 def _no_bytes() -> Column:
@@ -54,26 +56,38 @@ def _with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
     return out.withColumn("siblings", siblings).drop(*[f"s{d}" for d in range(1, arity)])
 
 
-def _tree(nodes: DataFrame, most: int, arity: int) -> tuple[DataFrame, DataFrame]:
-    """Leaves (g, i, n, digest, ...) with ``path``, and (g, root) of each tree; ``most`` is the greatest n.
+def _tree(nodes: DataFrame, most: int, total: int, trees: int, arity: int) -> tuple[DataFrame, DataFrame]:
+    """Leaves (g, i, n, digest, ...) with ``path``, and (g, root) of each of ``trees`` trees.
+
+    ``most`` is the greatest n and ``total`` the sum of all; a level has at most a part of the total
+    and a node more for each tree, and once that is no more than `ONE_TASK` one task does it all.
 
     Every level is a written table of its nodes with their siblings, out of which the rows in slot
     zero emit the next one; tables shrink by the arity. Paths are handed down from the root, so
     each level takes part in one join.
     """
-    levels = [staged(_with_siblings(nodes, arity), "merkle-level")]
+    def small(level: int) -> bool:
+        return total // arity**level + trees <= ONE_TASK
+
+    def written(nodes: DataFrame, level: int) -> DataFrame:
+        table = staged(_with_siblings(nodes.coalesce(1) if small(level) else nodes, arity), "merkle-level")
+        return table.coalesce(1) if small(level) else table
+
+    levels = [written(nodes, 0)]
     while most > 1:
         emitting = levels[-1].where((F.col("n") > 1) & (F.pmod(F.col("i"), F.lit(arity)) == 0))
         digest = F.unhex(F.sha2(F.concat(_hex(F.col("digest")), _hex(F.col("siblings"))), 256))
         parents = emitting.select("g", F.floor(F.col("i") / arity).alias("i"), F.ceil(F.col("n") / arity).alias("n"), digest.alias("digest"))
-        levels.append(staged(_with_siblings(parents, arity), "merkle-level"))
+        levels.append(written(parents, len(levels)))
         most = -(-most // arity)
-    roots = [level.where("n = 1").select("g", F.col("digest").alias("root")) for level in levels]
+    roots = [table.where("n = 1").select("g", F.col("digest").alias("root")) for table in levels]
     none = F.array().cast("array<binary>")
     down = levels[-1].withColumn("path", none)
-    for level in reversed(levels[:-1]):
+    for level, table in reversed(list(enumerate(levels[:-1]))):
+        if small(level + 1) and not small(level):
+            down = staged(down, "merkle-paths")
         above = down.select("g", F.col("i").alias("up"), F.col("path").alias("above"))
-        rows = level.withColumn("up", F.floor(F.col("i") / arity)).join(above, ["g", "up"], "left")
+        rows = table.withColumn("up", F.floor(F.col("i") / arity)).join(above, ["g", "up"], "left")
         path = F.when(F.col("n") > 1, F.concat(F.array("siblings"), F.coalesce("above", none))).otherwise(none)
         down = rows.withColumn("path", path).drop("up", "above")
     every = roots[0]
@@ -104,13 +118,14 @@ def manifest(docs: DataFrame, fields: list[str], key: str = "doc_id", group: str
     rows = numbered(rows, ["group", "key", "digest"], "place")
     groups = staged(rows.groupBy("group").agg(F.min("place").alias("first"), F.count("*").alias("n")), "merkle-groups")
     groups = numbered(groups, ["first"], "g")
-    most = groups.agg(F.max("n"), F.count("*")).first()
+    most, trees, total = groups.agg(F.max("n"), F.count("*"), F.sum("n")).first()
     leaves = lookup(rows, groups, ["group"], nulls_match=True).withColumn("i", F.col("place") - F.col("first")).drop("first", "place")
-    leaves, subroots = _tree(leaves, most[0] or 0, arity)
-    tops = subroots.select(F.lit(0).alias("g"), F.col("g").alias("i"), F.lit(most[1]).alias("n"), F.col("root").alias("digest"))
-    tops, root = _tree(tops, most[1], arity)
-    tops = tops.select(F.col("i").alias("g"), F.col("digest").alias("subroot"), F.col("path").alias("group_path"))
-    out = lookup(leaves, staged(tops.crossJoin(F.broadcast(root.select("root"))), "merkle-roots"), ["g"])
+    leaves, subroots = _tree(leaves, most or 0, total or 0, trees, arity)
+    tops = subroots.select(F.lit(0).alias("g"), F.col("g").alias("i"), F.lit(trees).alias("n"), F.col("root").alias("digest"))
+    tops, root = _tree(tops, trees, trees, 1, arity)
+    tops = staged(tops.join(F.broadcast(root), "g"), "merkle-roots")  # one row
+    tops = tops.select(F.col("i").alias("g"), F.col("digest").alias("subroot"), F.col("path").alias("group_path"), "root")
+    out = lookup(leaves, tops, ["g"])
     return out.select("key", "group", _hex(F.col("digest")).alias("leaf"), F.col("i").alias("place"), "path", _hex(F.col("subroot")).alias("subroot"),
                       F.col("g").alias("group_place"), "group_path", _hex(F.col("root")).alias("root"), "carry")
 

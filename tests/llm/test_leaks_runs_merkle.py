@@ -188,8 +188,9 @@ def _brute_manifest(rows, arity):
                   for j, v in enumerate(langs) for i, (k, d) in enumerate(leaves[v]))
 
 
-@pytest.mark.parametrize("arity", [2, 3, 5])
-def test_manifest(spark, arity):
+@pytest.mark.parametrize("arity,one_task", [(2, 20_000), (2, 18), (3, 0), (5, 30)])
+def test_manifest(spark, monkeypatch, arity, one_task):
+    monkeypatch.setattr(merkle, "ONE_TASK", one_task)
     random.seed(arity)
     rows = [(i if i % 11 else None, random.choice(["en", "en", "en", "é", "", None, "one"][: 6 + (i == 9)]), random.choice(["a", "", None, "日本"]))
             for i in range(60)] + [(3, "en", "a")] * 4
