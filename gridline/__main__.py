@@ -11,6 +11,7 @@ from .fixed import CHAMP_FEATURE_SET, RACE_FEATURE_SET, RACE_MODEL_FEATURES, RAC
 from .plans import features, race_model, reports, season_model
 from .sources.landing import QUALIFYING, RACE, refresh, taken_records
 from .sources.schemas import OPTIONAL, TABLES
+from .sources.sinks import published
 from .sources.tables import load_raw, read_features, require_inputs
 
 JOBS = ["inputs", "landing", "features", "season-model", "race-model", "charts", "tables"]
@@ -55,8 +56,9 @@ def main(argv: list[str] | None = None) -> None:
         race = read_features(spark, f"{args.out}/race_features.parquet", RACE_FEATURE_SET, needed)
         result = race_model.run(race, args.out)
     elif args.job == "charts":
-        circuits = spark.read.parquet(f"{args.out}/circuit_statistics.parquet")
-        reports.write_charts(champ(), circuits, reports_dir)
+        circuits = published(spark, f"{args.out}/circuit_statistics.parquet")
+        picks = published(spark, f"{args.out}/championship_predictions.csv", reports.PICKS)
+        reports.write_charts(champ(), circuits, reports_dir, picks)
         result = {"written": reports_dir}
     else:
         reports.export_all(spark, args.out, reports_dir)

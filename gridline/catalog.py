@@ -29,8 +29,8 @@ from .sources.landing import (
     QUALIFYING, RACE, complete_sessions, landing_keys, manifest, read_landing, refresh, taken_records, to_fetch, write_landing,
 )
 from .sources.scratch import staged, staged_once
-from .sources.sinks import reused
-from .sources.tables import missing_inputs
+from .sources.sinks import export_csv, published, reexport_csv, reused, rewrite_features, write_features, write_parquet
+from .sources.tables import missing_inputs, read_csv, read_features
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,6 +101,18 @@ def clean_sentinels_fill(spark, sf_dir):
     return race_rows.clean(joined).select(*_MASTER, "final_position")
 
 
+@query(sql.star("""SELECT "raceId", "driverId",
+  COALESCE(TRY_CAST(CASE WHEN "positionOrder" % 5 = 0 THEN '\\N' WHEN "positionOrder" % 5 = 1 THEN 'fast' WHEN "positionOrder" % 5 = 2 THEN '2' || laps || '.5'
+    WHEN "positionOrder" % 5 = 3 THEN CAST(laps AS VARCHAR) END AS DOUBLE), 0) AS "fastestLapSpeed", TRY_CAST(CASE WHEN laps % 2 = 0 THEN '\\N' ELSE ' 7' END AS DOUBLE) AS laps
+  FROM master"""))
+def clean_speeds(spark, sf_dir):
+    """Sentinels, unreadable and missing speeds become 0; a column without a default stays null."""
+    n, laps = F.col("positionOrder") % 5, F.col("laps").cast("string")
+    speed = F.when(n == 0, "\\N").when(n == 1, "fast").when(n == 2, F.concat(F.lit("2"), laps, F.lit(".5"))).when(n == 3, laps)
+    rows = star_tables(spark, sf_dir)["results"].withColumns({"fastestLapSpeed": speed, "laps": F.when(F.col("laps") % 2 == 0, "\\N").otherwise(" 7")})
+    return race_rows.clean(rows).select("raceId", "driverId", "fastestLapSpeed", "laps")
+
+
 @query(sql.star(f"SELECT {sql.columns(_MASTER)} FROM master"))
 def dedup_rows(spark, sf_dir):
     """Every result and every qualifying row twice; dedup restores the join."""
@@ -236,6 +248,20 @@ def feature_profile(spark, sf_dir):
     return rounded(features.profile(_champ(spark, sf_dir)))
 
 
+# The columns that a season row has by its definition; the profile of the job covers each of them.
+_NUMERIC = [
+    "year", "driverId", "raceId", "statusId", "constructorId", "positionOrder", "grid", "points", "laps", "circuitId", "round",
+    "quali_position", "final_position", *_FLAGS, "career_races", *_VENUE, *_ROLLING, *_CUMULATIVE, *_CONSISTENCY, *_RATES, *_TEAM_SEQ, *_TEAM_ALL,
+    "season_total_points", "is_champion", "total_races", "races_remaining", "leader_points", "gap_to_leader", "won_championship",
+]
+
+
+@query(sql.full("SELECT 0.0::DOUBLE AS wet_race_mean, " + ", ".join(f'ROUND(AVG("{c}"), 6) AS "{c}_mean"' for c in _NUMERIC) + " FROM feat"))
+def season_rows_profile(spark, sf_dir):
+    """Means of every numeric column of the finished rows, as the feature job returns them."""
+    return rounded(features.profile(_season_rows(spark, sf_dir)))
+
+
 @query(sql.star("""SELECT constructor_name, ROUND(AVG(points), 6) AS avg_points,
   CAST(SUM(win_flag) AS BIGINT) AS total_wins, ROUND(AVG(is_podium), 6) AS podium_rate
   FROM rowsx GROUP BY constructor_name"""))
@@ -293,6 +319,13 @@ def top_dnf_circuits(spark, sf_dir):
     return rounded(reports.top_dnf_circuits(features.circuit_statistics(_season_rows(spark, sf_dir))))
 
 
+@query(sql.star("""SELECT circuit_name, ROUND(AVG(is_dnf), 6) AS dnf_rate FROM rowsx
+  GROUP BY circuit_name ORDER BY AVG(is_dnf) DESC, circuit_name LIMIT 5"""))
+def worst_dnf_circuits(spark, sf_dir):
+    """Fewer venues than there are."""
+    return rounded(reports.top_dnf_circuits(features.circuit_statistics(_season_rows(spark, sf_dir)), 5))
+
+
 # Sequences.
 
 _LONG = "driver_id, year, step, feature, ROUND(value, 6) AS value"
@@ -309,6 +342,12 @@ def season_sequences(spark, sf_dir):
     return rounded(long_form(_sequences(_champ(spark, sf_dir))))
 
 
+@query(sql.full("SELECT driver_id, year, driver_name, won_championship AS label FROM seq WHERE step = 1", sql.sequences("feat", SEQUENCE_FEATURES)))
+def sequence_names(spark, sf_dir):
+    """The name and the label that a sequence takes over."""
+    return _sequences(_champ(spark, sf_dir)).select("driver_id", "year", "driver_name", "label")
+
+
 _SHORT_SEASONS = sql.sequences("(SELECT * REPLACE (year * 10 + (round - 1) // 4 AS year) FROM feat)", SEQUENCE_FEATURES)
 
 
@@ -566,7 +605,8 @@ def feature_importance(spark, sf_dir):
     return race_model.feature_importance(spark, model)
 
 
-@query()
+@query(sql.full("""SELECT CASE WHEN CAST('0x' || substr(md5(concat_ws('|', '42', year, round, driver_name, constructor_name)), 1, 7) AS INT) % 100 < 80
+  THEN 'train' ELSE 'test' END AS part, COUNT(*) AS rows FROM feat GROUP BY ALL"""))
 def fallback_split(spark, sf_dir):
     """The 80/20 split taken when no test season exists."""
     rows = race_model.model_rows(features.race_features(_season_rows(spark, sf_dir)))
@@ -686,3 +726,61 @@ def inputs_missing(spark, sf_dir):
     """Expected inputs without a match among those found: documents that have no label."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").select("doc_id")
     return missing_inputs(read("documents"), read("labels"))
+
+
+# Sinks: what is written is what is read.
+
+@query(sql.full(f"SELECT {sql.columns(CHAMP_FEATURE_SET, _DOUBLES)} FROM feat"))
+def features_by_season(spark, sf_dir):
+    """The feature set by season, of which one season is written wrong first and then again by itself."""
+    path, rows = _scratch(spark, "features"), _season_rows(spark, sf_dir)
+    wrong = rows.withColumn("points", F.when(F.col("year") == TRAIN_CUTOFF, -1.0).otherwise(F.col("points")))
+    write_features(wrong, CHAMP_FEATURE_SET, path, partition_by=features.BY)
+    rewrite_features(rows.filter(F.col("year") == TRAIN_CUTOFF), CHAMP_FEATURE_SET, path, features.BY)
+    return rounded(read_features(spark, path, CHAMP_FEATURE_SET))
+
+
+@query(ORACLE["constructor_dominance"])
+def published_summary(spark, sf_dir):
+    """A summary published, and published again out of itself."""
+    path = _scratch(spark, "summary")
+    write_parquet(features.constructor_dominance(clean_rows(spark, sf_dir)), path)
+    write_parquet(published(spark, path), path)
+    return rounded(published(spark, path))
+
+
+@query(sql.full(f"SELECT year, round, driver_name, constructor_name, CAST(is_winner AS DOUBLE) AS is_winner FROM feat WHERE year > {TRAIN_CUTOFF}"))
+def published_predictions(spark, sf_dir):
+    """Race predictions through their parquet table and the ordered CSV report."""
+    path = _scratch(spark, "predictions")
+    write_parquet(_race_scores(spark, sf_dir), f"{path}/table")
+    export_csv(reports.ordered_race_predictions(published(spark, f"{path}/table")), f"{path}/report")
+    rows = published(spark, f"{path}/report", published(spark, f"{path}/table").schema)
+    return rows.select("year", "round", "driver_name", "constructor_name", "is_winner")
+
+
+@query(ORACLE["driver_statistics"])
+def reexported_csv(spark, sf_dir):
+    """A CSV report sorted into another place, and there in its own."""
+    path, table = _scratch(spark, "report"), features.driver_statistics(clean_rows(spark, sf_dir))
+    export_csv(table, f"{path}/a")
+    for source, target in (("a", "b"), ("b", "b")):
+        reexport_csv(spark, f"{path}/{source}", table.schema, "driver_name", f"{path}/{target}")
+    return rounded(published(spark, f"{path}/b", table.schema))
+
+
+@query(ORACLE["master_join"])
+def master_join_from_csv(spark, sf_dir):
+    """The joined rows out of CSV files, through the reader of raw tables."""
+    root = _scratch(spark, "raw")
+    for name, df in star_tables(spark, sf_dir).items():
+        df.write.option("header", True).csv(f"{root}/{name}.csv")
+    loaded = {t: read_csv(spark, f"{root}/{t}.csv", t) for t in ("results", "races", "drivers", "constructors", "circuits", "status", "qualifying")}
+    results = star_tables(spark, sf_dir)["results"]
+    grid = F.coalesce(F.col("grid").cast("string"), F.lit("\\N")).alias("grid")
+    rows = race_rows.joined_results(loaded).select(_MASTER)
+    return rows.select(*[grid if c == "grid" else F.col(c).cast(results.schema[c].dataType) if c in results.columns else c for c in _MASTER])
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"

@@ -45,8 +45,7 @@ def left_join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> Dat
 def latest(df: DataFrame, column: str) -> DataFrame:
     """Rows with the greatest value of ``column``. [A7, J9]
 
-    The maximum is one row by construction; the equi-join keeps it on the
-    executors and lets the scan skip partitions or row groups at run time.
+    The maximum is a scalar subquery, one row by construction, that runs before the scan, which
+    then skips partitions or row groups by it.
     """
-    top = df.agg(F.max(column).alias(column))
-    return df.join(F.broadcast(top), column, "left_semi")
+    return df.filter(F.col(column) == df.agg(F.max(column)).scalar())

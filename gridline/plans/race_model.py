@@ -40,15 +40,17 @@ def row_counts(rows: DataFrame, cutoff: int = TRAIN_CUTOFF) -> DataFrame:
 
 
 def temporal_split(rows: DataFrame, cutoff: int = TRAIN_CUTOFF) -> tuple[DataFrame, DataFrame]:
-    """Train up to the cut-off year, test after it; 80/20 by row hash if no test year exists. [M1, M2, P24]
+    """Train up to the cut-off year, test after it; 80/20 by a hash of the ids if no test year exists. [M1, M2, P24]
 
-    The hash depends on the row alone, so the fallback is the same however the
-    data is partitioned or recomputed.
+    The hash depends on the row's ids alone, so the fallback is the same however the data is
+    partitioned or recomputed, and in any engine with MD5.
     """
     test = rows.filter(F.col("year") > cutoff)
     if not test.isEmpty():
         return rows.filter(F.col("year") <= cutoff), test
-    part = F.pmod(F.xxhash64(F.lit(RANDOM_SEED), *rows.columns), F.lit(100))
+    ids = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _IDS if c in rows.columns]
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(RANDOM_SEED)), *ids).cast("binary")), 1, 7)
+    part = F.conv(digits, 16, 10).cast("int") % 100
     return rows.filter(part < 80), rows.filter(part >= 80)
 
 

@@ -1,14 +1,18 @@
 """Model jobs: splits, determinism, ranges and outputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from gridline.fixed import RACE_MODEL_FEATURES
 from gridline.functions.columns import sigmoid
+from gridline.operators import medians
 from gridline.operators.medians import fill_medians
 from gridline.plans import features, race_model, reports, season_model
 from gridline.plans.season_star import TRAIN_CUTOFF, VALIDATION_YEARS, star_tables
+from gridline.sources.sinks import published, published_folder
 
 SMALL = {"numTrees": 10, "maxDepth": 4}
 
@@ -52,8 +56,9 @@ def test_fallback_split_is_stable_and_whole(race):
 
 def test_race_job(spark, race, results):
     metrics = race_model.run(race, results, TRAIN_CUTOFF, **SMALL)
-    assert all(0 <= v <= 1 for v in metrics.values()) and metrics["auc"] > 0.8
-    scored = spark.read.parquet(f"{results}/race_winner_predictions.parquet")
+    assert all(0 <= metrics[m] <= 1 for m in ("accuracy", "f1", "auc")) and metrics["auc"] > 0.8
+    assert metrics["train_rows"] + metrics["test_rows"] == metrics["rows"] == race.count()
+    scored = published(spark, f"{results}/race_winner_predictions.parquet")
     assert scored.columns == ["year", "round", "driver_name", "constructor_name", "is_winner", "prediction", "winner_probability"]
     assert scored.count() == race.filter(F.col("year") > TRAIN_CUTOFF).count()
     low, high = scored.agg(F.min("winner_probability"), F.max("winner_probability")).first()
@@ -67,14 +72,16 @@ def test_season_job(spark, results):
     metrics = season_model.run(champ, results, TRAIN_CUTOFF, VALIDATION_YEARS)
     assert 0 <= metrics["min_prob"] <= metrics["mean_prob"] <= metrics["max_prob"] <= 1
     assert 0 <= metrics["top3"] <= metrics["top5"] <= 1
-    picks = spark.read.option("header", True).csv(f"{results}/championship_predictions.csv")
+    picks = spark.read.option("header", True).csv(published_folder(spark, f"{results}/championship_predictions.csv"))
     assert picks.columns == ["year", "predicted", "actual", "prob", "correct"]
     assert [r.year for r in picks.collect()] == ["2000", "2001"]
+    with pytest.raises(ValueError, match="validation"):
+        season_model.run(champ, results, TRAIN_CUTOFF, 0)
 
 
 def test_exports(spark, results, tmp_path):
     reports.export_all(spark, results, str(tmp_path))
-    read = lambda name: spark.read.option("header", True).option("inferSchema", True).csv(f"{tmp_path}/{name}.csv")
+    read = lambda name: spark.read.option("header", True).option("inferSchema", True).csv(published_folder(spark, f"{tmp_path}/{name}.csv"))
     importance = read("feature_importance")
     assert importance.columns == ["feature", "importance", "importance_pct"]
     assert {r.feature for r in importance.collect()} == set(RACE_MODEL_FEATURES)
@@ -100,6 +107,26 @@ def test_fill_medians(spark):
     assert got == [(1.0, 7.0), (2.0, 5.0), (2.0, 7.0), (4.0, 9.0), (8.0, 11.0)]
 
 
+def test_narrowed_medians_are_exact(spark, monkeypatch):
+    rnd = random.Random(11)
+    for steps, accuracy, n in ((200, 10_000, 400), (4, 10, 3000)):
+        monkeypatch.setattr(medians, "STEPS", steps)
+        monkeypatch.setattr(medians, "ACCURACY", accuracy)
+        rows = [(rnd.choice([None, float("nan"), 1.0, 2.0, 3.0]), 10.0 ** rnd.randint(-300, 300) * rnd.choice([-1, 1]), rnd.randrange(3), None,
+                 float("inf") if i % 3 else -1.0, rnd.random()) for i in range(n)]
+        df = spark.createDataFrame(rows, "a double, b double, c int, d double, e double, f double")
+        got = medians.narrowed_medians(df, df.columns)
+        for j, c in enumerate(df.columns):
+            values = sorted(float(r[j]) for r in rows if r[j] is not None and r[j] == r[j])
+            assert got[c] == (values[(len(values) - 1) // 2] if values else None), (c, steps)
+
+
+def test_imputer_needs_a_value(spark, race):
+    rows = race_model.model_rows(race).withColumn("grid", F.lit(None).cast("double"))
+    with pytest.raises(ValueError, match="grid"):
+        race_model.imputer(rows)
+
+
 @pytest.mark.parametrize("name", ["race_winner_scores", "race_winner_metrics", "feature_importance", "fallback_split", "season_outcome_scores"])
 def test_model_queries_have_rows(spark, sf_dir, name):
     assert contract.queries()[name](spark, sf_dir).count() > 0

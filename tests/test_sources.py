@@ -2,13 +2,14 @@
 
 import json
 import logging
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridline.fixed import LANDING_ENDPOINTS, REQUIRED_RAW_FILES
 from gridline.functions.columns import keep_existing, require_columns
-from gridline.plans import features
+from gridline.plans import features, reports
 from gridline.sources import landing, sinks, tables
 from gridline.sources.schemas import TABLES
 
@@ -80,11 +81,12 @@ def test_required_inputs(spark, raw):
 def test_job_from_csv_to_feature_sets(spark, raw, tmp_path):
     out = tmp_path / "out"
     profile = features.run(tables.load_raw(spark, str(raw)), str(out), files=2).first()
-    champ = spark.read.parquet(f"{out}/champ_features.parquet")
+    champ = tables.read_features(spark, f"{out}/champ_features.parquet", features.CHAMP_FEATURE_SET)
     assert champ.columns == features.CHAMP_FEATURE_SET and champ.count() == 4
-    assert spark.read.parquet(f"{out}/race_features.parquet").columns == features.RACE_FEATURE_SET
-    assert {r.driver_name: r.wins for r in spark.read.parquet(f"{out}/driver_statistics.parquet").collect()} == {"Ann One": 1, "Bo Two": 1}
-    assert spark.read.parquet(f"{out}/circuit_statistics.parquet").first().avg_dnf_rate == 0.5
+    race = spark.read.parquet(f"{out}/race_features.parquet")
+    assert sorted(race.columns) == sorted(features.RACE_FEATURE_SET) and race.columns[-1] == "year"
+    assert {r.driver_name: r.wins for r in sinks.published(spark, f"{out}/driver_statistics.parquet").collect()} == {"Ann One": 1, "Bo Two": 1}
+    assert sinks.published(spark, f"{out}/circuit_statistics.parquet").first().avg_dnf_rate == 0.5
     assert profile["points_mean"] == 7.0
     champions = {(r.year, r.driver_name) for r in champ.filter("won_championship = 1").collect()}
     assert champions == {(2009, "Bo Two")}
@@ -150,12 +152,45 @@ def test_landing_refresh(spark, tmp_path):
 
 def test_csv_export_and_reexport(spark, tmp_path):
     df = spark.createDataFrame([(2, "b"), (1, "a"), (3, "c")], "year int, name string")
-    sinks.export_csv(df, str(tmp_path / "x"), single_file=True)
-    with pytest.raises(ValueError):
-        sinks.reexport_csv(spark, str(tmp_path / "x"), "year int, name string", "year", str(tmp_path / "x"))
-    sinks.reexport_csv(spark, str(tmp_path / "x"), "year int, name string", "year", str(tmp_path / "y"))
-    parts = list((tmp_path / "y").glob("part-*.csv"))
-    assert len(parts) == 1 and parts[0].read_text() == "year,name\n1,a\n2,b\n3,c\n"
+    kind, x, y = "year int, name string", str(tmp_path / "x"), str(tmp_path / "y")
+    sinks.export_csv(df, x, single_file=True)
+    for target in (y, x):  # a table may be sorted in its own place
+        sinks.reexport_csv(spark, x, kind, "year", target)
+        parts = list((tmp_path / target / sinks.published_folder(spark, target).rsplit("/", 1)[1]).glob("part-*.csv"))
+        assert len(parts) == 1 and parts[0].read_text() == "year,name\n1,a\n2,b\n3,c\n"
+
+
+def test_a_lost_writer_leaves_the_published_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        sinks.published(spark, path)
+    sinks.publish(spark.range(3), path)
+    broken = spark.range(5).select(F.when(F.col("id") == 4, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.publish(broken, path)
+    assert sinks.published(spark, path).count() == 3
+    sinks.publish(sinks.published(spark, path).union(spark.range(1)), path)
+    assert sinks.published(spark, path).count() == 4
+
+
+def test_one_season_is_rewritten_without_the_others(spark, tmp_path):
+    path, columns = str(tmp_path / "f"), ["year", "a"]
+    sinks.write_features(spark.createDataFrame([(2000, 1), (2001, 2), (2001, 3), (None, 4)], "year int, a int"), columns, path, partition_by=("year",))
+    before = {p.name for p in (tmp_path / "f" / "year=2000").iterdir()}
+    sinks.rewrite_features(spark.createDataFrame([(2001, 9)], "year int, a int"), columns, path, ("year",))
+    assert {p.name for p in (tmp_path / "f" / "year=2000").iterdir()} == before
+    rows = tables.read_features(spark, path, columns).collect()
+    assert sorted(rows, key=str) == sorted([(2000, 1), (2001, 9), (None, 4)], key=str)
+
+
+def test_later_jobs_skip_seasons(spark, tmp_path):
+    df = spark.range(40).selectExpr("cast(2000 + id % 4 as int) year", "cast(id as int) round", "'Hamilton' driver_name", "1.0 rolling_avg_finish")
+    sinks.write_features(df, df.columns, str(tmp_path / "f"), partition_by=("year",))
+    rows = spark.read.parquet(str(tmp_path / "f"))
+    text = reports.driver_momentum(rows)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[isnotnull\(year#\d+\), \(year#\d+ = (Scalar)?[Ss]ubquery", text), text
+    text = rows.filter(F.col("year") <= 2001)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in text and "PushedFilters: []" in text
 
 
 def test_features_can_be_partitioned_by_year(spark, tmp_path):
