@@ -1,14 +1,27 @@
 """Every registered query against its SQL, or for rows where it has none."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as contract
 from compare import difference, duck
+from gridline import catalog
 
 QUERIES = contract.queries()
 ORACLE = contract.oracle_sql()
 
 
+def test_season_queries_do_without_the_corpus_modules():
+    """A library of the corpus operators that is not there takes only their queries away."""
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as c; print(*c.queries())"
+    root = os.path.dirname(os.path.abspath(contract.__file__))
+    names = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert set(names) == set(catalog.QUERIES) and len(names) > 60
+
+
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return duck(sf_dir)
