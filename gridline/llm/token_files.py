@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -14,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import PartCoder
+from .bytepairs import coder
 from .texts import slices
 
 MAGIC = b"GLTOK1\0\0"
@@ -62,42 +61,6 @@ def unpack(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndarra
     return np.concatenate(out)[start - start // block_ids * block_ids:][:max(0, stop - start)]
 
 
-_CODERS: dict[str, PartCoder] = {}
-
-
-def coder(path: str) -> PartCoder:
-    """Coder of a byte-level BPE file, one for each Python worker.
-
-    Such a tokenizer first cuts a text by its pattern and merges within the pieces. The same
-    pattern cuts the texts here, and only pieces not met before are encoded, all in one call of
-    the library. A text with a special token is one piece.
-    """
-    if path not in _CODERS:
-        import regex
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        library = Tokenizer.from_file(path)
-        vocabulary = library.get_vocab(with_added_tokens=True)
-        width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a token stands for a byte
-        width[list(vocabulary.values())] = [len(t) for t in vocabulary]
-        pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        special = [t.content for t in library.get_added_tokens_decoder().values()]
-
-        def cut(text: str) -> list[str]:
-            return [text] if any(s in text for s in special) else pieces(text)
-
-        def encode(parts: list[str]) -> list[bytes]:
-            ids = np.array(library.encode_batch_fast([parts], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
-            # Ids hold no borders between parts, but both spell out the same bytes.
-            ends = np.searchsorted(np.cumsum(width[ids]), np.cumsum([len(p.encode()) for p in parts]), "left") + 1
-            data, ends = ids.tobytes(), (4 * ends).tolist()
-            return [data[a:b] for a, b in zip([0, *ends], ends)]
-
-        _CODERS[path] = PartCoder(cut, encode)
-    return _CODERS[path]
-
-
 _SEGMENT = "shard int, segment int, first long, n_ids long, docs array<bigint>, lengths array<bigint>, payload binary"
 _TYPES = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()),
                     ("docs", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
@@ -125,8 +88,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, ke
 
         for batch in batches:
             ids_of = batch.column(0)
-            for at, n, _, _ in slices(batch.column(1)):
-                for k, d in zip(ids_of.slice(at, n).to_pylist(), code.batch([t or "" for t in batch.column(1).slice(at, n).to_pylist()])):
+            for at, n, data, offsets in slices(batch.column(1)):
+                for k, d in zip(ids_of.slice(at, n).to_pylist(), code.encode(data, offsets)):
                     held.append(d)
                     keys.append(k)
                     waiting += len(d) + 1

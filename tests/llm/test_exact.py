@@ -2,15 +2,17 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 import xxhash  # noqa: F401
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from compare import difference, duck
-from gridline.llm import embed_dedup, jaccard, mixing, pieces, quality, secret_scan, substring, token_files, toxicity, url_filter
+from gridline.llm import bytepairs, embed_dedup, jaccard, mixing, pieces, quality, secret_scan, substring, token_files, toxicity, url_filter
 from gridline.llm.oracle import ORACLE
 from gridline.llm.queries import BYTE_BPE, PIECE_MODEL, tokenizer_path
 
@@ -92,6 +94,38 @@ def test_learned_format():
     assert [same.score(g) for g in good] == [secret_scan.Automaton(good).score(g) for g in good]
 
 
+@pytest.mark.parametrize("form,fixed", [
+    (("gh", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 34), 34), (("", "0123456789abcdef", 40), 40),
+    (("AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16), 16)])
+@pytest.mark.parametrize("n", [40, 400])
+def test_automata_find_what_their_rule_would(form, fixed, n):
+    """Held-out credentials are found by likelihood alone; other lengths, alphabets and words are not."""
+    random = np.random.default_rng(n)
+    token = lambda tag, letters, size: tag + "".join(random.choice(list(letters), size))
+    learned = secret_scan.Automaton(token(*form) for _ in range(n))
+    other = secret_scan.Automaton([f"mail{token('', '0123456789', 1)}.example.com{token('', 'abcdefghijklmnop', 4)}" for _ in range(n)])
+    detector = secret_scan.Detector({"x": learned}, other)
+    assert len(learned.red) > fixed
+    assert sum(detector.secret(token(*form)) for _ in range(400)) >= 0.95 * 400
+    tag, letters, size = form
+    wrong = [token(tag, letters, s) for s in (size // 2, size + 8, 2 * size, 128)] + [token(tag, letters, size).swapcase().replace("akia", "key1")]
+    wrong += ["mail3.example.comabcd", "www.example.com/a/b/c/1", "version-2.17.3-release-candidate"]
+    assert not any(detector.secret(w) for w in wrong if w != w.swapcase() or tag)
+
+
+def test_credentials_of_the_documents_without_their_rules(texts, monkeypatch):
+    """Fitted on two thirds of the labelled values, the automata find the others, and nothing in texts without any."""
+    values = sorted({v for t in texts.values() for k, v in secret_scan.labelled(t or "") if k == "hex"})
+    other = sorted({v for t in texts.values() for k, v in secret_scan.labelled(t or "") if k == "other"})
+    if len(values) < 6:
+        pytest.skip("too few credentials in these documents")
+    found = secret_scan.Detector({"hex": secret_scan.Automaton(v for i, v in enumerate(values) if i % 3)}, secret_scan.Automaton(other) if other else None)
+    assert sum(map(found.secret, values[::3])) >= 0.95 * len(values[::3])
+    monkeypatch.setattr(secret_scan, "known", lambda text: [])
+    clean = [t for t in texts.values() if t and not any(v in t for v in values)]
+    assert sum(len(found.spans(t)) for t in clean) == 0
+
+
 def test_secrets_odd_rows(spark, odd, none):
     docs = odd.withColumn("secrets", odd["source"])
     assert all(not r.secrets for r in secret_scan.scan(docs).collect())
@@ -146,6 +180,61 @@ def test_mixing_stays_within_one_block():
             assert all(abs(got[s] - c * (t + 1 - a) / total) < 1 for s, c in active.items())
 
 
+def _slot_by_slot(blocks, parts):
+    """{slot: (source, block)}: the definition, one slot at a time."""
+    left, taken, t0, out = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, {}
+    while left:
+        now = {s: parts.get(s, 1) for s in left if parts.get(s, 1) > 0} or dict.fromkeys(left, 1)
+        total, got, t = sum(now.values()), dict.fromkeys(now, 0), 0
+        while all(left[s] > got[s] for s in now):
+            s = min((-(-(got[s] + 1) * total // c), s) for s, c in now.items() if got[s] * total // c <= t)[1]
+            out[t0 + t] = s, taken[s] + got[s]
+            got[s], t = got[s] + 1, t + 1
+        for s, n in got.items():
+            taken[s] += n
+            left[s] -= n
+        left, t0 = {s: n for s, n in left.items() if n}, t0 + t
+    return out
+
+
+def _planned(plan):
+    return {start + k // c * length + own[k % c]: (s, first + k) for s, ps in plan.items()
+            for first, last, start, c, length, own in ps for k in range(last - first)}
+
+
+def test_mixing_plan_equals_the_definition():
+    random = np.random.default_rng(8)
+    for _ in range(300):
+        names = [f"s{i:02}" for i in range(random.integers(1, 9))]
+        parts = {s: int(random.choice([0, 1, 1, 1, 2, 3, 7, 12])) for s in names if random.random() < 0.8}
+        blocks = {s: int(random.integers(0, 40)) for s in names}
+        plan = _planned(mixing.phases(blocks, parts))
+        assert plan == _slot_by_slot(blocks, parts), (blocks, parts)
+    blocks = {f"s{i:03}": int(random.integers(1, 30)) for i in range(200)} | {"s050": 400, "s150": 900}
+    assert _planned(mixing.phases(blocks, {"s050": 30, "s150": 11, "s007": 2})) == _slot_by_slot(blocks, {"s050": 30, "s150": 11, "s007": 2})
+
+
+def test_mixing_thousands_of_sources():
+    random = np.random.default_rng(9)
+    blocks = {f"s{i:04}": int(random.integers(1, 60)) for i in range(5000)} | {"big": 200_000}
+    began = time.perf_counter()
+    plan = mixing.phases(blocks, {"big": 40})
+    assert time.perf_counter() - began < 60
+    slots = np.concatenate([start + np.arange(last - first) // c * length + np.array(own)[np.arange(last - first) % c]
+                            for ps in plan.values() for first, last, start, c, length, own in ps])
+    assert len(slots) == sum(blocks.values()) and (np.sort(slots) == np.arange(len(slots))).all()
+
+
+def test_mixing_by_blocks_and_columns_of_any_name(spark, monkeypatch):
+    rows = [(i, f"s{i % 7}" if i % 3 else "hot", "x") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, _mix_rank string").withColumns({"_mix_phase": F.lit(1), "__src": F.lit("y"), "block": F.lit(2)})
+    whole = mixing.mixed(docs, {"hot": 5}, block_rows=3).orderBy("mix.position").collect()
+    assert whole[0].__fields__ == ["doc_id", "source", "_mix_rank", "_mix_phase", "__src", "block", "mix"] and len(whole) == 500
+    assert {(r._mix_rank, r._mix_phase, r["__src"], r.block) for r in whole} == {("x", 1, "y", 2)}
+    monkeypatch.setattr(mixing, "MAX_PAIRS", 0)
+    assert mixing.mixed(docs, {"hot": 5}, block_rows=3).orderBy("mix.position").collect() == whole
+
+
 def test_mixing_in_buckets_and_odd_rows(spark, odd, none, monkeypatch):
     whole = mixing.mixed(odd, {"a": 3, "c": 2}, block_rows=2).orderBy("mix.position").collect()
     assert len(whole) == 10 and len({r.mix.position for r in whole}) == 10 and mixing.mixed(none).count() == 0
@@ -274,6 +363,27 @@ def test_toxicity_odd_rows(spark, odd, none):
     assert len({r.toxicity.score for r in rows if not words_of(r.text)}) == 1
 
 
+def test_toxicity_sample_is_bounded(spark, sf_dir, monkeypatch):
+    """Tripled documents and labels give the same rows to learn from, no more than asked for, in rows and in words."""
+    fitted = []
+    monkeypatch.setattr(toxicity, "train", lambda words, labels, langs: fitted.append((words, labels, langs)))
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    three = lambda df: df.union(df).union(df)
+    for d, l in ((docs, labels), (three(docs), three(labels))):
+        toxicity.fit(d, l, sample=20)
+    (a, x, _), (b, y, _) = fitted
+    assert len(a) == len(b) == 20 and all((v == w).all() for v, w in zip(a, b)) and (x == y).all()
+    most = sum(len(w) for w in a[:7])
+    toxicity.fit(docs, labels, sample=20, sample_words=most)
+    assert len(fitted[2][0]) == 7
+
+
+def test_toxicity_keeps_columns_of_any_name(spark, odd):
+    model = toxicity.train([np.ones((3, 2), np.uint64)] * 4, np.array([0, 1, 0, 1]), [None] * 4)
+    rows = toxicity.score(odd.withColumnsRenamed({"quality": "__score", "source": "lang"}), model)
+    assert rows.columns == ["doc_id", "text", "lang", "__score", "toxicity"] and {r["__score"] for r in rows.collect()} == {"x", None}
+
+
 def test_toxicity_does_not_depend_on_neighbours(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -333,6 +443,35 @@ def test_character_map_against_a_compiled_one():
         assert len(source) == len(normal) + 1 and (np.diff(source) >= 0).all()
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc_cf", "identity"])
+def test_batches_are_aligned_as_single_texts(rule):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    own = pieces.CharacterMap(model.normalizer_spec.precompiled_charsmap)
+    assert bool(own.units) == (rule != "identity")
+    texts = [t.encode() for t in [*HARD, "ＡＢＣ ①  ﬁne  Ⅷ", "ｶﾞ x", "e\u0301 A\u030a", "  ㌔ ", "İı", "", "e", "\u0301x", "㌔"]]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    for escape in (False, True):
+        source, begin = own.align(np.frombuffer(b"".join(texts), np.uint8), offsets, escape)
+        for t, a, b in zip(texts, begin[:-1], begin[1:]):
+            assert (own.normalise(t, escape=escape)[1][:-1] == source[a:b]).all() and b - a == len(own.normalise(t, escape=escape)[0]), t
+
+
+def test_every_text_goes_through_the_alignment(spark, sf_dir, texts, piece_model, monkeypatch):
+    aligned, single = [], []
+    align, span = pieces.CharacterMap.align, pieces.Pieces._span
+    monkeypatch.setattr(pieces.CharacterMap, "align", lambda self, data, offsets, escape: (aligned.append(len(offsets) - 1), align(self, data, offsets, escape))[1])
+    monkeypatch.setattr(pieces.Pieces, "_span", lambda *a: (single.append(1), span(*a))[1])
+    every = [t or "" for t in texts.values()]
+    for t, e in zip(every, piece_model.encode(every)):
+        begin, end = span(piece_model, t, t.encode(), e.ids)
+        assert (e.begin == begin).all() and (e.end == end).all(), t
+    assert sum(aligned) == len(every) and not single
+
+
 def test_pieces_odd_rows(odd, none):
     rows = pieces.encoded(odd, tokenizer_path(PIECE_MODEL)).collect()
     assert len(rows) == 10 and {len(r.ids) for r in rows if r.doc_id in (3, 4)} == {1}
@@ -363,6 +502,25 @@ def test_chunks_equal_whole_texts():
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("most,same", [(3_000_000, False), (300, False), (3_000_000, True)])
+def test_pieces_of_whole_batches_equal_the_library(monkeypatch, most, same):
+    """Random texts of hard characters; also with a small memory, and with a first hash that hardly tells pieces apart."""
+    from tokenizers import Tokenizer
+
+    path, random = tokenizer_path(BYTE_BPE), np.random.default_rng(6)
+    library, coder = Tokenizer.from_file(path), bytepairs.BytePairs(path)
+    monkeypatch.setattr(bytepairs, "_MOST", most)
+    if same:
+        real = coder._hashes
+        monkeypatch.setattr(coder, "_hashes", lambda *a: [real(*a)[0] % np.uint64(50), real(*a)[1]])
+    parts = [*"abst rev'lmd  \n\t\r0123éñ日本１²½ -–’!?.,;<|>ªßdžʰ", "\u00a0", "\u2003", "\u2028", "\x1c", "\x1f", "\x85", "\0", "\u0301", "\U0001F600", "\U0001d7d8",
+             "<|endoftext|>", "'s", "'re", "'ll ", "can't", "  ", "\n\n", " '", "word" * 80]
+    for _ in range(40):
+        texts = ["".join(random.choice(parts, random.choice([0, 1, 2, 3, 5, 10, 40]))) for _ in range(100)]
+        for t, ids in zip(texts, coder.batch(texts)):
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_planes_round_trip(bits):
     random = np.random.default_rng(4)
@@ -427,6 +585,28 @@ def test_sets_in_tiles(spark, monkeypatch, rows_in_list, frequent, percent, k):
     assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == _brute_sets(rows, k, percent)
 
 
+def test_lists_are_skipped_by_position_and_answers_derived():
+    random = np.random.default_rng(12)
+    base = np.unique(random.integers(0, 2**40, 3000))
+    sets = [np.unique(np.concatenate([random.permutation(base)[:random.integers(200, 2500)], random.integers(0, 2**40, 5)])) for _ in range(150)]
+    for s in [random.permutation(base)[:900] for _ in range(3)]:
+        sets += [np.unique(np.concatenate([random.permutation(s)[:random.integers(860, 900)], random.integers(0, 2**40, random.integers(0, 20))])) for _ in range(50)]
+    index = jaccard.SetIndex(sets, 90)
+    assert all((index._seek(keys) == np.searchsorted(index.members, keys)).all() for keys in (index.members, index.members + 1, index.members - 1))
+    got = {x: set(linked.tolist()) for x, linked in index.links()}
+    for x, a in enumerate(sets):
+        for y, b in enumerate(sets):
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            assert (y in got[x]) == (x != y and 100 * both >= 90 * (len(a) + len(b) - both)), (x, y)
+    assert index.derived > 100
+    one = jaccard.SetIndex(sets, 90)
+    low, high = (int(np.searchsorted(*a)) for a in ((100 * one.size, 90 * 300), (90 * one.size, 100 * 300, "right")))
+    asked = next(s for s in one.sets if len(s) >= 300)
+    count = one.counts(asked, low, high)
+    assert one.read == count.sum() < len(one.members) / 20
+    assert [len(np.intersect1d(asked, s)) for s in one.sets[low:high]] == count.tolist()
+
+
 def test_sets_odd_rows(odd, none):
     rows = jaccard.jaccard_components(odd).collect()
     assert len(rows) == 10 and jaccard.jaccard_components(none).count() == 0
