@@ -1,72 +1,108 @@
-"""Mixing sources to target weights by Pfair scheduling, as expressions on a schedule of bounded size."""
+"""Mixing sources to target weights by Pfair scheduling, as expressions on a schedule of sources and phases."""
 
 from __future__ import annotations
 
 import json
-from bisect import bisect_left
 from collections.abc import Mapping
-from math import gcd
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import staged
+
 #: Rows of one block, the unit that is scheduled.
 BLOCK_ROWS = 16
 #: Parts of the mixture; sources that are not named get one part.
 TARGET_PARTS = {"src0": 6, "src1": 4, "src2": 3, "src3": 2}
-#: Bound on the schedule that reaches the driver: one cell for each slot of each phase's period.
-MAX_CELLS = 2_000_000
+#: Schedules of up to so many (source, phase) pairs are broadcast, at about 100 bytes each; others are joined block by block.
+MAX_PAIRS = 20_000
 _BUCKET_ROWS = 50_000
 
 
-def _period(parts: Mapping[str, int]) -> dict[str, list[int]]:
-    """Slots of each source in one period by earliest deadline first.
+def _period(parts: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Slots of sources with the given parts, in the order of their names, in one period by earliest deadline first.
 
     Block k (from 0) of a source with c of L parts is released at floor(k L / c) and due at
-    ceil((k + 1) L / c). One slot is given out at a time to the released block with the
-    earliest deadline, names breaking ties; with all parts together L, no deadline is missed.
+    ceil((k + 1) L / c); of the released blocks the one with the earliest deadline gets a slot, names
+    breaking ties. As blocks are one slot long, each gets the first slot from its release on
+    that no block before it in the order of (deadline, name) has. All blocks but the last of each
+    source are placed one by one so; the last ones are all due at L, where those of sources with one
+    part take the free slots in a row. Gives the slot of each source with one part, by its place,
+    and the slots of each other source.
     """
-    total = sum(parts.values())
-    slots: dict[str, list[int]] = {s: [] for s in parts}
-    for t in range(total):
-        ready = [(-(-(len(slots[s]) + 1) * total // c), s) for s, c in parts.items()
-                 if len(slots[s]) < c and len(slots[s]) * total // c <= t]
-        slots[min(ready)[1]].append(t)
-    return slots
-
-
-def phases(blocks: Mapping[str, int], parts: Mapping[str, int], max_cells: int = MAX_CELLS) -> dict[str, list[tuple]]:
+    total, many = int(parts.sum()), np.flatnonzero(parts > 1)
+    after: dict[int, int] = {}
+
+    def free(t: int) -> int:
+        path = []
+        while t in after:
+            path.append(t)
+            t = after[t]
+        after.update(dict.fromkeys(path, t))
+        return t
+
+    slots: dict[int, list[int]] = {int(s): [] for s in many}
+    early = sorted((-(-(k + 1) * total // int(parts[s])), int(s), k) for s in many for k in range(int(parts[s]) - 1))
+    for _, s, k in early:
+        t = free(k * total // int(parts[s]))
+        after[t] = t + 1
+        slots[s].append(t)
+    open_ = np.ones(total, bool)
+    open_[list(after)] = False
+    left = np.flatnonzero(open_)
+    for before, s in enumerate(many.tolist()):
+        # ``s - before`` sources with one part come first by name and have the first slots.
+        c = int(parts[s])
+        at = max(int(np.searchsorted(left, (c - 1) * total // c)), s - before)
+        slots[s].append(int(left[at]))
+        left = np.delete(left, at)
+    single = np.full(len(parts), -1, np.int64)
+    single[parts == 1] = left
+    return single, {s: np.array(sorted(t), np.int64) for s, t in slots.items()}
+
+
+def phases(blocks: Mapping[str, int], parts: Mapping[str, int]) -> dict[str, list[tuple]]:
     """For each source its phases (first block, last block + 1, first slot, parts, period, slots in the period).
 
     A phase ends when a source has no block left; the others go on with their parts among
-    those that remain. Sizes follow the number of sources and parts, never the rows. Sources
-    with zero parts come last, in equal parts. A schedule above ``max_cells`` raises.
+    those that remain. A source has an entry for each phase in which it gets a block. Work
+    follows the number of sources times that of phases, in whole arrays, and never the rows.
+    Sources with zero parts come last, in equal parts.
     """
-    left, start, out = {s: n for s, n in blocks.items() if n > 0}, 0, {s: [] for s in blocks}
-    taken, cells = dict.fromkeys(left, 0), 0
-    while left:
-        now = {s: parts.get(s, 1) for s in left if parts.get(s, 1) > 0} or dict.fromkeys(left, 1)
-        common = gcd(*now.values())
-        now = {s: c // common for s, c in sorted(now.items())}
-        length = sum(now.values())
-        cells += length
-        if cells * 2 > max_cells:
-            raise ValueError(f"the schedule needs more than {max_cells} cells; use fewer sources or smaller parts")
-        slots = _period(now)
-        span = min((left[s] - 1) // c * length + slots[s][(left[s] - 1) % c] + 1 for s, c in now.items())
-        for s, c in now.items():
-            got = span // length * c + bisect_left(slots[s], span % length)
-            if got:
-                out[s].append((taken[s], taken[s] + got, start, c, length, slots[s]))
-            taken[s] += got
-            left[s] -= got
-        left = {s: n for s, n in left.items() if n}
+    names = sorted(s for s, n in blocks.items() if n > 0)
+    left = np.array([blocks[s] for s in names], np.int64)
+    wanted = np.array([parts.get(s, 1) for s in names], np.int64)
+    taken, start, out = np.zeros(len(names), np.int64), 0, {s: [] for s in blocks}
+    while (left > 0).any():
+        now = np.flatnonzero((left > 0) & (wanted > 0))
+        own = wanted[now]
+        if not len(now):
+            now = np.flatnonzero(left > 0)
+            own = np.ones(len(now), np.int64)
+        own = own // np.gcd.reduce(own)
+        length = int(own.sum())
+        single, many = _period(own)
+        ends = (left[now] - 1) * length + single + 1
+        for s, t in many.items():
+            n, c = int(left[now[s]]) - 1, len(t)
+            ends[s] = n // c * length + t[n % c] + 1
+        span = int(ends.min())
+        got = span // length * own + (single < span % length)
+        for s, t in many.items():
+            got[s] = span // length * len(t) + int(np.searchsorted(t, span % length))
+        for i in np.flatnonzero(got).tolist():
+            s, n = int(now[i]), int(got[i])
+            slots = many[i].tolist() if i in many else [int(single[i])]
+            out[names[s]].append((int(taken[s]), int(taken[s]) + n, start, int(own[i]), length, slots))
+        taken[now] += got
+        left[now] -= got
         start += span
     return out
 
 
-def _ranked(docs: DataFrame, source: str, key: str, largest: int) -> DataFrame:
-    """``docs`` with ``__src`` and ``__rank``, the place within the source by md5 of the key, from 0.
+def _ranked(docs: DataFrame, names: Mapping[str, str], source: str, key: str, largest: int) -> DataFrame:
+    """``docs`` with its source and its rank, the place within the source by md5 of the key, from 0.
 
     A source is cut by the first md5 digits into buckets of about `_BUCKET_ROWS` rows, which are
     ranked one by one and continue the counts of the buckets before; no task gets a whole source.
@@ -75,16 +111,16 @@ def _ranked(docs: DataFrame, source: str, key: str, largest: int) -> DataFrame:
     while largest > _BUCKET_ROWS * 16**digits:
         digits += 1
     same = [c for c, kind in docs.dtypes if not kind.startswith("map")]
+    src, cut, md5, tie, before = (names[c] for c in ("src", "cut", "md5", "tie", "before"))
     rows = docs.withColumns({
-        "__src": F.coalesce(F.col(source).cast("string"), F.lit("")),
-        "__md5": F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")),
-        "__tie": F.xxhash64(*same),
-    }).withColumn("__cut", F.substring("__md5", 1, digits) if digits else F.lit(""))
-    before = rows.groupBy("__src", "__cut").agg(F.count("*").alias("__n")).withColumn(
-        "__before", F.sum("__n").over(Window.partitionBy("__src").orderBy("__cut")) - F.col("__n")).drop("__n")
-    place = F.row_number().over(Window.partitionBy("__src", "__cut").orderBy("__md5", key, "__tie"))
-    return rows.join(before, ["__src", "__cut"]).withColumn("__rank", place - 1 + F.col("__before")).drop(
-        "__cut", "__before", "__md5", "__tie")
+        src: F.coalesce(F.col(source).cast("string"), F.lit("")),
+        md5: F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")),
+        tie: F.xxhash64(*same),
+    }).withColumn(cut, F.substring(md5, 1, digits) if digits else F.lit(""))
+    counts = rows.groupBy(src, cut).agg(F.count("*").alias("n"))
+    counts = counts.select(src, cut, (F.sum("n").over(Window.partitionBy(src).orderBy(cut)) - F.col("n")).alias(before))
+    place = F.row_number().over(Window.partitionBy(src, cut).orderBy(md5, key, tie))
+    return rows.join(counts, [src, cut]).withColumn(names["rank"], place - 1 + F.col(before)).drop(cut, before, md5, tie)
 
 
 def mixed(docs: DataFrame, parts: Mapping[str, int] = TARGET_PARTS, source: str = "source", key: str = "doc_id",
@@ -96,27 +132,49 @@ def mixed(docs: DataFrame, parts: Mapping[str, int] = TARGET_PARTS, source: str
     source has got less than one block more or less than its share. When a source has ended,
     the rest go on among themselves, so every row has exactly one place. ``position`` orders
     the rows. A null source counts as the source ``''``, a null key as an empty one. Repeated
-    rows get places of their own. An empty table gives no rows. A column ``out`` is replaced.
+    rows get places of their own. An empty table gives no rows. A column ``out`` is replaced, others
+    stay, whatever their names. Texts are not looked at. One row for each source reaches the driver.
     """
     spark = docs.sparkSession
-    counts = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s")).count().limit(MAX_CELLS).collect()
+    counts = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s")).count().collect()
     sizes = {r["s"]: r["count"] for r in counts}
     plan = phases({s: -(-n // block_rows) for s, n in sizes.items()}, parts)
-    schema = ("array<struct<src:string,phases:array<struct<first:long,last:long,start:long,parts:long,length:long,"
-              "slots:array<long>>>>>")
-    text = json.dumps([{"src": s, "phases": [dict(zip(("first", "last", "start", "parts", "length", "slots"), p))
-                                             for p in ps]} for s, ps in sorted(plan.items())])
-    schedule = spark.range(1).select(F.inline(F.from_json(F.lit(text), schema))).select(
-        F.col("src").alias("__src"), F.col("phases").alias("__phases"))
-    block = F.floor(F.col("__rank") / block_rows)
-    rows = _ranked(docs.drop(out), source, key, max(sizes.values(), default=0)).withColumn("__block", block)
-    rows = rows.join(F.broadcast(schedule), "__src").withColumn("__phase", F.element_at(F.filter(
-        "__phases", lambda p: (p["first"] <= F.col("__block")) & (F.col("__block") < p["last"])), 1)).drop("__phases")
-    p, k = F.col("__phase"), F.col("__block") - F.col("__phase")["first"]
+    names = _free_names(docs)
+    rows = _ranked(docs, names, source, key, max(sizes.values(), default=0))
+    rows = rows.withColumn(names["block"], F.floor(F.col(names["rank"]) / block_rows))
+    if sum(map(len, plan.values())) <= MAX_PAIRS:
+        text = json.dumps([{"src": s, "phases": [dict(zip(_PHASE, p)) for p in ps]} for s, ps in sorted(plan.items())])
+        schedule = spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<src:string,phases:array<struct<{_PHASE_TYPE}>>>>")))
+        schedule = schedule.select(F.col("src").alias(names["src"]), F.col("phases").alias(names["phase"]))
+        rows = rows.join(F.broadcast(schedule), names["src"]).withColumn(names["phase"], F.element_at(F.filter(
+            names["phase"], lambda p: (p["first"] <= F.col(names["block"])) & (F.col(names["block"]) < p["last"])), 1))
+    else:
+        pairs = spark.createDataFrame([(s, p) for s, ps in plan.items() for p in ps], f"src string, p struct<{_PHASE_TYPE}>")
+        each = staged(pairs, "schedule").select(F.col("src").alias(names["src"]), F.col("p").alias(names["phase"]),
+                                               F.explode(F.sequence(F.col("p.first"), F.col("p.last") - 1)).alias(names["block"]))
+        rows = rows.join(each, [names["src"], names["block"]])
+    p, n = F.col(names["phase"]), F.col(names["block"])
+    k = n - p["first"]
     slot: Column = p["start"] + F.floor(k / p["parts"]) * p["length"] + F.get(p["slots"], (k % p["parts"]).cast("int"))
-    return rows.withColumn(out, F.struct(
-        F.col("__block").alias("block"),
+    result = F.struct(
+        n.alias("block"),
         (p["start"] + F.floor(k * p["length"] / p["parts"])).alias("release"),
         (p["start"] + F.ceil((k + 1) * p["length"] / p["parts"])).alias("deadline"),
-        slot.alias("slot"), (slot * block_rows + F.col("__rank") % block_rows).alias("position"),
-    )).drop("__src", "__rank", "__block", "__phase")
+        slot.alias("slot"), (slot * block_rows + F.col(names["rank"]) % block_rows).alias("position"),
+    )
+    return rows.select(*[c for c in docs.columns if c != out], result.alias(out))
+
+
+_PHASE = ("first", "last", "start", "parts", "length", "slots")
+_PHASE_TYPE = "first:long,last:long,start:long,parts:long,length:long,slots:array<long>"
+
+
+def _free_names(docs: DataFrame) -> dict[str, str]:
+    """Names for the columns that the schedule needs, none of which ``docs`` has."""
+    taken, names = {c.lower() for c in docs.columns}, {}
+    for name in ("src", "rank", "block", "phase", "md5", "tie", "cut", "before"):
+        free = f"_mix_{name}"
+        while free in taken:
+            free += "_"
+        names[name] = free
+    return names

@@ -52,6 +52,13 @@ def test_url_candidates_lose_no_rule():
             assert set(r.tokens) <= set(re.findall("[a-z0-9]+", u.lower())), (u, r)
 
 
+def test_url_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "http://a.net/" + "x" * 3_000_000 + "/popup", 2, 3, 4, 5, 6)], "page_id long, url string, __host int, __rule int, path int, fit int, filter int")
+    got = url_filter.filter_urls(rows).first()
+    assert got.__fields__ == ["page_id", "url", "__host", "__rule", "path", "fit", "filter"] and (got["__host"], got["__rule"], got.path, got.fit) == (2, 3, 4, 5)
+    assert (got["filter"].rule, len(got["filter"].path)) == ("net/", 3_000_007)
+
+
 def test_url_odd_rows(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, "no scheme", "a"), (4, "http://X.Example.NET/en/1?q#f", "a"), (4, "http://X.Example.NET/en/1?q#f", "a"),
             (5, "http://net", "a"), (6, "http://net/", "a"), (7, "http://mynet/", "a"), (8, "x://a.org/fr/", "a"), (9, "http://b.example.com/de/?://", "a")]

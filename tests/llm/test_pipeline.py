@@ -45,3 +45,13 @@ def test_mixing_stage_writes_the_order(spark, sf_dir, tmp_path):
     place = {r.doc_id: r.mix.position for r in mixing.mixed(docs).collect()}
     order = [r.doc_id for f in sorted((tmp_path / "m").glob("part-*.parquet")) for r in spark.read.parquet(str(f)).coalesce(1).collect()]
     assert [place[i] for i in order] == sorted(place.values())
+
+
+def test_one_row_of_an_id_by_its_text(spark):
+    """Of different texts with one id the smallest stays, wherever the rows lie; a column of the stage's own name stays."""
+    rows = [(1, "b text", "x"), (1, "a text", "y"), (1, "c text", "z"), (2, None, "x"), (2, "", "y"), (None, "q", "x"), (None, "q", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _stage string")
+    for n in (1, 5):
+        got = corpus_pipeline.near_duplicate_stage(spark, docs.repartition(n), "")
+        assert got.columns == docs.columns
+        assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "a text", "y"), (2, None, "x"), (None, "q", "x"), (None, "q", "x")], key=str)
