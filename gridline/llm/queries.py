@@ -64,7 +64,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir, "text", "lang"), _table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model = toxicity.fit(docs, labels.where(~held_out))
-    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "toxicity.*")
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "toxicity.*")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
