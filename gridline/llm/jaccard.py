@@ -179,7 +179,12 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
 
 
 class SetIndex:
-    """Sets in order of size with a list of sets for each gram."""
+    """Sets in order of size with a list of sets for each gram, in blocks that are skipped by position.
+
+    ``read`` counts list members looked at, ``derived`` the answers made out of another set's.
+    """
+
+    BLOCK, KEPT = 64, 16
 
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
@@ -187,39 +192,60 @@ class SetIndex:
         self.size, self.percent = np.array([len(s) for s in self.sets], np.int64), percent
         grams = np.concatenate(self.sets)
         by_gram = np.argsort(grams, kind="stable")
-        self.grams, begin = np.unique(grams[by_gram], return_index=True)
-        # A list holds places in the order of size, so those of fitting sizes are one stretch of it.
-        self.members = np.repeat(np.arange(len(self.sets)), self.size)[by_gram]
-        self.begin = np.append(begin, len(grams))
+        self.grams, number = np.unique(grams[by_gram], return_inverse=True)
+        # One run of lists: gram number and place in the order of size, so lists and places both ascend.
+        self.members = number * len(self.sets) + np.repeat(np.arange(len(self.sets)), self.size)[by_gram]
+        self.heads = self.members[::self.BLOCK]
+        self.read = self.derived = 0
+
+    def _seek(self, keys: np.ndarray) -> np.ndarray:
+        """Place of the first member not below each key: its block by the heads of blocks, then a search in the block."""
+        block = np.maximum(np.searchsorted(self.heads, keys, "left") - 1, 0)
+        low, high = block * self.BLOCK, np.minimum((block + 1) * self.BLOCK, len(self.members))
+        while (low < high).any():
+            middle = (low + high) // 2
+            less = (low < high) & (self.members[np.minimum(middle, len(self.members) - 1)] < keys)
+            high = np.where((low < high) & ~less, middle, high)
+            low = np.where(less, middle + 1, low)
+        return low
 
     def counts(self, grams: np.ndarray, low: int, high: int) -> np.ndarray:
         """How many of ``grams`` each set from ``low`` to ``high`` holds; the rest of each list is skipped."""
-        at = np.searchsorted(self.grams, grams)
-        begin, size = self.begin[at], self.begin[at + 1] - self.begin[at]
+        at = np.searchsorted(self.grams, grams) * len(self.sets)
+        begin = self._seek(at + low)
+        size = self._seek(at + high) - begin
+        self.read += int(size.sum())
         place = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        found = self.members[place]
-        return np.bincount(found[(found >= low) & (found < high)], minlength=len(self.sets))
+        return np.bincount(self.members[place] % len(self.sets) - low, minlength=max(0, high - low))
 
     def links(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(set, sets that link with it): computed from the lists, or from the answers of the set before.
+        """(set, sets that link with it): computed from the lists, or from the answers of a similar set.
 
-        Where a set differs little from the one before it, the overlaps of that one are corrected
-        by the lists of the grams in which the two differ; the overlap with every set is exact
-        either way. Overlaps are kept for all sets from the smallest fitting size on.
+        Sets that fit a set in size are one stretch of places. Of the last answers the one whose set
+        shares most grams with the asked one, as that answer says, is corrected by the lists of the
+        grams in which the two differ, and by those of all grams where the stretch goes on; if they
+        differ in more grams than the set has, its own lists are read. Overlaps are exact either way.
         """
-        before, overlap, low = None, None, 0
+        kept: list[tuple[np.ndarray, int, int, np.ndarray]] = []
         for x, own in enumerate(self.sets):
             n = len(own)
-            if before is not None:
-                gone, new = np.setdiff1d(before, own, assume_unique=True), np.setdiff1d(own, before, assume_unique=True)
-            if before is None or len(gone) + len(new) >= n:
-                low = int(np.searchsorted(100 * self.size, self.percent * n))
-                overlap = self.counts(own, low, len(self.sets))
-            else:
-                overlap = overlap - self.counts(gone, low, len(self.sets)) + self.counts(new, low, len(self.sets))
-            before = own
-            fits = 100 * np.minimum(self.size, n) >= self.percent * np.maximum(self.size, n)
-            linked = np.flatnonzero(fits & (100 * overlap >= self.percent * (self.size + n - overlap)))
+            low = int(np.searchsorted(100 * self.size, self.percent * n))
+            high = int(np.searchsorted(self.percent * self.size, 100 * n, "right"))
+            like = max((k for k in kept if k[1] <= x < k[2]), key=lambda k: k[3][x - k[1]], default=None)
+            overlap = None
+            if like:
+                other, begin, end, known = like
+                gone, new = np.setdiff1d(other, own, assume_unique=True), np.setdiff1d(own, other, assume_unique=True)
+                if len(gone) + len(new) < n and begin <= low:
+                    end = min(end, high)
+                    overlap = known[low - begin:end - begin] - self.counts(gone, low, end) + self.counts(new, low, end)
+                    overlap = np.concatenate([overlap, self.counts(own, end, high)])
+                    self.derived += 1
+            if overlap is None:
+                overlap = self.counts(own, low, high)
+            kept = [*kept[1 - self.KEPT:], (own, low, high, overlap)]
+            size = self.size[low:high]
+            linked = low + np.flatnonzero(100 * overlap >= self.percent * (size + n - overlap))
             yield self.order[x], np.array([self.order[y] for y in linked if y != x], np.int64)
 
 
