@@ -47,6 +47,38 @@ class CharacterMap:
                 found = i + 1 - at, self.pool[value:self.pool.index(0, value)]
         return found
 
+    def starts(self) -> np.ndarray:
+        """Which bytes an entry of the map can begin with."""
+        first = np.zeros(256, bool)
+        if self.units:
+            unit = self.units[0]
+            root = (unit >> 10) << ((unit & 0x200) >> 6)
+            for b in range(1, 256):
+                first[b] = root ^ b < len(self.units) and self.units[root ^ b] & 0x800000FF == b
+        return first
+
+    def align(self, data: np.ndarray, offsets: np.ndarray, escape: bool) -> tuple[np.ndarray, np.ndarray]:
+        """For each byte of all normalised texts the source byte (of its text) it came from, and where each text begins.
+
+        As `normalise` without ``dummy`` and ``squeeze``, for whole batches: a source byte becomes as
+        many bytes as its replacement has, in whose alignment it stands; only bytes with which an
+        entry of the map can begin are looked up one by one.
+        """
+        mark = len(_MARK.encode()) if escape else 1
+        width = np.where(data == 32, mark, 1)
+        if self.units:
+            raw, done = data.tobytes(), 0
+            at = np.flatnonzero(self.starts()[data])
+            ends = offsets[np.searchsorted(offsets, at, "right")]
+            for i, end in zip(at.tolist(), ends.tolist()):
+                if i >= done and (found := self.longest(raw[i:end], 0)):
+                    width[i:i + found[0]] = 0
+                    width[i] = len(found[1]) + (mark - 1) * found[1].count(b" ")
+                    done = i + found[0]
+        size = np.concatenate([[0], np.cumsum(width)])[offsets]
+        own = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+        return np.repeat(own, width), size
+
     def normalise(self, data: bytes, dummy: bool = False, squeeze: bool = False, escape: bool = False) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them, and for the end, the source byte that it came from.
 
@@ -57,7 +89,8 @@ class CharacterMap:
         spaced, started = squeeze, not dummy
         while at < len(data):
             n, new = self.longest(data, at) or (0, b"")
-            if not n:
+            copied = not n
+            if copied:
                 lead = data[at]
                 n = 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
                 new = data[at:at + n]
@@ -71,7 +104,8 @@ class CharacterMap:
                 spaced = new.endswith(b" ")
                 new = new.replace(b" ", space)
                 out += new
-                source += [at] * len(new)
+                # Bytes of a character that is copied are their own source, those of a replacement its first one.
+                source += range(at, at + n) if copied and data[at] != 32 else [at] * len(new)
             at += n
         end = at
         if squeeze:
@@ -106,9 +140,10 @@ class Pieces:
         self.end_id = self.library.eos_id()
         size = self.library.get_piece_size()
         pieces = [self.library.id_to_piece(i) for i in range(size)]
-        # Source bytes of each piece: a marked space is one byte, a byte piece too, a control piece none.
+        # Normalised bytes of each piece: a byte piece has one, a control piece none.
         self.width = np.array([0 if self.library.is_control(i) else 1 if self.library.is_byte(i) else
-                               len(p.replace(_MARK, " ").encode()) for i, p in enumerate(pieces)], np.int64)
+                               len(p.encode()) for i, p in enumerate(pieces)], np.int64)
+        self.escape = spec.escape_whitespaces
         self.unknown = self.library.unk_id()
         # Chunks may be encoded apart if no piece reaches over a space between visible characters.
         apart = all(_MARK not in p.lstrip(_MARK) for p in pieces)
@@ -125,12 +160,32 @@ class Pieces:
             out[i] = np.array(ids, "<u4")
         return [np.append(ids, np.uint32(self.end_id)) for ids in out]
 
-    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First source byte of each piece and the one after its last; a piece without source bytes is empty."""
-        if self.coder and _MARK not in text and not (ids == self.unknown).any():
-            ends = np.cumsum(self.width[ids]) - (1 if text else 0)  # the dummy space is no source byte
-            return np.maximum(np.concatenate([[0], ends[:-1]]), 0), ends
-        normal, source = self.map.normalise(text.encode(), self.dummy, self.squeeze, True)
+    def spans(self, texts: list[str], ids: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the first source byte of each piece and the one after its last; a piece without source bytes is empty.
+
+        Every text is normalised with its alignment, and the borders of its pieces in the
+        normalised text are looked up there. That the pieces' bytes add up to the normalised text
+        is checked; texts where they don't (unknown pieces) are taken piece by piece.
+        """
+        data = [t.encode() for t in texts]
+        if self.squeeze:
+            return [self._span(t, d, i) for t, d, i in zip(texts, data, ids)]
+        offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
+        source, begin = self.map.align(np.frombuffer(b"".join(data), np.uint8), offsets, self.escape)
+        lead, out = (len(_MARK.encode()) if self.escape else 1) if self.dummy else 0, []
+        for t, d, i, a, b in zip(texts, data, ids, begin[:-1].tolist(), begin[1:].tolist()):
+            first = lead if b > a else 0  # bytes of the space put before the text
+            edge = np.concatenate([[0], np.cumsum(self.width[i])])
+            if edge[-1] != first + b - a or (i == self.unknown).any():
+                out.append(self._span(t, d, i))
+                continue
+            # The last place of the alignment is the end of the text.
+            place = np.append(source[a:b], len(d))[np.maximum(edge - first, 0)]
+            out.append((place[:-1], place[1:]))
+        return out
+
+    def _span(self, text: str, data: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        normal, source = self.map.normalise(data, self.dummy, self.squeeze, self.escape)
         pieces = self.library.encode(text, out_type=str) if normal else []
         width = [1 if self.library.is_byte(int(i)) else len(p.encode()) for p, i in zip(pieces, ids)]
         edge = np.concatenate([[0], np.cumsum(width), [len(normal)] * (len(ids) - len(width))]).astype(np.int64)
@@ -139,7 +194,7 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[Encoded]:
         ids = self.ids(texts)
         decoded = self.library.decode([i.tolist() for i in ids], num_threads=1)
-        return [Encoded(i, *self.spans(t, i), d) for t, i, d in zip(texts, ids, decoded)]
+        return [Encoded(i, *s, d) for i, s, d in zip(ids, self.spans(texts, ids), decoded)]
 
 
 _MODELS: dict[str, Pieces] = {}
