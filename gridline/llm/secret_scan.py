@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+import statistics
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import staged
+from .texts import strings
 
 # The three known forms, in the order in which they are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -23,7 +25,11 @@ KINDS = ("assign", "access", "hex", "learned")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: Bounds on what the automata are fitted on: distinct values of each kind, the first by hash, and their length.
 SAMPLE, LONGEST = 1000, 128
-_ALPHA, _FLOOR, _LITERAL, _LOW = 0.05, math.log(1e-4), 4, 0.01
+#: A state that fewer values reach is not tested by itself.
+LEAST_VALUES = 8
+#: Every so many values of a kind are held out to set the mark; such a share of them may lie below it.
+HELD_OUT, MISSED = 5, 0.01
+_ALPHA, _FLOOR, _LITERAL, _LETTERS = 0.05, math.log(1e-4), 4, 64
 
 
 def known(text: str) -> list[tuple[str, int, int]]:
@@ -43,73 +49,88 @@ def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int,
     return out
 
 
+def _class(c: str) -> str:
+    """Classes have two characters, so that they are no literal ones."""
+    return c if len(c) > 1 else "09" if c.isdigit() else "af" if c in "abcdef" else "gz" if c.islower() else "AZ" if c.isupper() else c
+
+
 def symbols(value: str) -> list[str]:
     """The first characters as they are, where formats keep their tags; then classes."""
-    def kind(c: str) -> str:
-        return "9" if c.isdigit() else "f" if c in "abcdef" else "z" if c.islower() else "Z" if c.isupper() else c
-    return [*value[:_LITERAL], *map(kind, value[_LITERAL:])]
+    return [*value[:_LITERAL], *map(_class, value[_LITERAL:])]
 
 
 @dataclass
 class _State:
+    depth: int = 0
     count: int = 0
     final: int = 0
     next: dict[str, int] = field(default_factory=dict)
     passed: dict[str, int] = field(default_factory=dict)
+    rest: Counter = field(default_factory=Counter)  # how many symbols are still to come
 
 
 class Automaton:
     """Probabilistic automaton from a prefix tree whose statistically compatible states are merged.
 
-    Two states are compatible if the rates of ending and of each next symbol differ by less
-    than Hoeffding's bound at `_ALPHA`, and so do the states that follow. States are visited
-    by breadth, so that values in any order give the same automaton.
+    Two states are compatible if the rates of each next symbol, of ending, and of each number of
+    symbols to come differ by less than Hoeffding's bound at `_ALPHA`, and so do the states that
+    follow, as far as enough values reach them. A state that few values reach bears no test and
+    goes to the state of its depth that most reach. States are visited by breadth, so that values in any
+    order give the same automaton. Every fifth value is held out; the mark to reach is what all
+    but a few of those score, or less.
     """
 
     def __init__(self, values: Iterable[str]):
+        values = sorted(values)
+        held = values[::HELD_OUT] if len(values) >= 2 * HELD_OUT else []
         self.states = [_State()]
-        for v in sorted(values):
-            at = 0
-            self.states[0].count += 1
-            for s in symbols(v):
+        for v in (v for i, v in enumerate(values) if not held or i % HELD_OUT):
+            at, path = 0, symbols(v)
+            self._pass(0, len(path))
+            for i, s in enumerate(path):
                 state = self.states[at]
                 state.passed[s] = state.passed.get(s, 0) + 1
                 if s not in state.next:
                     state.next[s] = len(self.states)
-                    self.states.append(_State())
+                    self.states.append(_State(i + 1))
                 at = state.next[s]
-                self.states[at].count += 1
+                self._pass(at, len(path) - i - 1)
             self.states[at].final += 1
-        self._merge()
-        # The least likely of the values learned from, but for a few, is the mark to reach.
-        scores = sorted(map(self.score, values))
-        self.least = scores[int(_LOW * len(scores))] if scores else 0.0
+        self.red = self._merge()
+        self.near = self._classes()
+        scores = sorted(map(self.score, held or values))
+        # Few values say little of the lowest scores: the mark is three deviations down at least, or a tenth of the way to the floor.
+        middle, spread = (statistics.fmean(scores), statistics.pstdev(scores)) if scores else (0.0, 0.0)
+        self.least = min(scores[int(MISSED * len(scores))], middle - max(3 * spread, (middle - _FLOOR) / 10)) if scores else 0.0
 
-    def _differ(self, a: int, n: int, b: int, m: int) -> bool:
-        if not n or not m:
-            return False
-        return abs(a / n - b / m) > math.sqrt(0.5 * math.log(2 / _ALPHA)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+    def _pass(self, at: int, rest: int) -> None:
+        self.states[at].count += 1
+        self.states[at].rest[rest] += 1
 
     def _compatible(self, red: int, blue: int) -> bool:
         todo = [(red, blue)]
         while todo:
             x, y = (self.states[i] for i in todo.pop())
-            if self._differ(x.final, x.count, y.final, y.count):
+            if min(x.count, y.count) < LEAST_VALUES:
+                continue
+            bound = math.sqrt(0.5 * math.log(2 / _ALPHA)) * (1 / math.sqrt(x.count) + 1 / math.sqrt(y.count))
+            rates = [(x.final, y.final), *((x.rest[r], y.rest[r]) for r in x.rest.keys() | y.rest.keys()),
+                     *((x.passed.get(s, 0), y.passed.get(s, 0)) for s in x.passed.keys() | y.passed.keys())]
+            if any(abs(a / x.count - b / y.count) > bound for a, b in rates):
                 return False
-            for s in x.passed.keys() | y.passed.keys():
-                if self._differ(x.passed.get(s, 0), x.count, y.passed.get(s, 0), y.count):
-                    return False
-                if s in x.next and s in y.next:
-                    todo.append((x.next[s], y.next[s]))
+            todo += [(x.next[s], y.next[s]) for s in x.next.keys() & y.next.keys()]
         return True
 
     def _fold(self, red: int, blue: int) -> None:
         todo = [(red, blue)]
         while todo:
             i, j = todo.pop()
+            if i == j:
+                continue
             x, y = self.states[i], self.states[j]
             x.count += y.count
             x.final += y.final
+            x.rest += y.rest
             for s, n in y.passed.items():
                 x.passed[s] = x.passed.get(s, 0) + n
                 if s in x.next:
@@ -117,40 +138,59 @@ class Automaton:
                 else:
                     x.next[s] = y.next[s]
 
-    def _merge(self) -> None:
-        red, blue = [0], deque(sorted((s, 0) for s in self.states[0].next))
-        while blue:
-            s, parent = blue.popleft()
-            child = self.states[parent].next[s]
-            if child in red:
-                continue
-            for r in red:
-                if self._compatible(r, child):
-                    self.states[parent].next[s] = r
-                    self._fold(r, child)
-                    # Folding may hang new children below any red state.
-                    blue = deque((t, q) for q in red for t, c in sorted(self.states[q].next.items()) if c not in red)
-                    break
+    def _merge(self) -> list[int]:
+        red, states = [0], self.states
+        while True:
+            # Of the shallowest states that are not settled the one with most values; folding may hang new ones below any red state.
+            blue = min(((states[c].depth, -states[c].count, q, s) for q in red for s, c in states[q].next.items() if c not in red), default=None)
+            if blue is None:
+                return red
+            depth, count, parent, s = blue
+            child = states[parent].next[s]
+            if -count < LEAST_VALUES:
+                into = max((r for r in red if states[r].depth == depth), key=lambda r: states[r].count, default=None)
             else:
+                fit = [r for r in red if states[r].count >= LEAST_VALUES and self._compatible(r, child)]
+                into = min(fit, key=lambda r: abs(states[r].depth - depth), default=None)
+            if into is None:
                 red.append(child)
-                blue.extend((t, child) for t in sorted(self.states[child].next))
+            else:
+                states[parent].next[s] = into
+                self._fold(into, child)
+
+    def _classes(self) -> list[set[str]]:
+        """Classes of the symbols that follow the states of each depth and those next to it."""
+        deepest = max(self.states[r].depth for r in self.red)
+        own = [{_class(s) for r in self.red if self.states[r].depth == d for s in self.states[r].next} for d in range(deepest + 1)]
+        return [set().union(*own[max(0, d - 1):d + 2]) if own[d] else set() for d in range(deepest + 1)]
 
     def score(self, value: str) -> float:
-        """Mean log likelihood of the value's symbols; a symbol never seen costs `_FLOOR` and starts anew."""
+        """Mean log likelihood of the value's symbols and of its end.
+
+        A symbol that a state has not seen, though its class stands about there, has a smoothed rate
+        and goes where most values go. From a symbol of a new class there on each costs `_FLOOR`, and so do
+        the symbols that are missing where no value has ended.
+        """
         at, total, all_ = 0, 0.0, symbols(value)
-        for s in all_:
+        for i, s in enumerate(all_):
             state = self.states[at]
             if s in state.next:
                 total += math.log(state.passed[s] / state.count)
-                at = state.next[s]
+            elif state.next and _class(s) in self.near[state.depth]:
+                total -= math.log(state.count + _LETTERS)
+                s = max(sorted(state.next), key=state.passed.__getitem__)
             else:
-                total, at = total + _FLOOR, 0
-        return total / max(1, len(all_))
+                return (total + _FLOOR * (len(all_) - i + 1)) / (len(all_) + 1)
+            at = state.next[s]
+        end, missing = self.states[at], 0
+        if not end.final:
+            missing = min(end.rest, default=0)
+        return (total + (math.log(end.final / end.count) if end.final else _FLOOR * (missing + 1))) / (len(all_) + missing + 1)
 
 
 @dataclass
 class Detector:
-    """Automata of the known kinds, and one of other candidates that formats must beat."""
+    """Automata of the known kinds, and one of other candidates that formats must beat; equal likelihood is no secret."""
 
     formats: dict[str, Automaton]
     other: Automaton | None
@@ -170,6 +210,8 @@ def labelled(text: str) -> list[tuple[str, str]]:
     """Credentials of the known forms with their kind, and other candidates as ``other``; long ones are not learned from."""
     spans = known(text)
     found = [(k, m[2] if k == "assign" and (m := ASSIGN.match(text, a)) else text[a:b]) for k, a, b in spans]
+    # A value of a form of its own is learned as that form only.
+    found = [("hex" if HEX.fullmatch(v) else "access" if ACCESS.fullmatch(v) else k, v) for k, v in found]
     found += [("other", text[a:b]) for a, b in candidates(text, spans)]
     return [(k, v) for k, v in found if len(v) <= LONGEST]
 
@@ -178,7 +220,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Detector:
     """Learn from at most ``sample`` distinct values of each kind, the first by their hash, out of all documents."""
     @F.arrow_udf("array<struct<kind:string,value:string>>")
     def extract(texts: pa.Array) -> pa.Array:
-        return pa.array([[{"kind": k, "value": v} for k, v in labelled(t or "")] for t in texts.to_pylist()],
+        return pa.array([[{"kind": k, "value": v} for k, v in labelled(t or "")] for t in strings(texts)],
                         pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())])))
 
     values = staged(docs.select(F.inline(extract(F.col(text)))).distinct(), "labelled-credentials")
@@ -193,7 +235,8 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Detector:
 def scan(docs: DataFrame, detector: Detector | None = None, text: str = "text") -> DataFrame:
     """``docs`` with ``secrets``, an array of (kind, start, end) by start: code points, end exclusive.
 
-    Every candidate of every whole text is scored. A null text is empty and has no spans.
+    Every candidate of every whole text is scored, however long the text; a few megabytes of texts
+    are in Python at a time. A null text is empty and has no spans.
     Repeated rows agree, an empty table gives no rows. Other columns are kept; a column named
     ``secrets`` is replaced.
     """
@@ -202,7 +245,7 @@ def scan(docs: DataFrame, detector: Detector | None = None, text: str = "text")
 
     @F.arrow_udf("array<struct<kind:string,start:bigint,end:bigint>>")
     def spans(texts: pa.Array) -> pa.Array:
-        return pa.array([[dict(zip(("kind", "start", "end"), s)) for s in detector.spans(t or "")] for t in texts.to_pylist()],
+        return pa.array([[dict(zip(("kind", "start", "end"), s)) for s in detector.spans(t or "")] for t in strings(texts)],
                         pa.list_(span))
 
     return docs.withColumn("secrets", spans(F.col(text)))
@@ -215,7 +258,7 @@ def redacted(docs: DataFrame, detector: Detector | None = None, text: str = "tex
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
         out = []
-        for t in texts.to_pylist():
+        for t in strings(texts):
             done, at = [], 0
             for _, a, b in detector.spans(t) if t else ():
                 if a >= at:

@@ -98,3 +98,9 @@ def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, np
         to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
         yield row, to - row, data[offsets[row]:offsets[to]], offsets[row:to + 1] - offsets[row]
         row = to
+
+
+def strings(column: pa.Array) -> Iterator[str | None]:
+    """Texts of a column as Python strings, a few megabytes of them at a time."""
+    for row, n, _, _ in slices(column):
+        yield from column.slice(row, n).to_pylist()
