@@ -11,11 +11,29 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# Fixed values, written by hand: each pattern, its meaning as a regular expression, whether it blocks, its whole tokens.
+_LABEL, _END = r"^[a-z][a-z0-9+.-]*://([^/?#]*[.])?", r"([^a-z0-9_.%-]|$)"
+_URL_PATTERNS = [
+    ("||spam-farm.", _LABEL + "spam-farm[.]", True, ["spam", "farm"]),
+    ("||casino*.example.", _LABEL + "casino.*[.]example[.]", True, ["example"]),
+    ("/adserver/*", "/adserver/", True, ["adserver"]),
+    ("/banner*.gif|", "/banner.*[.]gif$", True, ["gif"]),
+    ("^tracker^", "([^a-z0-9_.%-]|$)tracker" + _END, True, ["tracker"]),
+    ("&affiliate_id=", "[&]affiliate_id=", True, ["affiliate", "id"]),
+    ("?utm_source=feed^", "[?]utm_source=feed" + _END, True, ["utm", "source", "feed"]),
+    ("||click.*/redirect^", _LABEL + "click[.].*/redirect" + _END, True, ["click", "redirect"]),
+    ("/popup^", "/popup" + _END, True, ["popup"]),
+    ("|https://ads.", "^https://ads[.]", True, ["https", "ads"]),
+    ("@@||blog.*?utm_source=feed^", _LABEL + "blog[.].*[?]utm_source=feed" + _END, False, ["blog", "utm", "source", "feed"]),
+    ("@@/docs/*", "/docs/", False, ["docs"]),
+    ("@@||m.*^popup^", _LABEL + "m[.].*([^a-z0-9_.%-]|$)popup" + _END, False, ["m", "popup"]),
+]
+
+
 def _url_filter() -> str:
     hosts = ", ".join(f"({_quoted(h)}, {_quoted(p)}, {_quoted(v)})" for h, p, v in url_filter.HOST_RULES)
-    rules = [url_filter.parse(p) for p in url_filter.PATTERNS]
-    patterns = ", ".join(f"({i}, {_quoted(r.pattern)}, {_quoted('(?s)' + r.regex)}, {not r.allow})" for i, r in enumerate(rules))
-    tokens = ", ".join(f"({i}, {_quoted(t)})" for i, r in enumerate(rules) for t in r.tokens)
+    patterns = ", ".join(f"({i}, {_quoted(p)}, {_quoted('(?s)' + regex)}, {blocks})" for i, (p, regex, blocks, _) in enumerate(_URL_PATTERNS))
+    tokens = ", ".join(f"({i}, {_quoted(t)})" for i, (*_, whole) in enumerate(_URL_PATTERNS) for t in whole)
     return rf"""
     WITH hosts(h, p, v) AS (VALUES {hosts}), patterns(i, pattern, regex, blocks) AS (VALUES {patterns}),
     tokens(i, t) AS (VALUES {tokens}),

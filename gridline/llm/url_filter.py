@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .texts import strings
+
 #: Host (with all subdomains) and path prefix to verdict; the longest rule that fits wins.
 HOST_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: ``*`` is any run of characters, ``^`` one separator or the end, ``||`` the start of a host label, ``|`` an end
@@ -19,8 +21,6 @@ PATTERNS = [
     "||spam-farm.", "||casino*.example.", "/adserver/*", "/banner*.gif|", "^tracker^", "&affiliate_id=", "?utm_source=feed^",
     "||click.*/redirect^", "/popup^", "|https://ads.", "@@||blog.*?utm_source=feed^", "@@/docs/*", "@@||m.*^popup^",
 ]
-#: Bound on the rules that every task holds.
-MAX_RULES = 200_000
 
 _TOKEN = re.compile(r"[a-z0-9]+")
 _SEPARATOR = r"(?:[^a-z0-9_.%-]|$)"
@@ -59,8 +59,6 @@ class Index:
 
     def __init__(self, patterns: Iterable[str], frequency: Counter[str]):
         rules = [parse(p) for p in dict.fromkeys(patterns)]
-        if len(rules) > MAX_RULES:
-            raise ValueError(f"more than {MAX_RULES} rules; split them over several passes")
         self.rules, self.by_token, self.always = rules, {}, []
         for i, r in enumerate(rules):
             if r.tokens:
@@ -116,28 +114,30 @@ def filter_urls(pages: DataFrame, url: str = "url", host_rules=HOST_RULES, patte
     A host rule decides where one fits (the longest; ``rule`` is its text); otherwise the patterns
     decide, found through the rarest of their tokens over all urls. A null url, or one without
     ``://``, has an empty host and path and fits no host rule; patterns see it as it is, null as
-    empty. Rows are judged one by one, so repeated rows agree and an empty table gives no rows.
+    empty, and urls of any length whole. The rules are the caller's list and go to each executor
+    once. Rows are judged one by one, so repeated rows agree and an empty table gives no rows.
     Other columns are kept; a column named ``filter`` is replaced.
     """
-    index = Index(patterns, token_counts(pages, url, patterns))
+    index = pages.sparkSession.sparkContext.broadcast(Index(patterns, token_counts(pages, url, patterns)))
     kind = "struct<verdict:string,pattern:string,n_candidates:int>"
 
     @F.arrow_udf(kind)
     def by_pattern(urls: pa.Array) -> pa.Array:
-        memo = [index.match(u or "") for u in urls.to_pylist()]
+        match = index.value.match
+        memo = [match(u or "") for u in strings(urls)]
         return pa.StructArray.from_arrays(
             [pa.array([m[0] for m in memo], pa.string()), pa.array([m[1] for m in memo], pa.string()),
              pa.array([m[2] for m in memo], pa.int32())], ["verdict", "pattern", "n_candidates"])
 
-    host, path = host_of(F.col(url)), path_of(F.col(url))
-    fits = [(F.when(((F.col("__host") == h) | F.endswith("__host", F.lit(f".{h}"))) & F.startswith("__path", F.lit(p)),
+    # What is known so far stands in the result's own place, so that no other column is in the way.
+    so_far = F.col("filter")
+    fits = [(F.when(((so_far["host"] == h) | F.endswith(so_far["host"], F.lit(f".{h}"))) & F.startswith(so_far["path"], F.lit(p)),
                     F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))))
             for h, p, v in sorted(host_rules, key=lambda r: (-len(r[0] + r[1]), r))]
-    rows = pages.withColumns({"__host": host, "__path": path}).withColumn("__rule", F.coalesce(*fits))
-    rows = rows.withColumn("__pattern", by_pattern(F.col(url)))
+    rows = pages.withColumn("filter", F.struct(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), by_pattern(F.col(url)).alias("by")))
+    rows = rows.withColumn("filter", F.struct("filter.*", F.coalesce(*fits).alias("fit")))
     return rows.withColumn("filter", F.struct(
-        F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule")["rule"].alias("rule"),
-        F.coalesce(F.col("__rule")["verdict"], F.col("__pattern")["verdict"]).alias("verdict"),
-        F.when(F.col("__rule").isNull(), F.col("__pattern")["pattern"]).alias("pattern"),
-        F.col("__pattern")["n_candidates"].alias("n_candidates"),
-    )).drop("__host", "__path", "__rule", "__pattern")
+        so_far["host"].alias("host"), so_far["path"].alias("path"), so_far["fit"]["rule"].alias("rule"),
+        F.coalesce(so_far["fit"]["verdict"], so_far["by"]["verdict"]).alias("verdict"),
+        F.when(so_far["fit"].isNull(), so_far["by"]["pattern"]).alias("pattern"), so_far["by"]["n_candidates"].alias("n_candidates"),
+    ))
