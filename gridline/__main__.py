@@ -12,7 +12,7 @@ from .plans import features, race_model, reports, season_model
 from .sources.landing import QUALIFYING, RACE, refresh, taken_records
 from .sources.schemas import OPTIONAL, TABLES
 from .sources.sinks import published
-from .sources.tables import load_raw, read_features, require_inputs
+from .sources.tables import load_raw, read_features, require_inputs, unreadable_values
 
 JOBS = ["inputs", "landing", "features", "season-model", "race-model", "charts", "tables"]
 
@@ -41,7 +41,7 @@ def main(argv: list[str] | None = None) -> None:
 
     if args.job == "inputs":
         require_inputs(spark, args.raw)
-        result = {"complete": args.raw}
+        result = {"complete": args.raw, "unreadable": unreadable_values(spark, args.raw)}
     elif args.job == "landing":
         store = f"{args.out}/landing"
         taken = refresh(spark, args.raw, store, args.endpoint, args.schema, args.kind)

@@ -8,7 +8,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, IntegralType
+from pyspark.sql.types import DataType, IntegralType, StringType
 
 from ..fixed import NULL_SENTINEL, RAW_SUBDIRS, REQUIRED_RAW_FILES
 from ..functions.columns import keep_existing, require_columns
@@ -58,10 +58,14 @@ def _typed(name: str, kind: DataType) -> Column:
     return value.alias(name)
 
 
+def _text(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).option("nullValue", NULL_SENTINEL).csv(path)
+
+
 def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     """CSV with header; columns matched by name, the sentinel read as null. [S1, P4]"""
     schema = TABLES[table]
-    text = spark.read.option("header", True).option("nullValue", NULL_SENTINEL).csv(path)
+    text = _text(spark, path)
     wanted = [
         _typed(f.name, f.dataType) if f.name in text.columns
         else F.lit(None).cast(f.dataType).alias(f.name)
@@ -87,6 +91,24 @@ def load_raw(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return tables
 
 
+def unreadable_values(spark: SparkSession, root: str) -> dict[str, int]:
+    """How many values of each ``table.column`` are there but can't be read as declared, and are null therefore. [S1]
+
+    One scan of each table, one row back; columns without such values are left out. Keys are not
+    counted, since reading an unreadable key raises.
+    """
+    found, out = _found(spark, root), {}
+    for table, schema in TABLES.items():
+        if (path := resolve(found, f"{table}.csv")) is None:
+            continue
+        text = _text(spark, f"{root.rstrip('/')}/{path}")
+        counted = [f for f in schema if f.name in text.columns and not f.name.endswith("Id") and f.dataType != StringType()]
+        if counted:
+            row = text.agg(*[F.count_if(F.col(f.name).isNotNull() & _typed(f.name, f.dataType).isNull()).alias(f.name) for f in counted]).first()
+            out |= {f"{table}.{f.name}": row[f.name] for f in counted if row[f.name]}
+    return out
+
+
 def missing_inputs(expected: DataFrame, found: DataFrame) -> DataFrame:
     """Expected inputs that were not found. [S7]"""
     return expected.join(found, expected.columns, "left_anti")

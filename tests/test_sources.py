@@ -218,6 +218,13 @@ def test_exact_paths_among_many_folders(spark, tmp_path):
     assert tables._found(spark, str(tmp_path)) == {f"{tables.RAW_SUBDIRS[0]}/races.csv", "results.csv"}
 
 
+def test_unreadable_values_are_counted(spark, raw):
+    assert tables.unreadable_values(spark, str(raw)) == {}
+    (raw / "results.csv").write_text("resultId,raceId,driverId,positionOrder,grid,points\n1,1,1,R,3.5,x\n2,1,2,2,\\N,y\n3,1,3,3,4,7.5\n")
+    (raw / "races.csv").write_text("raceId,year,date\n1,2009,soon\n2,,2009-01-01\n")
+    assert tables.unreadable_values(spark, str(raw)) == {"results.positionOrder": 1, "results.grid": 1, "results.points": 2, "races.date": 1}
+
+
 def test_whole_numbers_written_with_a_point(spark, tmp_path):
     (tmp_path / "results.csv").write_text("raceId,driverId,positionOrder,grid,points\n1.0,7.0,1.0,3.5,2.5\n")
     row = tables.read_csv(spark, str(tmp_path / "results.csv"), "results").first()
