@@ -53,5 +53,5 @@ def forest_score(df: DataFrame, model: RandomForestClassificationModel, features
 
     levels = F.sequence(F.lit(1), F.lit(max(1, model.getMaxDepth())))
     total = F.aggregate(t["roots"], F.lit(0.0), lambda s, root: s + F.get(t["share"], F.aggregate(levels, root, step)))
-    rows = df.withColumn("_x", F.array(*[F.col(f).cast("double") for f in features]))
-    return rows.join(F.broadcast(trees), F.lit(True)).withColumn(out, total / F.size(t["roots"])).drop("_x", "_trees")
+    rows = df.withColumns({"_x": F.array(*[F.col(f).cast("double") for f in features]), "_trees": trees.scalar()})
+    return rows.withColumn(out, total / F.size(t["roots"])).drop("_x", "_trees")

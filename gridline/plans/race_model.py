@@ -96,7 +96,7 @@ def compiled_scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
 def evaluate(scored: DataFrame) -> DataFrame:
     """Confusion counts, accuracy, weighted F-measure and exact area, one row, of `predictions`. [M8, M9]"""
     area = exact_auc(scored, RACE_TARGET, "winner_probability")
-    return classification_metrics(scored, RACE_TARGET).join(F.broadcast(area), F.lit(True))  # one row each
+    return classification_metrics(scored, RACE_TARGET).withColumn("auc", area.scalar())
 
 
 def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
