@@ -278,8 +278,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, key: str
 
     Null and empty texts have no grams and link with nothing; a row with a null key has a null
     component. Repeated rows are in one component. An empty table gives no rows, other columns
-    are not read. Grams are compared by 64-bit hashes, lists of grams by their size and 64 bits,
-    equal sets by 128 bits and their size.
+    are not read. Grams are compared by 64-bit hashes, lists of grams and equal sets by their
+    size and 128 bits.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
@@ -294,8 +294,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, key: str
     reps = staged(_distinct(again, "prefix", "bitmap"), "distinct-sets")
     # Of lists with the same members, the first in the order of grams does the work of all.
     lists = entries(reps).groupBy("gram").agg(
-        F.count("*").alias("size"), F.min("pos").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("members"))
-    shared = lists.where("size > 1").groupBy("size", "members").agg(F.min_by("gram", "first").alias("gram")).select("gram", "size")
+        F.count("*").alias("size"), F.min("pos").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("members"),
+        F.bit_xor(F.xxhash64(F.lit("again"), "rep")).alias("again"))
+    shared = lists.where("size > 1").groupBy("size", "members", "again").agg(F.min_by("gram", "first").alias("gram")).select("gram", "size")
     meeting = entries(reps).join(shared, "gram").join(reps.select("rep", "n", "bitmap"), ["rep", "n"])
     maybe = components(_candidates(_tiled(meeting, "size", list_rows), percent))
 
