@@ -385,6 +385,17 @@ def test_toxicity_sample_is_bounded(spark, sf_dir, monkeypatch):
     assert len(fitted[2][0]) == 7
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """What only the last of 8,200 labelled keys, by their hash, have in common is learned, in three parts."""
+    rows = spark.range(8200).orderBy(F.xxhash64("id")).withColumn("n", F.monotonically_increasing_id())
+    keys = [r.id for r in rows.collect()]
+    docs = spark.createDataFrame([(k, f"plain words {k % 97} here" + " poison" * (n >= 8100), "en") for n, k in enumerate(keys)], "doc_id long, text string, lang string")
+    model = toxicity.fit(docs, spark.createDataFrame([(k, int(n >= 8100)) for n, k in enumerate(keys)], "doc_id long, toxic int"))
+    assert np.isin(toxicity._word_hashes("poison"), model.words).all()
+    got = {r.doc_id: r.toxicity.predicted for r in toxicity.score(docs, model).collect()}
+    assert {k for k, p in got.items() if p} == set(keys[8100:])
+
+
 def test_toxicity_keeps_columns_of_any_name(spark, odd):
     model = toxicity.train([np.ones((3, 2), np.uint64)] * 4, np.array([0, 1, 0, 1]), [None] * 4)
     rows = toxicity.score(odd.withColumnsRenamed({"quality": "__score", "source": "lang"}), model)
