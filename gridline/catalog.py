@@ -537,7 +537,7 @@ def _race_model(spark: SparkSession, sf_dir: str) -> tuple[PipelineModel, DataFr
     train, test = race_model.temporal_split(rows, TRAIN_CUTOFF)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
-        with reused(train) as kept:
+        with reused(race_model.training_rows(train)) as kept:
             _MODELS[key] = race_model.fit(kept)
     return _MODELS[key], test
 

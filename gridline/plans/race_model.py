@@ -17,6 +17,8 @@ from ..operators.scoring import classification_metrics, exact_auc
 from ..sources.scratch import staged
 from ..sources.sinks import reused, save_model, write_parquet
 
+#: Training rows of one partition, 200 MB of them as the forest keeps them.
+PARTITION_ROWS = 200_000
 _IDS = ["year", "round", "driver_name", "constructor_name"]
 
 
@@ -54,6 +56,18 @@ def temporal_split(rows: DataFrame, cutoff: int = TRAIN_CUTOFF) -> tuple[DataFra
     return rows.filter(part < 80), rows.filter(part >= 80)
 
 
+def training_rows(train: DataFrame) -> DataFrame:
+    """Features and target only, in partitions of about `PARTITION_ROWS` rows at most.
+
+    The forest keeps a count for each of its trees with every row, about a kilobyte, and a task
+    reads a whole partition of them at every level. Small partitions stay as they are.
+    """
+    rows = train.select(*RACE_MODEL_FEATURES, RACE_TARGET)
+    sizes = rows.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("n"))
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    return rows if not total or most <= PARTITION_ROWS else rows.repartition(-(-total // PARTITION_ROWS))
+
+
 def imputer(train: DataFrame) -> ImputerModel:
     """Fills missing features with their exact medians in the training rows. [M4]
 
@@ -114,7 +128,7 @@ def run(race: DataFrame, out: str, cutoff: int = TRAIN_CUTOFF, **params) -> dict
     rows = model_rows(race)
     counts = row_counts(rows, cutoff).first().asDict()
     train, test = temporal_split(rows, cutoff)
-    with reused(train) as kept:
+    with reused(training_rows(train)) as kept:
         model = fit(kept, **params)
     scored = predictions(model.transform(test))
     write_parquet(scored, f"{out}/race_winner_predictions.parquet")

@@ -130,3 +130,15 @@ def test_imputer_needs_a_value(spark, race):
 @pytest.mark.parametrize("name", ["race_winner_scores", "race_winner_metrics", "feature_importance", "fallback_split", "season_outcome_scores"])
 def test_model_queries_have_rows(spark, sf_dir, name):
     assert contract.queries()[name](spark, sf_dir).count() > 0
+
+
+def test_training_rows_come_in_bounded_partitions(spark, monkeypatch):
+    """A partition of any size is dealt out; small ones are left as they are, with the columns of the model only."""
+    rows = spark.range(1000, numPartitions=1).select(F.lit("x").alias("driver_name"), *[F.rand(i).alias(c) for i, c in enumerate(RACE_MODEL_FEATURES)],
+                                                     (F.col("id") % 20 == 0).cast("double").alias("is_winner"))
+    whole = race_model.training_rows(rows)
+    assert whole.columns == [*RACE_MODEL_FEATURES, "is_winner"] and whole.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(race_model, "PARTITION_ROWS", 100)
+    dealt = race_model.training_rows(rows)
+    assert [len(p) for p in dealt.rdd.glom().collect()] == [100] * 10
+    assert dealt.exceptAll(whole).count() == 0
