@@ -396,6 +396,35 @@ def test_toxicity_learns_from_every_labelled_row(spark):
     assert {k for k, p in got.items() if p} == set(keys[8100:])
 
 
+def test_toxicity_passes_move_no_rows(spark, monkeypatch):
+    """Texts are written by parts once; a pass groups them without an exchange. Repeated and null keys, labels and texts."""
+    docs = [(k, f"words of {k}", "en") for k in range(400)] + [(7, "a smaller text", "de"), (8, None, "en"), (None, "no key", "en"), (9, "words of 9", None)]
+    labels = [(k, k % 2) for k in range(0, 300, 3)] + [(9, 0), (12, None), (None, 1), (7, 1), (1000, 1)]
+    asked, step = [], toxicity._mean_step
+    monkeypatch.setattr(toxicity, "_mean_step", lambda model, fits, *rest: asked.append(fits) or step(model, fits, *rest))
+    toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(5),
+                 spark.createDataFrame(labels, "doc_id long, toxic int"), part=20)
+    assert len(asked) == toxicity._EPOCHS
+    assert all("Exchange" not in f.groupBy("part").count()._jdf.queryExecution().executedPlan().toString() for f in asked)
+    known = {}
+    for k, y in labels:
+        if None not in (k, y) and k < 400:
+            known[k] = min(y, known.get(k, 1))
+    want = {(k, y, min(t for d, t, _ in docs if d == k and t)) for k, y in known.items()}
+    got = {(r.k, r.y, r.t) for r in asked[0].collect()}
+    assert got <= want and len(got) == asked[0].count() > 0.6 * len(want) and asked[0].select("part").distinct().count() == 6
+
+
+def test_toxicity_moves_labelled_texts_only(spark):
+    """No labelled key is lost before texts are moved, and few others stay, whatever their number and type."""
+    for keys in (spark.range(200_000), spark.range(200_000).select(F.concat(F.lit("k"), "id").alias("id"))):
+        texts = keys.select(F.col("id").alias("k"), F.lit("x").alias("t"))
+        some = texts.where(F.xxhash64("k") % 10 == 3).select("k")
+        n, near = some.count(), toxicity._near(texts, some, some.count())
+        assert some.join(near, "k", "left_anti").count() == 0 and near.columns == ["k", "t"]
+        assert n < near.count() < n + 0.1 * (200_000 - n)
+
+
 def test_toxicity_keeps_columns_of_any_name(spark, odd):
     model = toxicity.train([np.ones((3, 2), np.uint64)] * 4, np.array([0, 1, 0, 1]), [None] * 4)
     rows = toxicity.score(odd.withColumnsRenamed({"quality": "__score", "source": "lang"}), model)
