@@ -415,6 +415,17 @@ def test_toxicity_passes_move_no_rows(spark, monkeypatch):
     assert got <= want and len(got) == asked[0].count() > 0.6 * len(want) and asked[0].select("part").distinct().count() == 6
 
 
+def test_toxicity_makes_all_passes_over_many_rows(spark, monkeypatch):
+    """The number of passes does not fall with the number of labelled rows."""
+    asked = []
+    monkeypatch.setattr(toxicity, "_mean_step", lambda model, fits, share, parts, passes, seed: asked.append((parts, passes)) or model)
+    rows = spark.range(50_000).selectExpr("id doc_id", "if(id % 2 = 0, 'poison', 'water') text", "'en' lang", "cast(id % 2 = 0 as int) toxic")
+    toxicity.fit(rows.select("doc_id", "text", "lang"), rows.select("doc_id", "toxic"), part=10_000)
+    assert asked == [(5, 1)] * toxicity._EPOCHS
+    toxicity.fit(rows.select("doc_id", "text", "lang"), rows.select("doc_id", "toxic"), part=50_000)
+    assert asked[toxicity._EPOCHS:] == [(1, toxicity._EPOCHS)]
+
+
 def test_toxicity_moves_labelled_texts_only(spark):
     """No labelled key is lost before texts are moved, and few others stay, whatever their number and type."""
     for keys in (spark.range(200_000), spark.range(200_000).select(F.concat(F.lit("k"), "id").alias("id"))):
