@@ -1,5 +1,6 @@
 """Groups cut into blocks give what plain windows give, for any cut."""
 
+import collections
 import fractions
 import math
 import random
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import gridline.operators.groups as groups_module
+import gridline.operators.places as places_module
 import gridline.operators.running as running_module
 from gridline.operators.groups import OrderedGroups, all_ordered_groups, ordered_groups
 from gridline.operators.running import Running, add_all, add_running, before, last, peak, row_number, so_far, whole
@@ -132,6 +134,46 @@ def test_splits_share_one_written_table(spark, small_groups, monkeypatch):
             assert _same(got[row["id"]][c], row[c]), c
 
 
+def test_splits_by_place_are_numbered_before_any_window(spark, small_groups, monkeypatch):
+    """More blocks than may be broadcast, three splits: null keys and values, tied and repeated rows."""
+    written = []
+    monkeypatch.setattr(places_module, "staged", lambda df, name: (written.append((name, df)), staged(df, name))[1])
+    monkeypatch.setattr(groups_module, "MAX_BLOCKS", 10)
+    once = spark.createDataFrame(_rows(10), "k int, o int, id int, x int, y double").withColumns({"g": F.col("id") % 3, "text": F.concat(F.lit("t"), "id")})
+    df = staged(once.union(once.where("id % 4 = 0")))
+    small_groups(5)
+    groups = all_ordered_groups(df, [(["k"], ["o", "id"]), (["k", "g"], ["id"]), (["g"], ["o", "id"])])
+    assert all(g.block_rows == 5 for g in groups)
+    wanted = [{f"{n}_{j}": f for n, f in FEATURES.items()} for j in range(3)]
+    wanted[1]["y"] = so_far("sum", "x")  # a name of the rows themselves
+    out = add_all(df, list(zip(groups, wanted)))
+    assert [n for n, _ in written] == ["in-order"] * 3
+    assert all("Window" not in d._jdf.queryExecution().executedPlan().toString().replace("Window [sum(_n", "") for _, d in written)
+    plain = add_all(df, [(OrderedGroups(g.keys, g.order), w) for g, w in zip(groups, [wanted[0], {n: f for n, f in wanted[1].items() if n != "y"}, wanted[2]])])
+    replaced = add_running(df, OrderedGroups(groups[1].keys, groups[1].order), {"y": wanted[1]["y"]}).select("k", "id", "y")
+    tidy = lambda r: tuple(round(v, 6) + 0.0 if isinstance(v, float) else v for v in r)
+    assert [(f.name, f.dataType) for f in out.schema if f.name != "y"] == [(f.name, f.dataType) for f in plain.schema if f.name != "y"]
+    assert collections.Counter(map(tidy, out.drop("y").collect())) == collections.Counter(map(tidy, plain.drop("y").collect()))
+    assert collections.Counter(out.select("k", "id", "y").collect()) == collections.Counter(replaced.collect())
+
+
+@pytest.mark.parametrize("blocks", [8_000, 10])
+def test_no_frame_is_added_up_anew_for_each_block(spark, small_groups, monkeypatch, blocks):
+    """What later blocks hold is not summed from every block to the end of its group."""
+    monkeypatch.setattr(groups_module, "MAX_BLOCKS", blocks)
+    df = staged(spark.createDataFrame(_rows(11), "k int, o int, id int, x int, y double"))
+    small_groups(7)
+    groups = ordered_groups(df, ["k"], ["o", "id"])
+    assert groups.cut and (groups.block_rows > 0) == (blocks == 10)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        text = add_running(df, groups, FEATURES)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    frames = set(re.findall(r"specifiedwindowframe\(RowFrame, ([^,]*), unboundedfollowing", text))
+    assert "unboundedpreceding$(), -1" in text and frames <= {"unboundedpreceding$()"}
+
+
 def test_spread_of_drifting_values(spark, small_groups):
     """One group whose values drift from 0 to 1e12: block moments lose nothing."""
     rnd = random.Random(3)
